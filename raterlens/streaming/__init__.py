@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The studied workflow has no streams, watermarks, windows over event time or
+state (its inputs are files read in batch), so no streaming operator is built.
+"""
