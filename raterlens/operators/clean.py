@@ -105,14 +105,16 @@ def comments_multiple_source(raw: DataFrame) -> DataFrame:
             .filter(F.col("n_sources") > 1))
 
 
-def clean_by_conflict(raw: DataFrame, sample_key: str = "sample_id") -> DataFrame:
-    """J2 (older variant): drop rows whose (comment_id, source) has more than
-    one comment, then drop every row of a duplicated sample id. Returns the
-    distinct dropped sample ids with the reason."""
+def clean_by_conflict(raw: DataFrame, sample_key: str = "sample_id"):
+    """J2 (older variant, kept for completeness):
+    1. drop every row whose (comment_id, source) carries more than one comment;
+    2. drop every row whose sample id (comment_id_source_worker_id) is repeated.
+    Returns (kept rows, distinct dropped sample ids)."""
     keyed = raw.withColumn(sample_key, composite_key("comment_id", "source", "worker_id"))
     conflict_keys = conflicting_comment_ids(keyed).select("comment_id", "source")
-    conflicted = _null_safe_join(keyed, conflict_keys, ["comment_id", "source"], "left_semi")
-    rest = _null_safe_join(keyed, conflict_keys, ["comment_id", "source"], "left_anti")
-    dup = repeated_keys(rest, [sample_key]).select(sample_key)
-    dropped_conflict = conflicted.select(sample_key)
-    return dropped_conflict.union(dup).distinct()
+    step1 = _null_safe_join(keyed, conflict_keys, ["comment_id", "source"], "left_semi").select(sample_key)
+    rest = _null_safe_join(keyed, step1.distinct(), [sample_key], "left_anti")
+    step3 = repeated_keys(rest, [sample_key]).select(sample_key)
+    kept = _null_safe_join(rest, step3, [sample_key], "left_anti")
+    dropped = step1.union(step3).distinct()
+    return kept, dropped
