@@ -55,9 +55,12 @@ def argmax(arr) -> Column:
 
 
 def seeded_order(id_col, seed: int) -> Column:
-    """Reproducible pseudo-random order key for an integer id: stays inside
-    BIGINT (ANSI mode) and is computed identically by SQL engines."""
-    return ((col_(id_col).cast("bigint") * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD))
+    """Reproducible pseudo-random order key in [0, HASH_MOD) for an integer id:
+    ``(id * HASH_MULT + seed) mod HASH_MOD``, with the id reduced first so the
+    product stays inside BIGINT (ANSI mode) for any id; SQL engines compute the
+    same value."""
+    i = col_(id_col).cast("bigint")
+    return ((i % F.lit(HASH_MOD)) * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD)
 
 
 def log_sum_exp(arr) -> Column:

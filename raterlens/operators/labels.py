@@ -28,7 +28,7 @@ def majority_vote(ratings: DataFrame, text: str = "comment", text_id: str = "tex
     return texts.join(majority_labels(ratings, text_id, label, tie_break), text_id)
 
 
-def first_n_per_group(df: DataFrame, group: str, order_key: str, tiebreak: str, n_col: str,
+def first_n_per_group(df: DataFrame, group, order_key: str, tiebreak: str, n_col: str,
                       key_range: int, n_buckets: int = 1024) -> DataFrame:
     """Rows whose rank by (order_key, tiebreak) within ``group`` is <= the
     row's ``n_col`` - exact, without ranking a whole group in one task.
@@ -38,34 +38,40 @@ def first_n_per_group(df: DataFrame, group: str, order_key: str, tiebreak: str,
     group, the buckets that are fully in and the single boundary bucket;
     only the boundary bucket is ranked by a window.
     """
+    group = [group] if isinstance(group, str) else list(group)
     width = max(1, -(-key_range // n_buckets))
-    b = df.withColumn("__bucket", (F.col(order_key) / F.lit(width)).cast("bigint"))
-    hist = b.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
-    w = W.partitionBy(group).orderBy("__bucket")
-    hist = hist.select(group, "__bucket",
+    b = df.withColumn("__bucket", F.floor(F.col(order_key) / F.lit(width)).cast("bigint"))
+    hist = b.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
+    w = W.partitionBy(*group).orderBy("__bucket")
+    hist = hist.select(*group, "__bucket",
                        F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__before"),
                        F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("__upto"))
     hist = hist.withColumn("__before", F.coalesce(F.col("__before"), F.lit(0)))
-    j = b.join(hist, [group, "__bucket"])
+    j = b.join(hist, [*group, "__bucket"])
     whole = j.filter(F.col("__upto") <= F.col(n_col))
     edge = j.filter((F.col("__before") < F.col(n_col)) & (F.col("__upto") > F.col(n_col)))
-    rw = W.partitionBy(group, "__bucket").orderBy(order_key, tiebreak)
+    rw = W.partitionBy(*group, "__bucket").orderBy(order_key, tiebreak)
     edge = edge.withColumn("__rn", F.row_number().over(rw)).filter(
         F.col("__rn") <= F.col(n_col) - F.col("__before")).drop("__rn")
     return whole.unionByName(edge).drop("__bucket", "__before", "__upto")
 
 
 def balance_classes(majority: DataFrame, seed: int = 0, label: str = "label",
-                    key: str = "text_id") -> DataFrame:
-    """Subsample every class to the size of the smallest class; the
-    kept rows of a class are the first by the seeded hash of the key (ties
-    by key)."""
+                    key: str = "text_id", by=()) -> DataFrame:
+    """Subsample every class to the size of the smallest class (per
+    ``by`` group, e.g. per split); the kept rows of a class are the first by
+    the seeded hash of the key (ties by key)."""
     from raterlens.config import HASH_MOD
 
-    counts = majority.groupBy(label).agg(F.count(F.lit(1)).alias("__cls_n"))
-    m = counts.agg(F.min("__cls_n")).scalar()
-    d = majority.withColumn("__ord", seeded_order(key, seed)).withColumn("__m", m)
-    out = first_n_per_group(d, label, "__ord", key, "__m", HASH_MOD)
+    by = [by] if isinstance(by, str) else list(by)
+    counts = majority.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__cls_n"))
+    if by:
+        m = counts.groupBy(*by).agg(F.min("__cls_n").alias("__m"))
+        d = majority.join(m, by)
+    else:
+        d = majority.withColumn("__m", counts.agg(F.min("__cls_n")).scalar())
+    d = d.withColumn("__ord", seeded_order(key, seed))
+    out = first_n_per_group(d, [*by, label], "__ord", key, "__m", HASH_MOD)
     return out.drop("__ord", "__m")
 
 

@@ -4,6 +4,7 @@ from raterlens.plans.base import ORACLES, QUERIES  # noqa: F401
 from raterlens.plans import (  # noqa: F401  (registration side effects)
     cleaning,
     ingest,
+    profiling,
 )
 
 

@@ -24,6 +24,8 @@ from (select *, y - avg(y) over (partition by text_id) d from ratings) q group b
     "boundary_preds": """select p_partkey text_id, cast(p_size % 3 = 0 as int) prediction,
   cast(50.0 + p_size as double) confidence_score from part""",
     "test_ratings": """select * from ratings where text_id % 5 = 0""",
+    "train_ratings": """select * from ratings where text_id % 5 <> 0""",
+    "split_ratings": """select *, case when text_id % 5 = 0 then 'test' else 'train' end as split from ratings""",
     "eval_rows": """select r.text_id, r.annotator_id, r.y,
   case when (r.text_id * 7 + r.annotator_id * 3) % 5 = 0 then 1 - r.y else r.y end personalised,
   b.prediction boundary, b.confidence_score, a.extreme_annotator
@@ -43,6 +45,8 @@ DEPENDS = {
     "annotators": ["ratings"],
     "boundary_preds": [],
     "test_ratings": ["ratings"],
+    "train_ratings": ["ratings"],
+    "split_ratings": ["ratings"],
     "eval_rows": ["ratings", "boundary_preds", "annotators"],
     "bench_cases": [],
     "bench_catalog": ["annotators", "bench_cases"],

@@ -134,3 +134,14 @@ def embedded_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = e.agg(F.count(F.lit(1))).scalar()
     r = test_ratings(spark, sf_dir).select("text_id", "annotator_id", "y")
     return r.withColumn("vec_id", F.col("text_id") % n).join(e, "vec_id")
+
+
+def train_ratings(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFrame:
+    """The deterministic train split of the fixtures: ``text_id % 5 <> 0``."""
+    return ratings(spark, sf_dir, label_cut).filter(F.col("text_id") % 5 != 0)
+
+
+def split_ratings(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFrame:
+    """Both fixture splits in one frame with a ``split`` column."""
+    r = ratings(spark, sf_dir, label_cut)
+    return r.withColumn("split", F.when(F.col("text_id") % 5 == 0, F.lit("test")).otherwise(F.lit("train")))
