@@ -5,6 +5,7 @@ from raterlens.plans import (  # noqa: F401  (registration side effects)
     cleaning,
     ingest,
     profiling,
+    labelling,
 )
 
 
