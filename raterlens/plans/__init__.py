@@ -6,6 +6,7 @@ from raterlens.plans import (  # noqa: F401  (registration side effects)
     ingest,
     profiling,
     labelling,
+    evaluation,
 )
 
 
