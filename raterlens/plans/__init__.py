@@ -7,6 +7,7 @@ from raterlens.plans import (  # noqa: F401  (registration side effects)
     profiling,
     labelling,
     evaluation,
+    welfare,
 )
 
 
