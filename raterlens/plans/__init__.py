@@ -8,6 +8,7 @@ from raterlens.plans import (  # noqa: F401  (registration side effects)
     labelling,
     evaluation,
     welfare,
+    splits,
 )
 
 
