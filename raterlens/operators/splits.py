@@ -51,13 +51,19 @@ def _is_test(text_id: str, seed, co: Column, ct: Column) -> Column:
     return F.coalesce((o < co) | ((o == co) & (F.col(text_id) <= ct)), F.lit(False))
 
 
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Columns of two one-row frames side by side (one scalar subquery, no join)."""
+    packed = other.select(F.struct(*other.columns).alias("__o")).scalar()
+    return one.select(*one.columns, *[packed.getField(c).alias(c) for c in other.columns])
+
+
 def split_on_texts(ratings: DataFrame, fraction: float = TEST_FRACTION, seed: int = 0,
                    text_id: str = "text_id") -> DataFrame:
     """Add ``split``; ``floor(fraction * n_texts)`` texts (seeded) are
     test, the rest train. The fraction argument is honoured."""
     cut = _test_cutoffs(ratings.select(text_id).distinct(), text_id, fraction, seed)
-    co = cut.select("__co").scalar()
-    ct = cut.select("__ct").scalar()
+    c = cut.select(F.struct("__co", "__ct")).scalar()
+    co, ct = c.getField("__co"), c.getField("__ct")
     return ratings.withColumn(
         "split", F.when(_is_test(text_id, F.lit(seed), co, ct), F.lit(TEST)).otherwise(F.lit(TRAIN)))
 
@@ -96,10 +102,7 @@ def evaluate_splits(split_df: DataFrame, min_train: int = MIN_TRAIN, annotator:
         (F.count_if(both) / F.count(F.lit(1))).alias("annotators_in_both_splits_frac"),
         F.try_divide(F.count_if((F.col("n_train") > 0) & (F.col("n_train") < min_train)),
                      F.count_if(F.col("n_train") > 0)).alias("annotators_below_min_train_frac"))
-    # Both sides are one row: combine without a join.
-    return rows.select("test_frac_samples", "test_frac_text_ids",
-                       ann.select("annotators_in_both_splits_frac").scalar().alias("annotators_in_both_splits_frac"),
-                       ann.select("annotators_below_min_train_frac").scalar().alias("annotators_below_min_train_frac"))
+    return _beside(rows, ann)
 
 
 def class_frequencies_by_split(split_df: DataFrame, label: str = "toxic_score") -> DataFrame:
@@ -107,9 +110,9 @@ def class_frequencies_by_split(split_df: DataFrame, label: str = "toxic_score")
     for classes present in train (a class missing in test gives NULL) - one
     conditional aggregation instead of a join of two frequency tables."""
     s = F.col("split")
-    totals = split_df.agg(F.count_if(s == TRAIN).alias("__nt"), F.count_if(s == TEST).alias("__ne"))
-    nt = totals.select("__nt").scalar()
-    ne = totals.select("__ne").scalar()
+    totals = split_df.select(F.struct(F.count_if(s == TRAIN).alias("nt"),
+                                      F.count_if(s == TEST).alias("ne"))).scalar()
+    nt, ne = totals.getField("nt"), totals.getField("ne")
     g = split_df.groupBy(label).agg(F.count_if(s == TRAIN).alias("__ct"), F.count_if(s == TEST).alias("__ce"))
     g = g.filter(F.col("__ct") > 0).select(
         label, (F.col("__ct") / nt).alias("frac_train"),
@@ -179,8 +182,7 @@ def split_checks(split_df: DataFrame, annotator: str = "annotator_id", text_id:
         F.coalesce(F.bool_and((F.col("n_train") > 0) == (F.col("n_test") > 0)), F.lit(True)).alias("same_annotators"),
         F.median(F.when(F.col("n_train") > 0, F.col("n_train"))).alias("median_train_per_annotator"),
         F.median(F.when(F.col("n_test") > 0, F.col("n_test"))).alias("median_test_per_annotator"))
-    cols = [c for c in ann.columns]
-    return texts.select("n_texts", "frac_texts_two_ratings", *[ann.select(c).scalar().alias(c) for c in cols])
+    return _beside(texts, ann)
 
 
 # --- best of N random splits (J9) ------------------------------------------
@@ -229,8 +231,8 @@ def best_split(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: flo
     win = trials.filter("is_best").select("trial").scalar()
     texts = ratings.select(text_id).distinct().withColumn("trial", win)
     cut = _test_cutoffs(texts, text_id, fraction, seed, trial="trial")
-    co = cut.select("__co").scalar()
-    ct = cut.select("__ct").scalar()
+    c = cut.select(F.struct("__co", "__ct")).scalar()
+    co, ct = c.getField("__co"), c.getField("__ct")
     s = ratings.withColumn("split", F.when(_is_test(text_id, F.lit(seed) + win, co, ct), F.lit(TEST))
                            .otherwise(F.lit(TRAIN)))
     return refine_splits(s, min_train, annotator)

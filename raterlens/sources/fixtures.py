@@ -8,13 +8,48 @@ FIXTURES.md. Every frame is lazy; its size grows with the driver tables.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterlens.config import EXTREME_CUT, EXTREME_GAP
 from raterlens.sources.tables import read_table
 
+# Derived inputs are written once per application as Parquet under the
+# session's checkpoint folder (the cluster's shared ``spark.checkpoint.dir``)
+# and read back, as the workflow reads its stored input tables. This also
+# cuts their lineage: a lost executor re-reads files instead of re-running
+# the joins that built them. ``raterlens.materializeInputs=false`` keeps them
+# as lazy plans.
+_WRITTEN: dict = {}
+
+
+def stored_input(name: str):
+    def deco(fn):
+        @functools.wraps(fn)
+        def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+            if spark.conf.get("raterlens.materializeInputs", "true").lower() != "true":
+                return fn(spark, sf_dir, *args, **kwargs)
+            key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, args,
+                   tuple(sorted(kwargs.items())))
+            path = _WRITTEN.get(key)
+            if path is None:
+                from raterlens.session import ensure_checkpoint_dir
+
+                root = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
+                path = f"{root.rstrip('/')}/raterlens-inputs/{name}-{uuid.uuid4().hex}"
+                fn(spark, sf_dir, *args, **kwargs).write.parquet(path)
+                _WRITTEN[key] = path
+            return spark.read.parquet(path)
+
+        return wrapper
+
+    return deco
+
 
+@stored_input("ratings_raw")
 def ratings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncleaned ratings: one row per line item = (part as text, customer as rater)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"])
@@ -36,6 +71,7 @@ def ratings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored_input("ratings")
 def ratings(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFrame:
     """Clean ratings: every row of a (text, annotator) pair seen twice is
     dropped; ``y`` is the score binarised at ``label_cut``."""
@@ -46,6 +82,7 @@ def ratings(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFrame:
     return kept.withColumn("y", (F.col("toxic_score") >= label_cut).cast("int"))
 
 
+@stored_input("annotators")
 def annotators(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFrame:
     """Annotator profile over all clean ratings (J3 plus ``percent_higher``)."""
     from raterlens.operators.annotators import annotator_profile
@@ -69,6 +106,7 @@ def test_ratings(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFr
     return ratings(spark, sf_dir, label_cut).filter(F.col("text_id") % 5 == 0)
 
 
+@stored_input("eval_rows")
 def eval_rows(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataFrame:
     """Evaluation fact: test ratings, personalised prediction (about 20 %
     flipped), boundary prediction and confidence, extreme flag."""
@@ -95,6 +133,7 @@ def bench_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored_input("bench_catalog")
 def bench_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personalised prediction of every annotator on every benchmark case.
 
