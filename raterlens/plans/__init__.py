@@ -9,6 +9,7 @@ from raterlens.plans import (  # noqa: F401  (registration side effects)
     evaluation,
     welfare,
     splits,
+    benchmark,
 )
 
 

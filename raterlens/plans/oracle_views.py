@@ -37,6 +37,12 @@ left join annotators a on r.annotator_id = a.annotator_id where r.text_id % 5 =
     "bench_catalog": """select a.annotator_id, c.case_id,
   cast((a.annotator_id * 3 + c.case_id * 5) % 7 < 4 as int) personalised
   from annotators a cross join bench_cases c""",
+    "bench_fact": """select c.annotator_id, c.case_id, c.personalised, b.label_gold y, b.boundary,
+  b.confidence_score, a.extreme_annotator from bench_catalog c left join
+  (select case_id, case label_gold when 'hateful' then 1 when 'non-hateful' then 0 end label_gold,
+    case class_label when '1' then 1 when 'yes' then 1 when 'no' then 0 end boundary, confidence_score
+   from bench_cases) b on c.case_id = b.case_id
+  left join annotators a on c.annotator_id = a.annotator_id""",
 }
 
 DEPENDS = {
@@ -50,6 +56,7 @@ DEPENDS = {
     "eval_rows": ["ratings", "boundary_preds", "annotators"],
     "bench_cases": [],
     "bench_catalog": ["annotators", "bench_cases"],
+    "bench_fact": ["bench_catalog", "bench_cases", "annotators"],
 }
 
 
