@@ -118,3 +118,22 @@ def clean_by_conflict(raw: DataFrame, sample_key: str = "sample_id"):
     kept = _null_safe_join(rest, step3, [sample_key], "left_anti")
     dropped = step1.union(step3).distinct()
     return kept, dropped
+
+
+def null_audit(df: DataFrame, columns=None) -> DataFrame:
+    """Per column, the number of missing values (NULL, or NaN for
+    floating columns) and whether there is any. One aggregate pass, then a
+    built-in unpivot to one row per column."""
+    from pyspark.sql import types as T
+
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    counts = []
+    for f in fields:
+        c = F.col(f"`{f.name}`")
+        miss = c.isNull()
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            miss = miss | F.isnan(c)
+        counts.append(F.count_if(miss).cast("bigint").alias(f.name))
+    wide = df.agg(*counts)
+    long = wide.unpivot([], [f.name for f in fields], "column_name", "n_missing")
+    return long.withColumn("has_missing", F.col("n_missing") > 0)

@@ -10,6 +10,7 @@ from raterlens.plans import (  # noqa: F401  (registration side effects)
     welfare,
     splits,
     benchmark,
+    scoring,
 )
 
 

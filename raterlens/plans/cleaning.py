@@ -147,3 +147,15 @@ def duplicate_rows_check(spark, sf):
     g = r.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.coalesce(F.bool_or(F.col("n") > 1), F.lit(False)).alias("has_duplicate_rows"),
                  F.count_if(F.col("n") > 1).alias("n_duplicated_rows"))
+
+
+_AUDIT_COLS = ("text_id", "annotator_id", "y", "personalised", "boundary", "confidence_score", "extreme_annotator")
+
+
+@query("null_audit", with_views("eval_rows") + " union all ".join(
+    f"""select '{c}' column_name, count(*) filter (where {c} is null{" or isnan(" + c + ")" if c == "confidence_score" else ""})::bigint
+  n_missing, count(*) filter (where {c} is null{" or isnan(" + c + ")" if c == "confidence_score" else ""}) > 0 has_missing
+  from eval_rows""" for c in _AUDIT_COLS))
+def null_audit(spark, sf):
+    """Missing values per column of the evaluation fact."""
+    return clean.null_audit(fx.eval_rows(spark, sf), _AUDIT_COLS)

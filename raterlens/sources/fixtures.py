@@ -158,8 +158,12 @@ def head_weights(spark: SparkSession, sf_dir: str, dim: int = 64, n_labels: int
     """One linear head per annotator: w[label][i] = ((a*31 + label*17 + i*7) % 19 - 9) / 9, bias 0."""
     a = annotators(spark, sf_dir).select("annotator_id")
     i = F.sequence(F.lit(1), F.lit(dim))
-    rows = [F.transform(i, lambda k, lab=lab: (((F.col("annotator_id") * 31 + lab * 17 + k * 7) % 19) - 9) / 9.0)
-            for lab in range(n_labels)]
+
+    def row(lab: int):
+        # One-argument lambda: ``transform`` treats a second parameter as the index.
+        return F.transform(i, lambda k: (((F.col("annotator_id") * 31 + lab * 17 + k * 7) % 19) - 9) / 9.0)
+
+    rows = [row(lab) for lab in range(n_labels)]
     return a.select("annotator_id", F.array(*rows).alias("weights"),
                     F.array_repeat(F.lit(0.0), n_labels).alias("bias"))
 
