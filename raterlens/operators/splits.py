@@ -187,6 +187,20 @@ def split_checks(split_df: DataFrame, annotator: str = "annotator_id", text_id:
 
 # --- best of N random splits (J9) ------------------------------------------
 
+def _trial_test_texts(ratings: DataFrame, n_trials: int, fraction: float, seed: int,
+                      text_id: str) -> DataFrame:
+    """(trial, text_id) of the test texts of every trial: distinct texts
+    expanded over the trial ids (texts x trials, far smaller than ratings x
+    trials), exact first-k per trial by the seeded order."""
+    trials = F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")
+    t = ratings.select(text_id).distinct().select(text_id, trials)
+    n = t.groupBy("trial").agg(F.count(F.lit(1)).alias("__n"))
+    t = (t.join(F.broadcast(n), "trial")  # one row per trial: bounded by n_trials
+         .withColumn("__k", F.floor(F.lit(float(fraction)) * F.col("__n")).cast("bigint"))
+         .withColumn("__ord", seeded_order(text_id, F.lit(seed) + F.col("trial"))))
+    return first_n_per_group(t, ["trial"], "__ord", text_id, "__k", HASH_MOD).select("trial", text_id)
+
+
 def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: float = TEST_FRACTION,
                  seed: int = 0, min_train: int = MIN_TRAIN, objective: str = "total",
                  annotator: str = "annotator_id", text_id: str = "text_id") -> DataFrame:
@@ -194,28 +208,32 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     refined as in :func:`refine_splits`. One row per trial: kept annotators,
     kept train and test rows, the objective and ``is_best``.
 
+    Only test memberships are materialised: the (trial, test text) pairs are
+    joined to the (text, annotator) pairs, giving test counts per (trial,
+    annotator); train counts are the annotator's total minus its test count.
+    That touches ``fraction`` x ratings x trials rows instead of ratings x
+    trials, and every aggregate is partial (a prolific annotator or a popular
+    text is spread over many tasks; AQE splits a skewed text partition).
+
     ``objective="total"`` maximises kept train + test rows (the stated
     intent); ``"train"`` is twice the kept train rows (what the studied loop
     computes). Ties go to the earliest trial (strict improvement).
     """
     if objective not in ("total", "train"):
         raise ValueError(f"unknown objective {objective!r}")
-    trials = F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")
-    texts = ratings.select(text_id).distinct().select(text_id, trials)
-    cut = _test_cutoffs(texts, text_id, fraction, seed, trial="trial")
-    # Cut-offs: exactly one row per trial, so the broadcast is bounded by
-    # ``n_trials`` whatever the data size.
-    pairs = ratings.select(annotator, text_id).select(annotator, text_id, trials)
-    flagged = pairs.join(F.broadcast(cut), "trial").withColumn(
-        "__test", _is_test(text_id, F.lit(seed) + F.col("trial"), F.col("__co"), F.col("__ct")))
-    per = flagged.groupBy("trial", annotator).agg(
-        F.count_if(~F.col("__test")).alias("n_train"), F.count_if(F.col("__test")).alias("n_test"))
-    kept = per.filter((F.col("n_train") >= min_train) & (F.col("n_test") > 0))
+    pairs = ratings.select(annotator, text_id)
+    tests = _trial_test_texts(ratings, n_trials, fraction, seed, text_id)
+    n_test = tests.join(pairs, text_id).groupBy("trial", annotator).agg(F.count(F.lit(1)).alias("n_test"))
+    totals = pairs.groupBy(annotator).agg(F.count(F.lit(1)).alias("__tot"))
+    per = n_test.join(totals, annotator).withColumn("n_train", F.col("__tot") - F.col("n_test"))
+    # Annotators without a test rating in a trial are never kept, so the
+    # inner join above already holds every candidate.
+    kept = per.filter(F.col("n_train") >= min_train)
     score = kept.groupBy("trial").agg(
         F.count(F.lit(1)).alias("n_annotators_kept"),
         F.sum("n_train").alias("n_train_rows"), F.sum("n_test").alias("n_test_rows"))
     # Trials that keep nobody still get a row.
-    allt = cut.select("trial")
+    allt = ratings.sparkSession.range(n_trials).withColumnRenamed("id", "trial")
     score = allt.join(score, "trial", "left").fillna(0, ["n_annotators_kept", "n_train_rows", "n_test_rows"])
     obj = (F.col("n_train_rows") + F.col("n_test_rows")) if objective == "total" else 2 * F.col("n_train_rows")
     score = score.withColumn("objective", obj.cast("bigint"))
