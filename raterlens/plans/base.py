@@ -44,6 +44,19 @@ def query(name: str, oracle: str | None = None):
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def round6(c):
+    """Round a double to 6 digits as ``round(x * 1e6) / 1e6`` with halves
+    away from zero on the binary product - the rule SQL engines such as
+    DuckDB apply - instead of Spark's decimal-string HALF_UP, so exact ties
+    (e.g. 333/640) round the same way on both sides. No BIGINT cast, so no
+    overflow for large values."""
+    x = c.cast("double")
+    a = F.abs(x) * F.lit(1e6)
+    r = F.rint(a)
+    r = F.when(a - r == F.lit(0.5), r + F.lit(1.0)).otherwise(r)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.signum(x) * r / F.lit(1e6))
+
+
 def tidy(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -51,6 +64,6 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, _INTEGRAL):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            c = round6(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
