@@ -24,7 +24,7 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str], col: str = "row_pos") -
     partition holds; rows are numbered inside their partition and shifted by
     the row count of all earlier partitions. The offsets table has one row per
     partition (bounded by the partition count, safe to broadcast). The
-    partition assignment is checkpointed so a recomputed stage after an
+    partition assignment is written to the checkpoint folder so a recomputed stage after an
     executor loss numbers the same rows the same way."""
     from raterlens.session import cut_lineage
 
@@ -77,11 +77,17 @@ def assemble_benchmark(catalog: DataFrame, cases: DataFrame, boundary_raw: DataF
     position (mapped), the prediction catalog (annotator x case) left-joined
     to them on ``case_id``, the extreme flag left-joined by annotator.
 
-    The case side is one row per case (small, AQE broadcasts it); the
-    catalog is the large side and is never shuffled for the case join when
-    the cases are broadcast."""
+    The case side is one row per case and is broadcast after a row-count
+    check; the catalog is the large side and is never shuffled for the case
+    join."""
+    from raterlens.session import broadcast_if_small
+
     c = positional_join(benchmark_cases(cases), boundary_predictions(boundary_raw),
                         [case_order], [boundary_order])
+    # One row per case: broadcast behind a row-count check (the static size
+    # estimate of this joined, re-numbered table is unreliable and could
+    # otherwise pick the catalog as the build side).
+    c = broadcast_if_small(c)
     a = profile.select("annotator_id", "extreme_annotator")
     return (catalog.join(c, "case_id", "left").join(a, "annotator_id", "left")
             .select("annotator_id", "case_id", "personalised", "label_gold", "boundary",

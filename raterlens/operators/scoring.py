@@ -164,9 +164,10 @@ def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_i
     from raterlens.session import cut_lineage
 
     d1 = dim + 1
-    data = rows.select(F.col(annotator).cast("bigint").alias("annotator_id"),
-                       F.col(features_col).cast("array<double>").alias("x"),
-                       F.col(label).cast("double").alias("y"))
+    # Every pass reads the same rows: write them once (lineage cut).
+    data = cut_lineage(rows.select(F.col(annotator).cast("bigint").alias("annotator_id"),
+                                   F.col(features_col).cast("array<double>").alias("x"),
+                                   F.col(label).cast("double").alias("y")))
     heads = data.select("annotator_id").distinct().select(
         "annotator_id", F.array_repeat(F.lit(0.0), d1).alias("w"))
     for _ in range(iterations):

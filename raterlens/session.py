@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Session settings the jobs are written against. AQE turns small shuffle
 # outputs into broadcast joins at run time (a size-checked broadcast), splits
@@ -56,7 +58,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives lost
-    executors; never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing ``df`` as a Parquet table into the shared
+    checkpoint folder and reading it back (survives lost executors; never a
+    local checkpoint). Unlike ``DataFrame.checkpoint`` the result is a file
+    scan with size statistics, so the planner and AQE still see how small or
+    large it is when choosing join strategies."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/raterlens-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# Largest dimension broadcast by :func:`broadcast_if_small` (rows).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Size-checked broadcast: count the rows (one small job on a dimension
+    table) and mark ``df`` for broadcast only when the count is within
+    ``max_rows``; beyond it the join stays a shuffle join (AQE may still
+    convert it at run time). Use on sides whose size is not data-independent,
+    where a static estimate can pick the wrong side."""
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
