@@ -46,7 +46,8 @@ def positional_join(spark, sf):
   case_id::bigint case_id, personalised::bigint personalised, y::bigint label_gold, boundary::bigint boundary,
   round(confidence_score, 6) confidence_score, extreme_annotator from bench_fact""")
 def benchmark_assembly(spark, sf):
-    """Catalog x cases fact with gold, boundary prediction and flag."""
+    """Catalog x cases fact with gold, boundary prediction and flag
+    (assembled here from its parts; the sweeps read the stored copy)."""
     return _fact(spark, sf)
 
 
@@ -60,7 +61,7 @@ ov as (select annotator_group, confidence_threshold,
   from rep join ov on rep.annotator_group = ov.annotator_group and rep.confidence_threshold = ov.confidence_threshold""")
 def benchmark_sweep(spark, sf):
     """Sweep on the external benchmark against the gold label."""
-    return bm.benchmark_sweep(_fact(spark, sf))
+    return bm.benchmark_sweep(fx.bench_fact(spark, sf))
 
 
 BENCH_WELFARE_SQL = with_views("bench_fact", extra=(
@@ -82,7 +83,7 @@ welfare as (select wr.annotator_id, wr.extreme_annotator, wr.confidence_threshol
   round(macro_f1_baseline, 6) macro_f1_baseline from welfare""")
 def benchmark_welfare(spark, sf):
     """Per annotator and threshold welfare on the external benchmark."""
-    return bm.benchmark_welfare(_fact(spark, sf))
+    return bm.benchmark_welfare(fx.bench_fact(spark, sf))
 
 
 @query("sample_trajectories", BENCH_WELFARE_SQL + f""", pick as (select annotator_id from
@@ -94,5 +95,5 @@ select extreme_annotator, annotator_id::bigint annotator_id, confidence_threshol
   round(macro_f1, 6) macro_f1 from welfare where annotator_id in (select annotator_id from pick)""")
 def sample_trajectories(spark, sf):
     """Macro-F1 over thresholds of 5 seeded annotators per extreme flag."""
-    return bm.sample_trajectories(bm.benchmark_welfare(_fact(spark, sf)), PER_GROUP, SEED)
+    return bm.sample_trajectories(bm.benchmark_welfare(fx.bench_fact(spark, sf)), PER_GROUP, SEED)
 

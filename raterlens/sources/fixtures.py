@@ -188,3 +188,14 @@ def split_ratings(spark: SparkSession, sf_dir: str, label_cut: int = 2) -> DataF
     """Both fixture splits in one frame with a ``split`` column."""
     r = ratings(spark, sf_dir, label_cut)
     return r.withColumn("split", F.when(F.col("text_id") % 5 == 0, F.lit("test")).otherwise(F.lit("train")))
+
+
+@stored_input("bench_fact")
+def bench_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembled external-benchmark fact (J28): catalog x cases with gold
+    label, boundary prediction attached by position, and extreme flag."""
+    from raterlens.operators.benchmark import assemble_benchmark
+
+    c = bench_cases(spark, sf_dir)
+    return assemble_benchmark(bench_catalog(spark, sf_dir), c.select("case_id", "label_gold"),
+                              c.select("case_id", "class_label", "confidence_score"), annotators(spark, sf_dir))
