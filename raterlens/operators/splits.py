@@ -208,12 +208,14 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     refined as in :func:`refine_splits`. One row per trial: kept annotators,
     kept train and test rows, the objective and ``is_best``.
 
-    Only test memberships are materialised: the (trial, test text) pairs are
-    joined to the (text, annotator) pairs, giving test counts per (trial,
-    annotator); train counts are the annotator's total minus its test count.
-    That touches ``fraction`` x ratings x trials rows instead of ratings x
-    trials, and every aggregate is partial (a prolific annotator or a popular
-    text is spread over many tasks; AQE splits a skewed text partition).
+    Plan: the test texts of every trial (exact first-k per trial, on the
+    small texts x trials table) are folded into one row per text holding
+    64-bit masks of the trials in which the text is test. The masks are
+    joined to the (text, annotator) pairs and a single aggregation per
+    annotator sums the bits - one SUM per trial - so the map side combines
+    each annotator's rows before the shuffle (a prolific annotator is spread
+    over many tasks) and no (rating x trial) row is ever materialised.
+    Train counts are the annotator's total minus its test count.
 
     ``objective="total"`` maximises kept train + test rows (the stated
     intent); ``"train"`` is twice the kept train rows (what the studied loop
@@ -223,11 +225,25 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
         raise ValueError(f"unknown objective {objective!r}")
     pairs = ratings.select(annotator, text_id)
     tests = _trial_test_texts(ratings, n_trials, fraction, seed, text_id)
-    n_test = tests.join(pairs, text_id).groupBy("trial", annotator).agg(F.count(F.lit(1)).alias("n_test"))
-    totals = pairs.groupBy(annotator).agg(F.count(F.lit(1)).alias("__tot"))
-    per = n_test.join(totals, annotator).withColumn("n_train", F.col("__tot") - F.col("n_test"))
-    # Annotators without a test rating in a trial are never kept, so the
-    # inner join above already holds every candidate.
+    n_words = -(-n_trials // 64)
+    tr = F.col("trial")
+    masks = tests.groupBy(text_id).agg(*[
+        F.bit_or(F.when((tr >= 64 * j) & (tr < 64 * (j + 1)),
+                        F.expr(f"shiftleft(cast(1 as bigint), cast(trial - {64 * j} as int))"))).alias(f"__m{j}")
+        for j in range(n_words)])
+    r = pairs.join(masks, text_id, "left")
+
+    def bit(i):
+        m = F.coalesce(F.col(f"__m{i // 64}"), F.lit(0).cast("bigint"))
+        return F.shiftrightunsigned(m, i % 64).bitwiseAND(F.lit(1))
+
+    counts = r.groupBy(annotator).agg(F.count(F.lit(1)).alias("__tot"),
+                                      *[F.sum(bit(i)).alias(f"__t{i}") for i in range(n_trials)])
+    per = counts.select(annotator, "__tot", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("trial"), F.col(f"__t{i}").alias("n_test")) for i in range(n_trials)])).alias("__e"))
+    per = per.select(annotator, F.col("__e.trial").alias("trial"), F.col("__e.n_test").alias("n_test"),
+                     (F.col("__tot") - F.col("__e.n_test")).alias("n_train"))
+    per = per.filter(F.col("n_test") > 0)
     kept = per.filter(F.col("n_train") >= min_train)
     score = kept.groupBy("trial").agg(
         F.count(F.lit(1)).alias("n_annotators_kept"),
