@@ -29,14 +29,15 @@ def majority_vote(ratings: DataFrame, text: str = "comment", text_id: str = "tex
 
 
 def first_n_per_group(df: DataFrame, group, order_key: str, tiebreak: str, n_col: str,
-                      key_range: int, n_buckets: int = 1024) -> DataFrame:
+                      key_range: int, n_buckets: int = 65536) -> DataFrame:
     """Rows whose rank by (order_key, tiebreak) within ``group`` is <= the
     row's ``n_col`` - exact, without ranking a whole group in one task.
 
     ``order_key`` lies in [0, key_range). A histogram of (group, key bucket)
     (a partial aggregate; at most groups x n_buckets rows) locates, per
     group, the buckets that are fully in and the single boundary bucket;
-    only the boundary bucket is ranked by a window.
+    only the boundary bucket (about 1/n_buckets of a group's rows) is ranked
+    by a window. The histogram never has more rows than distinct keys.
     """
     group = [group] if isinstance(group, str) else list(group)
     width = max(1, -(-key_range // n_buckets))
