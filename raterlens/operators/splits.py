@@ -252,7 +252,11 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     allt = ratings.sparkSession.range(n_trials).withColumnRenamed("id", "trial")
     score = allt.join(score, "trial", "left").fillna(0, ["n_annotators_kept", "n_train_rows", "n_test_rows"])
     obj = (F.col("n_train_rows") + F.col("n_test_rows")) if objective == "total" else 2 * F.col("n_train_rows")
-    score = score.withColumn("objective", obj.cast("bigint"))
+    # n_trials rows: written once, so picking the best trial reads this small
+    # table instead of re-running the scoring plan inside a subquery.
+    from raterlens.session import cut_lineage
+
+    score = cut_lineage(score.withColumn("objective", obj.cast("bigint")))
     best = score.agg(F.max_by("trial", F.struct(F.col("objective"), -F.col("trial")))).scalar()
     return score.withColumn("is_best", F.col("trial") == best)
 
