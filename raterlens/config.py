@@ -57,5 +57,5 @@ class DatasetSpec:
     score: str = "toxic_score"
 
 
-KUMAR_LAYOUT = DatasetSpec()
+COMMENT_LAYOUT = DatasetSpec()
 SECOND_LAYOUT = DatasetSpec(text="text", rater="annotator_id")

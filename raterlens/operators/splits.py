@@ -193,10 +193,11 @@ def _trial_test_texts(ratings: DataFrame, n_trials: int, fraction: float, seed:
     expanded over the trial ids (texts x trials, far smaller than ratings x
     trials), exact first-k per trial by the seeded order."""
     trials = F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")
-    t = ratings.select(text_id).distinct().select(text_id, trials)
-    n = t.groupBy("trial").agg(F.count(F.lit(1)).alias("__n"))
-    t = (t.join(F.broadcast(n), "trial")  # one row per trial: bounded by n_trials
-         .withColumn("__k", F.floor(F.lit(float(fraction)) * F.col("__n")).cast("bigint"))
+    texts = ratings.select(text_id).distinct()
+    # Every trial splits the same texts: one count (a scalar subquery).
+    n = texts.agg(F.count(F.lit(1))).scalar()
+    t = (texts.select(text_id, trials)
+         .withColumn("__k", F.floor(F.lit(float(fraction)) * n).cast("bigint"))
          .withColumn("__ord", seeded_order(text_id, F.lit(seed) + F.col("trial"))))
     return first_n_per_group(t, ["trial"], "__ord", text_id, "__k", HASH_MOD).select("trial", text_id)
 
