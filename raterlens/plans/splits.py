@@ -24,7 +24,11 @@ def _base(spark, sf):
 
 
 def _split(spark, sf):
-    return sp.split_on_texts(_base(spark, sf), TEST_FRACTION, SEED)
+    # Used several times per query (raw and refined views, set checks):
+    # written once so the cut-off subqueries run once.
+    from raterlens.session import cut_lineage
+
+    return cut_lineage(sp.split_on_texts(_base(spark, sf), TEST_FRACTION, SEED))
 
 
 def _refined(spark, sf):
@@ -81,8 +85,9 @@ pa as (select stage, annotator_id, count(*) filter (where split = 'train') n_tra
 def evaluate_splits(spark, sf):
     """Test share of rows and of texts, annotators in both splits, share
     of train annotators below the minimum - for the raw and the refined split."""
-    raw = sp.evaluate_splits(_split(spark, sf), MIN_TRAIN).withColumn("stage", F.lit("raw"))
-    ref = sp.evaluate_splits(_refined(spark, sf), MIN_TRAIN).withColumn("stage", F.lit("refined"))
+    s = _split(spark, sf)
+    raw = sp.evaluate_splits(s, MIN_TRAIN).withColumn("stage", F.lit("raw"))
+    ref = sp.evaluate_splits(sp.refine_splits(s, MIN_TRAIN), MIN_TRAIN).withColumn("stage", F.lit("refined"))
     return raw.unionByName(ref)
 
 
@@ -98,8 +103,9 @@ cf as (select stage, toxic_score, count(*) filter (where split = 'train') ct,
   from cf join tot on cf.stage = tot.stage where ct > 0""")
 def class_frequencies_by_split(spark, sf):
     """Class fractions per split and their absolute difference."""
-    raw = sp.class_frequencies_by_split(_split(spark, sf)).withColumn("stage", F.lit("raw"))
-    ref = sp.class_frequencies_by_split(_refined(spark, sf)).withColumn("stage", F.lit("refined"))
+    s = _split(spark, sf)
+    raw = sp.class_frequencies_by_split(s).withColumn("stage", F.lit("raw"))
+    ref = sp.class_frequencies_by_split(sp.refine_splits(s, MIN_TRAIN)).withColumn("stage", F.lit("refined"))
     return raw.unionByName(ref)
 
 
@@ -130,8 +136,9 @@ pa as (select stage, annotator_id, count(*) filter (where split = 'train') n_tra
   count(*) filter (where split = 'test') n_test from ev group by stage, annotator_id)""") + _SAME_SQL)
 def same_annotators_check(spark, sf):
     """Are the annotator sets of train and test equal (raw vs refined)?"""
-    raw = sp.same_annotators(_split(spark, sf)).withColumn("stage", F.lit("raw"))
-    ref = sp.same_annotators(_refined(spark, sf)).withColumn("stage", F.lit("refined"))
+    s = _split(spark, sf)
+    raw = sp.same_annotators(s).withColumn("stage", F.lit("raw"))
+    ref = sp.same_annotators(sp.refine_splits(s, MIN_TRAIN)).withColumn("stage", F.lit("refined"))
     return raw.unionByName(ref)
 
 
