@@ -5,7 +5,7 @@ Shares p of the sources' words are raised to an exponent and normalised. The
 exponent in [0, 1] is bisected (inside one expression over the array of
 shares, one element a source): the largest one whose weights reach the target
 entropy, raised as far as the repetition limit asks. A source of n words with
-weight w then gets w * budget words: whole passes over the source and, for the
+weight w then gets w * budget words (rounded): whole passes over the source and, for the
 rest, the start of a keyed permutation. The permutation orders blocks of
 documents (by a hash of the id) and, inside the one block where the budget
 runs out, documents; so a source of any size needs sums by block and one
@@ -79,8 +79,8 @@ def source_mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repe
              .withColumn("z", F.expr("aggregate(p, 0D, (a, x) -> a + pow(x, e))"))
              .select("total", "e", "z", F.explode("s").alias("x"))
              .select(F.col("x.source").alias("source"), F.col("x.n").alias("n"),
-                     F.expr(f"pow(x.n / CAST(total AS DOUBLE), e) / z").alias("w"), "total"))
-    plan = (mixed.withColumn("words_due", F.expr(f"CAST(floor(w * total * {float(budget)!r}D) AS BIGINT)"))
+                     F.expr("pow(x.n / CAST(total AS DOUBLE), e) / z").alias("w"), "total"))
+    plan = (mixed.withColumn("words_due", F.expr(f"CAST(floor(w * total * {float(budget)!r}D + 0.5D) AS BIGINT)"))
             .select("source", F.round("w", 6).alias("weight"),
                     F.expr("words_due div n").alias("passes"), F.expr("words_due % n").alias("rest")))
     # blocks in the source's own order; `before` = words of the blocks ahead
@@ -144,8 +144,8 @@ mixed AS (
   SELECT source, n, pow(n / CAST(t AS DOUBLE), e) / sum(pow(n / CAST(t AS DOUBLE), e)) OVER () AS w, t
   FROM sources, e, (SELECT sum(n) AS t FROM sources)),
 plan AS (
-  SELECT source, round(w, 6) AS weight, CAST(floor(w * t * {BUDGET}) AS BIGINT) // n AS passes,
-         CAST(floor(w * t * {BUDGET}) AS BIGINT) % n AS rest
+  SELECT source, round(w, 6) AS weight, CAST(floor(w * t * {BUDGET} + 0.5) AS BIGINT) // n AS passes,
+         CAST(floor(w * t * {BUDGET} + 0.5) AS BIGINT) % n AS rest
   FROM mixed),
 placed AS (
   SELECT source, block, words, coalesce(sum(words) OVER (

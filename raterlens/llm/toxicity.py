@@ -9,13 +9,16 @@ l the logistic loss and pi the class prior, the toxic share of the labelled
 rows of the training fold. Where the second term falls below zero the step
 goes against it, so the classifier can't call all unlabelled texts clean.
 
-Features are the presence, anywhere in the whole text, of a word or of a
-word's beginning (4 to 6 bytes). Those that are significantly more frequent in
-P than in U are counted and chosen in Spark.
+Features say that a word, or a word's beginning (4 to 8 bytes), occurs at least
+once, twice or three times anywhere in the whole text. Those that are
+significantly more frequent in P than in U are counted and chosen in Spark;
+their weights are kept from falling below zero.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +30,10 @@ from raterlens.session import cut_lineage
 MAX_POSITIVE = 4000     # bounds of the training sample (documents, the first by hash)
 MAX_UNLABELLED = 8000
 FEATURES = 1024         # bound of the features
-MIN_DOCS, MIN_Z = 2, 3.0
-PREFIXES = (4, 5, 6)
-STEPS, LEARNING_RATE, L2 = 400, 0.05, 1e-3
+MIN_DOCS, MIN_SHARE, MIN_Z = 3, 0.015, 5.0  # of P, for a feature
+PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = (1, 2, 3)       # occurrences
+STEPS, LEARNING_RATE, L2 = 500, 0.05, 1e-4
 THRESHOLD = 0.7
 DEFAULT_PRIOR = 0.1     # where nothing is labelled
 SEED = 23
@@ -40,14 +44,23 @@ def word_features(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) >= n)]
 
 
+def text_features(text: str | None) -> list[tuple[bytes, int]]:
+    """(feature, level) pairs of a whole text."""
+    counts: Counter = Counter()
+    for w, k in Counter(ascii_words(text)).items():
+        for f in word_features(w):
+            counts[f] += k
+    return [(f, n) for f, k in counts.items() for n in LEVELS if k >= n]
+
+
 def nnpu_fit(x_pos: np.ndarray, x_un: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk."""
     d = x_pos.shape[1]
-    theta = np.zeros(d + 1)
+    theta = np.zeros(d + 1, np.float32)
     theta[d] = np.log(prior / (1 - prior))
     if not len(x_pos) or not len(x_un):
         return theta[:d], float(theta[d])
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
+    m, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def mean_grad(x, dl):
@@ -62,16 +75,31 @@ def nnpu_fit(x_pos: np.ndarray, x_un: np.ndarray, prior: float) -> tuple[np.ndar
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         theta -= LEARNING_RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return theta[:d], float(theta[d])
+        np.maximum(theta[:d], 0, out=theta[:d])  # the features are signs of P
+    return theta[:d].astype(float), float(theta[d])
 
 
-def _doc_features(batches):
-    schema = pa.schema([("positive", pa.bool_()), ("feature", pa.binary())])
+def _feature_counts(batches):
+    """Documents with each feature, counted within the task, in P and in U."""
+    schema = pa.schema([("feature", pa.binary()), ("level", pa.int32()), ("p", pa.int64()), ("u", pa.int64())])
+    counts = {True: Counter(), False: Counter()}
+
+    def flush():
+        keys = list(counts[True].keys() | counts[False].keys())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([f for f, _ in keys], pa.binary()), pa.array([n for _, n in keys], pa.int32()),
+             *(pa.array([counts[c][k] for k in keys], pa.int64()) for c in (True, False))],
+            schema=schema)
+        counts[True].clear()
+        counts[False].clear()
+        return out
+
     for batch in batches:
         for positive, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found = {f for w in set(ascii_words(text)) for f in word_features(w)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([positive] * len(found), pa.bool_()), pa.array(list(found), pa.binary())], schema=schema)
+            counts[positive].update(text_features(text))
+            if len(counts[positive]) > CACHE_WORDS:
+                yield flush()
+    yield flush()
 
 
 def _doc_vectors(vocabulary):
@@ -83,7 +111,7 @@ def _doc_vectors(vocabulary):
             pos, at = [], []
             for positive, text in zip(*(c.to_pylist() for c in batch.columns)):
                 pos.append(positive)
-                at.append(sorted({index[f] for w in set(ascii_words(text)) for f in word_features(w) if f in index}))
+                at.append(sorted(index[f] for f in text_features(text) if f in index))
             yield pa.RecordBatch.from_arrays([pa.array(pos, pa.bool_()), pa.array(at, pa.list_(pa.int32()))], schema=schema)
 
     return run
@@ -115,19 +143,20 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = F.broadcast(positive.union(unlabelled))
     texts = cut_lineage(
         docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-        .join(chosen, "id").select("positive", "text"))
+        .join(chosen, "id").select("positive", "text")
+        .dropDuplicates(["positive", "text"]))  # copies would make their words look significant
     sizes = {r["positive"]: r["n"] for r in texts.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     model = {"features": [], "weights": np.zeros(0), "bias": float(np.log(prior / (1 - prior))), "prior": prior}
     if not n_p or not n_u:
         return model
-    counts = texts.mapInArrow(_doc_features, "positive boolean, feature binary").groupBy("feature").agg(
-        F.sum(F.col("positive").cast("double")).alias("p"), F.sum((~F.col("positive")).cast("double")).alias("u"))
+    counts = texts.mapInArrow(_feature_counts, "feature binary, level int, p bigint, u bigint").groupBy("feature", "level").agg(
+        F.sum("p").alias("p"), F.sum("u").alias("u"))
     share = (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + F.lit(1e-12))
-    top = (counts.filter(F.col("p") >= MIN_DOCS).withColumn("z", z).filter(F.col("z") >= MIN_Z)
-           .orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect())
-    features = [bytes(r["feature"]) for r in top]
+    top = (counts.filter(F.col("p") >= max(MIN_DOCS, MIN_SHARE * n_p)).withColumn("z", z).filter(F.col("z") >= MIN_Z)
+           .orderBy(F.desc("z"), "feature", "level").limit(FEATURES).select("feature", "level").collect())
+    features = [(bytes(r["feature"]), r["level"]) for r in top]
     if not features:
         return model
     rows = texts.mapInArrow(_doc_vectors(features), "positive boolean, at array<int>").toPandas()
@@ -144,19 +173,24 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa
 
 def _score(model):
     def run(batches):
-        index = {f: i for i, f in enumerate(model.value["features"])}
-        weights, bias = model.value["weights"], model.value["bias"]
-        known: dict[bytes, tuple] = {}
+        weights: dict[bytes, list[tuple[int, float]]] = {}
+        for (f, n), w in zip(model.value["features"], model.value["weights"].tolist()):
+            weights.setdefault(f, []).append((n, w))
+        bias = model.value["bias"]
+        known: dict[bytes, tuple] = {}  # features of words that the model has
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column(2)):
-                words = set(ascii_words(text.as_py()))
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                for w in words - known.keys():
-                    known[w] = tuple(index[f] for f in word_features(w) if f in index)
-                hits = set().union(*map(known.__getitem__, words))
-                scores[i] = bias + sum(weights[k] for k in sorted(hits))
+                counts: dict[bytes, int] = {}
+                for w in ascii_words(text.as_py()):
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = tuple(f for f in word_features(w) if f in weights)
+                    for f in found:
+                        counts[f] = counts.get(f, 0) + 1
+                scores[i] = bias + sum(w for f in sorted(counts) for n, w in weights[f] if counts[f] >= n)
             scores = 1 / (1 + np.exp(-np.clip(scores, -40, 40)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores),
