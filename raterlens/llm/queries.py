@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raterlens.llm import bpe, exact_dedup, html_extract, langid, licenses, minhash, mixing, pii, toxicity
+from raterlens.llm import bpe, exact_dedup, html_extract, langid, licenses, minhash, mixing, pii, toxicity, vec_dedup
 from raterlens.llm.common import LOWER, UPPER
 from raterlens.sources.tables import read_table
 
@@ -35,6 +35,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+def op6_vec_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec_dedup.embedding_duplicates(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_bpe": op4_bpe,
     "op5_langid": op5_langid,
+    "op6_vec_dedup": op6_vec_dedup,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": mixing.ORACLE_SQL,
+    "op6_vec_dedup": vec_dedup.ORACLE_SQL,
     "op7_minhash": minhash.ORACLE_SQL,
     "op10_exact_dedup": f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
