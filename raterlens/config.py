@@ -35,9 +35,10 @@ OVERRIDE_SHARE = 0.05
 # Label maps of the external benchmark.
 GOLD_LABEL_MAP = {"hateful": 1, "non-hateful": 0}
 BOUNDARY_CLASS_MAP = {"1": 1, "yes": 1, "no": 0}
-# Seeded order for reproducible random choices: (id * HASH_MULT + seed) % HASH_MOD.
-HASH_MULT = 2654435761
-HASH_MOD = 1000003
+# Seeded order for reproducible random choices: the first ORDER_DIGITS hex digits
+# of md5(id || '_' || seed), an integer below ORDER_RANGE.
+ORDER_DIGITS = 13
+ORDER_RANGE = 16 ** ORDER_DIGITS
 # -----------------------------------------------------------------------------
 
 # Group names used by every per-group evaluation.

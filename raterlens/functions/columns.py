@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.config import HASH_MOD, HASH_MULT
+from raterlens.config import ORDER_DIGITS
 
 
 def col_(c) -> Column:
@@ -54,13 +54,14 @@ def argmax(arr) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def seeded_order(id_col, seed: int) -> Column:
-    """Reproducible pseudo-random order key in [0, HASH_MOD) for an integer id:
-    ``(id * HASH_MULT + seed) mod HASH_MOD``, with the id reduced first so the
-    product stays inside BIGINT (ANSI mode) for any id; SQL engines compute the
-    same value."""
-    i = col_(id_col).cast("bigint")
-    return ((i % F.lit(HASH_MOD)) * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD)
+def seeded_order(id_col, seed) -> Column:
+    """Reproducible pseudo-random order key in [0, ORDER_RANGE) for an id: the
+    leading hex digits of ``md5(id || '_' || seed)``, so every seed (a number
+    or a column) gives an order of its own. SQL engines compute the same value
+    (``plans.sqlkit.seeded_order_sql``)."""
+    s = seed if isinstance(seed, Column) else F.lit(seed)
+    text = F.concat(col_(id_col).cast("string"), F.lit("_"), s.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, ORDER_DIGITS), 16, 10).cast("bigint")
 
 
 def log_sum_exp(arr) -> Column:
@@ -89,3 +90,14 @@ def r6(c) -> Column:
 
 def threshold_array(thresholds: Sequence[int]) -> Column:
     return F.array(*[F.lit(int(t)) for t in thresholds])
+
+
+def unique_on(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, failing the job (lazily) if a key occurs more than once; rows
+    with a NULL key match nothing and are left out. One aggregate by the key,
+    whose partitioning the following join on it reuses."""
+    rest = [c for c in df.columns if c not in keys]
+    g = df.dropna(subset=list(keys)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest) if rest else F.lit(True)).alias("__r"))
+    ok = F.coalesce(F.assert_true(F.col("__n") == 1, F.lit("repeated key " + ", ".join(keys))).cast("boolean"), F.lit(True))
+    return g.filter(ok).select(*keys, *[F.col("__r").getField(c).alias(c) for c in rest])

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from raterlens.config import BOUNDARY_CLASS_MAP, GOLD_LABEL_MAP, HASH_MOD, THRESHOLDS
-from raterlens.functions.columns import map_values, nan_to_null, seeded_order
+from raterlens.config import BOUNDARY_CLASS_MAP, GOLD_LABEL_MAP, ORDER_RANGE, THRESHOLDS
+from raterlens.functions.columns import map_values, nan_to_null, seeded_order, unique_on
 from raterlens.operators.combine import threshold_sweep_metrics
 from raterlens.operators.labels import first_n_per_group
 from raterlens.operators.welfare import annotator_welfare
@@ -77,18 +77,15 @@ def assemble_benchmark(catalog: DataFrame, cases: DataFrame, boundary_raw: DataF
     position (mapped), the prediction catalog (annotator x case) left-joined
     to them on ``case_id``, the extreme flag left-joined by annotator.
 
-    The case side is one row per case and is broadcast after a row-count
-    check; the catalog is the large side and is never shuffled for the case
-    join."""
-    from raterlens.session import broadcast_if_small
-
-    c = positional_join(benchmark_cases(cases), boundary_predictions(boundary_raw),
-                        [case_order], [boundary_order])
-    # One row per case: broadcast behind a row-count check (the static size
-    # estimate of this joined, re-numbered table is unreliable and could
-    # otherwise pick the catalog as the build side).
-    c = broadcast_if_small(c)
-    a = profile.select("annotator_id", "extreme_annotator")
+    The numbered case table is written once, so the planner sees its size and
+    picks the join strategy. Repeated cases or annotators on the right sides
+    are an error: they would multiply catalog rows."""
+    from raterlens.session import cut_lineage
+
+    c = cut_lineage(positional_join(benchmark_cases(cases), boundary_predictions(boundary_raw),
+                                    [case_order], [boundary_order]))
+    c = unique_on(c, "case_id")
+    a = unique_on(profile.select("annotator_id", "extreme_annotator"), "annotator_id")
     return (catalog.join(c, "case_id", "left").join(a, "annotator_id", "left")
             .select("annotator_id", "case_id", "personalised", "label_gold", "boundary",
                     "confidence_score", "extreme_annotator"))
@@ -110,6 +107,6 @@ def sample_trajectories(welfare: DataFrame, n_per_group: int = 5, seed: int = 0)
     ann = welfare.select("annotator_id", "extreme_annotator").distinct().filter(
         F.col("extreme_annotator").isNotNull())
     ann = ann.withColumn("__ord", seeded_order("annotator_id", seed)).withColumn("__n", F.lit(n_per_group))
-    picked = first_n_per_group(ann, "extreme_annotator", "__ord", "annotator_id", "__n", HASH_MOD)
+    picked = first_n_per_group(ann, "extreme_annotator", "__ord", "annotator_id", "__n", ORDER_RANGE)
     return welfare.join(picked.select("annotator_id"), "annotator_id", "left_semi").select(
         "extreme_annotator", "annotator_id", "confidence_threshold", "macro_f1")

@@ -22,18 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterlens.config import GROUP_ALL, GROUP_EXTREME, GROUP_NON_EXTREME, THRESHOLDS
-from raterlens.functions.columns import nan_to_null
+from raterlens.functions.columns import nan_to_null, unique_on
 from raterlens.operators.metrics import classification_report
 
 
 def assemble_eval_fact(rows: DataFrame, boundary: DataFrame, profile: DataFrame) -> DataFrame:
     """Left join boundary predictions (by text) and extreme flags (by
-    annotator) to the evaluated rows. Both right sides are keyed uniquely
-    (one prediction per text, one profile row per annotator), so the left
-    joins cannot fan out; AQE broadcasts them when small at run time."""
+    annotator) to the evaluated rows. A key that repeats on a right side
+    would multiply rows and fails the job; AQE broadcasts the right sides
+    when small at run time."""
     b = boundary.select("text_id", F.col("prediction").alias("boundary"),
                         nan_to_null("confidence_score").alias("confidence_score"))
-    a = profile.select("annotator_id", "extreme_annotator")
+    b = unique_on(b, "text_id")
+    a = unique_on(profile.select("annotator_id", "extreme_annotator"), "annotator_id")
     return rows.join(b, "text_id", "left").join(a, "annotator_id", "left")
 
 

@@ -62,7 +62,7 @@ def balance_classes(majority: DataFrame, seed: int = 0, label: str = "label",
     """Subsample every class to the size of the smallest class (per
     ``by`` group, e.g. per split); the kept rows of a class are the first by
     the seeded hash of the key (ties by key)."""
-    from raterlens.config import HASH_MOD
+    from raterlens.config import ORDER_RANGE
 
     by = [by] if isinstance(by, str) else list(by)
     counts = majority.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__cls_n"))
@@ -72,7 +72,7 @@ def balance_classes(majority: DataFrame, seed: int = 0, label: str = "label",
     else:
         d = majority.withColumn("__m", counts.agg(F.min("__cls_n")).scalar())
     d = d.withColumn("__ord", seeded_order(key, seed))
-    out = first_n_per_group(d, [*by, label], "__ord", key, "__m", HASH_MOD)
+    out = first_n_per_group(d, [*by, label], "__ord", key, "__m", ORDER_RANGE)
     return out.drop("__ord", "__m")
 
 

@@ -9,18 +9,19 @@ or below the cut-off, so the split is a per-row column expression - no join of
 the ratings back to a text list. The cut-off comes from a histogram of the
 order keys (:func:`first_n_per_group`), so no task ever ranks all texts.
 
-The best-of-N search does the same for N seeds at once: N cut-offs (one small
-row per trial, a table bounded by the trial count), then one pass over the
-(text, annotator) pairs that expands each pair over the trials inside the
-stage and aggregates (trial, annotator) counts map-side before the shuffle.
+The best-of-N search does the same for N seeds at once. A first pass over the
+distinct texts counts each trial's order keys in buckets, within the tasks; a
+second one ranks the texts of each trial's boundary bucket alone. The N
+cut-offs (one row per trial) then turn each text into a bit mask of the trials
+whose test set holds it, and one aggregation per annotator sums the bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raterlens.config import HASH_MOD, MIN_TRAIN, N_SPLIT_TRIALS, TEST_FRACTION
+from raterlens.config import MIN_TRAIN, N_SPLIT_TRIALS, ORDER_RANGE, TEST_FRACTION
 from raterlens.functions.columns import seeded_order
 from raterlens.operators.clean import dense_ids
 from raterlens.operators.labels import first_n_per_group
@@ -28,22 +29,16 @@ from raterlens.operators.labels import first_n_per_group
 TRAIN, TEST = "train", "test"
 
 
-def _test_cutoffs(texts: DataFrame, text_id: str, fraction: float, seed: int,
-                  trial: str | None = None) -> DataFrame:
+def _test_cutoffs(texts: DataFrame, text_id: str, fraction: float, seed: int) -> DataFrame:
     """Cut-off (``__co`` order key, ``__ct`` text id) of the test texts, one
-    row per ``trial`` (or one row). ``texts`` holds distinct text ids (and
-    the trial column)."""
-    group = [trial] if trial else ["__g"]
-    t = texts if trial else texts.withColumn("__g", F.lit(0))
-    n = t.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    s = F.lit(seed) + F.col(trial) if trial else F.lit(seed)
-    t = (t.join(n, group)
-         .withColumn("__k", F.floor(F.lit(float(fraction)) * F.col("__n")).cast("bigint"))
-         .withColumn("__ord", seeded_order(text_id, s)))
-    picked = first_n_per_group(t, group, "__ord", text_id, "__k", HASH_MOD)
-    cut = picked.groupBy(*group).agg(F.max(F.struct(F.col("__ord"), F.col(text_id))).alias("__c"))
-    out = cut.select(*group, F.col("__c.__ord").alias("__co"), F.col(f"__c.{text_id}").alias("__ct"))
-    return out if trial else out.drop("__g")
+    row. ``texts`` holds distinct text ids."""
+    n = texts.agg(F.count(F.lit(1))).scalar()
+    t = (texts.withColumn("__g", F.lit(0))
+         .withColumn("__k", F.floor(F.lit(float(fraction)) * n).cast("bigint"))
+         .withColumn("__ord", seeded_order(text_id, seed)))
+    picked = first_n_per_group(t, "__g", "__ord", text_id, "__k", ORDER_RANGE)
+    cut = picked.agg(F.max(F.struct(F.col("__ord"), F.col(text_id))).alias("__c"))
+    return cut.select(F.col("__c.__ord").alias("__co"), F.col(f"__c.{text_id}").alias("__ct"))
 
 
 def _is_test(text_id: str, seed, co: Column, ct: Column) -> Column:
@@ -187,19 +182,60 @@ def split_checks(split_df: DataFrame, annotator: str = "annotator_id", text_id:
 
 # --- best of N random splits (J9) ------------------------------------------
 
-def _trial_test_texts(ratings: DataFrame, n_trials: int, fraction: float, seed: int,
-                      text_id: str) -> DataFrame:
-    """(trial, text_id) of the test texts of every trial: distinct texts
-    expanded over the trial ids (texts x trials, far smaller than ratings x
-    trials), exact first-k per trial by the seeded order."""
-    trials = F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")
-    texts = ratings.select(text_id).distinct()
-    # Every trial splits the same texts: one count (a scalar subquery).
-    n = texts.agg(F.count(F.lit(1))).scalar()
-    t = (texts.select(text_id, trials)
-         .withColumn("__k", F.floor(F.lit(float(fraction)) * n).cast("bigint"))
-         .withColumn("__ord", seeded_order(text_id, F.lit(seed) + F.col("trial"))))
-    return first_n_per_group(t, ["trial"], "__ord", text_id, "__k", HASH_MOD).select("trial", text_id)
+# Buckets of the order keys per trial; a boundary bucket holds this share of the texts.
+TRIAL_BUCKETS = 1024
+
+
+def _trial_cutoffs(texts: DataFrame, text_id: str, n_trials: int, fraction: float, seed: int) -> DataFrame:
+    """(trial, co, ct): the last test text, by (order key, id), of each trial.
+
+    ``texts`` is a written table of distinct ids. The histogram has at most
+    trials x TRIAL_BUCKETS rows after the counts within the tasks; only the
+    texts of the boundary buckets (1 / TRIAL_BUCKETS of them per trial) are
+    shuffled and ranked. A trial without test texts has no row."""
+    width = ORDER_RANGE // TRIAL_BUCKETS
+    k = F.floor(F.lit(float(fraction)) * texts.agg(F.count(F.lit(1))).scalar()).cast("bigint")
+    keyed = texts.select(text_id, F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")) \
+        .withColumn("__ord", seeded_order(text_id, F.lit(seed) + F.col("trial"))) \
+        .withColumn("__b", F.floor(F.col("__ord") / F.lit(width)).cast("int"))
+    hist = keyed.groupBy("trial", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy("trial").orderBy("__b"))
+    edge = hist.withColumn("__upto", upto).filter((F.col("__upto") >= k) & (F.col("__upto") - F.col("__c") < k)) \
+        .select("trial", "__b", (k - F.col("__upto") + F.col("__c")).alias("__left"))
+    # one row per trial: bounded by the number of trials
+    inside = keyed.join(F.broadcast(edge), ["trial", "__b"])
+    rank = F.row_number().over(Window.partitionBy("trial").orderBy("__ord", text_id))
+    return inside.withColumn("__rn", rank).filter(F.col("__rn") == F.col("__left")).select(
+        "trial", F.col("__ord").alias("co"), F.col(text_id).alias("ct"))
+
+
+def _trial_masks(texts: DataFrame, text_id: str, cutoffs: DataFrame, n_trials: int, seed: int) -> DataFrame:
+    """(text, __m0, __m1, ...): 64-bit masks of the trials whose test set
+    holds the text, from the array of cut-offs (one element per trial)."""
+    cuts = cutoffs.agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("trial"), F.struct("co", "ct"))))).scalar()
+
+    def word(j):
+        hi = min(64 * j + 63, n_trials - 1)
+
+        def step(m, t):
+            o, c = seeded_order(text_id, F.lit(seed) + t), F.try_element_at(F.col("__cuts"), t)
+            test = (o < c["co"]) | ((o == c["co"]) & (F.col(text_id) <= c["ct"]))
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (t - F.lit(64 * j)).cast("int"))
+            return m.bitwiseOR(F.when(F.coalesce(test, F.lit(False)), bit).otherwise(F.lit(0).cast("bigint")))
+
+        return F.aggregate(F.sequence(F.lit(64 * j), F.lit(hi)), F.lit(0).cast("bigint"), step)
+
+    t = texts.withColumn("__cuts", cuts)
+    return t.select(text_id, *[word(j).alias(f"__m{j}") for j in range(-(-n_trials // 64))])
+
+
+def _trials(ratings: DataFrame, n_trials: int, fraction: float, seed: int, text_id: str):
+    """Distinct texts and the trials' cut-offs, both written."""
+    from raterlens.session import cut_lineage
+
+    texts = cut_lineage(ratings.select(text_id).filter(F.col(text_id).isNotNull()).distinct())
+    return texts, cut_lineage(_trial_cutoffs(texts, text_id, n_trials, fraction, seed))
 
 
 def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: float = TEST_FRACTION,
@@ -209,11 +245,11 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     refined as in :func:`refine_splits`. One row per trial: kept annotators,
     kept train and test rows, the objective and ``is_best``.
 
-    Plan: the test texts of every trial (exact first-k per trial, on the
-    small texts x trials table) are folded into one row per text holding
-    64-bit masks of the trials in which the text is test. The masks are
-    joined to the (text, annotator) pairs and a single aggregation per
-    annotator sums the bits - one SUM per trial - so the map side combines
+    Plan: the trials' cut-offs come from two passes over the distinct texts
+    (:func:`_trial_cutoffs`); each text becomes one row with 64-bit masks of
+    the trials in which it is test, so no (text x trial) row is shuffled. The
+    masks are joined to the (text, annotator) pairs and a single aggregation
+    per annotator sums the bits - one SUM per trial - so the map side combines
     each annotator's rows before the shuffle (a prolific annotator is spread
     over many tasks) and no (rating x trial) row is ever materialised.
     Train counts are the annotator's total minus its test count.
@@ -224,14 +260,14 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     """
     if objective not in ("total", "train"):
         raise ValueError(f"unknown objective {objective!r}")
+    texts, cutoffs = _trials(ratings, n_trials, fraction, seed, text_id)
+    return _score_trials(ratings, texts, cutoffs, n_trials, seed, min_train, objective, annotator, text_id)
+
+
+def _score_trials(ratings: DataFrame, texts: DataFrame, cutoffs: DataFrame, n_trials: int, seed: int,
+                  min_train: int, objective: str, annotator: str, text_id: str) -> DataFrame:
     pairs = ratings.select(annotator, text_id)
-    tests = _trial_test_texts(ratings, n_trials, fraction, seed, text_id)
-    n_words = -(-n_trials // 64)
-    tr = F.col("trial")
-    masks = tests.groupBy(text_id).agg(*[
-        F.bit_or(F.when((tr >= 64 * j) & (tr < 64 * (j + 1)),
-                        F.expr(f"shiftleft(cast(1 as bigint), cast(trial - {64 * j} as int))"))).alias(f"__m{j}")
-        for j in range(n_words)])
+    masks = _trial_masks(texts, text_id, cutoffs, n_trials, seed)
     r = pairs.join(masks, text_id, "left")
 
     def bit(i):
@@ -265,13 +301,14 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
 def best_split(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: float = TEST_FRACTION,
                seed: int = 0, min_train: int = MIN_TRAIN, objective: str = "total",
                annotator: str = "annotator_id", text_id: str = "text_id") -> DataFrame:
-    """Materialise only the winning trial: split with its seed, refine."""
-    trials = split_trials(ratings, n_trials, fraction, seed, min_train, objective, annotator, text_id)
-    win = trials.filter("is_best").select("trial").scalar()
-    texts = ratings.select(text_id).distinct().withColumn("trial", win)
-    cut = _test_cutoffs(texts, text_id, fraction, seed, trial="trial")
-    c = cut.select(F.struct("__co", "__ct")).scalar()
-    co, ct = c.getField("__co"), c.getField("__ct")
-    s = ratings.withColumn("split", F.when(_is_test(text_id, F.lit(seed) + win, co, ct), F.lit(TEST))
-                           .otherwise(F.lit(TRAIN)))
+    """The winning trial's split, refined. The cut-offs that scored the
+    trials also split the ratings."""
+    if objective not in ("total", "train"):
+        raise ValueError(f"unknown objective {objective!r}")
+    texts, cutoffs = _trials(ratings, n_trials, fraction, seed, text_id)
+    scores = _score_trials(ratings, texts, cutoffs, n_trials, seed, min_train, objective, annotator, text_id)
+    win = scores.filter("is_best").select("trial").scalar()
+    c = cutoffs.filter(F.col("trial") == win).select(F.struct("co", "ct")).scalar()
+    s = ratings.withColumn("split", F.when(
+        _is_test(text_id, F.lit(seed) + win, c.getField("co"), c.getField("ct")), F.lit(TEST)).otherwise(F.lit(TRAIN)))
     return refine_splits(s, min_train, annotator)

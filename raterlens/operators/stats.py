@@ -3,16 +3,18 @@ bootstrap interval (D25-D28)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import math
+from raterlens.config import ORDER_RANGE
+from raterlens.functions.columns import seeded_order
 
-# Poisson(1) cumulative probabilities P(K <= k), k = 0..9, for the Poisson
-# bootstrap weights.
-_POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+# Poisson(1) cumulative probabilities P(K <= k) for the bootstrap weights, up to
+# the resolution of a double (P(K > 17) is below 1e-16).
+POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
 
 def welch_ttest(df: DataFrame, group: Sequence[str], sample_col: str, value: str, reference) -> DataFrame:
@@ -80,9 +82,9 @@ def boxplot_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def poisson1_weight(u) -> F.Column:
     """Poisson(1) draw from a uniform in [0, 1) by inverse CDF."""
-    w = F.lit(len(_POISSON1_CDF))
-    for k in range(len(_POISSON1_CDF) - 1, -1, -1):
-        w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
+    w = F.lit(len(POISSON1_CDF))
+    for k in range(len(POISSON1_CDF) - 1, -1, -1):
+        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
     return w
 
 
@@ -90,18 +92,20 @@ def mean_with_ci(df: DataFrame, group: Sequence[str], key: str, value: str, repl
                  seed: int = 0, level: float = 0.95) -> DataFrame:
     """Mean and bootstrap percentile interval per group (Poisson
     bootstrap: each row gets an independent Poisson(1) weight per replicate
-    from a hash of (key, replicate, seed); replicate means are partial
-    aggregates, so no group is ever resampled in one task)."""
+    from the seeded hash of its key). A row carries its weights as one array
+    and each replicate is a pair of sums, combined within the tasks: rows are
+    neither multiplied nor resampled. The intervals are taken over
+    groups x replicates means."""
     group = list(group)
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("__rep")
-    x = df.select(*group, key, value, rep)
-    h = F.xxhash64(F.col(key), F.col("__rep"), F.lit(seed))
-    u = (F.pmod(h, F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30)))
-    x = x.withColumn("__w", poisson1_weight(u))
-    means = x.groupBy(*group, "__rep").agg(
-        F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("__m"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson1_weight(
+        seeded_order(key, F.lit(seed * replicates) + r) / F.lit(float(ORDER_RANGE))))
+    x = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("__x"), weights.alias("__w"))
+    sums = x.groupBy(*group).agg(
+        F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col("__w")[r] * F.col("__x")).alias(f"__s{r}") for r in range(replicates)],
+        *[F.sum(F.col("__w")[r]).alias(f"__n{r}") for r in range(replicates)])
+    means = sums.select(*group, "mean", "n", F.explode(F.array(*[
+        F.try_divide(F.col(f"__s{r}"), F.col(f"__n{r}")) for r in range(replicates)])).alias("__m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ci = means.groupBy(*group).agg(F.percentile("__m", [lo, hi]).alias("__ci"))
-    point = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    return point.join(ci, group).select(*group, "mean", "n", F.col("__ci")[0].alias("ci_low"),
-                                        F.col("__ci")[1].alias("ci_high"))
+    return means.groupBy(*group, "mean", "n").agg(F.percentile("__m", [lo, hi]).alias("__ci")).select(
+        *group, "mean", "n", F.col("__ci")[0].alias("ci_low"), F.col("__ci")[1].alias("ci_high"))

@@ -3,12 +3,17 @@ and sampled trajectories (C8, J28-J30)."""
 
 from __future__ import annotations
 
-from raterlens.config import HASH_MOD, HASH_MULT
+from pyspark.sql import functions as F
+
+from raterlens.config import OVERRIDE_SHARE
 from raterlens.operators import benchmark as bm
+from raterlens.operators import stats as st
+from raterlens.operators import welfare as wf
+from raterlens.plans import welfare as wf_sql
 from raterlens.plans.base import query
 from raterlens.plans.evaluation import _REP_OUT
 from raterlens.plans.oracle_views import with_views
-from raterlens.plans.sqlkit import groups_cte, report_ctes, sweep_cte
+from raterlens.plans.sqlkit import groups_cte, report_ctes, seeded_order_sql, sweep_cte
 from raterlens.sources import fixtures as fx
 
 SEED = 7
@@ -88,7 +93,7 @@ def benchmark_welfare(spark, sf):
 
 @query("sample_trajectories", BENCH_WELFARE_SQL + f""", pick as (select annotator_id from
   (select annotator_id, row_number() over (partition by extreme_annotator
-    order by ((annotator_id % {HASH_MOD}) * {HASH_MULT} + {SEED}) % {HASH_MOD}, annotator_id) rn
+    order by {seeded_order_sql('annotator_id', SEED)}, annotator_id) rn
    from (select distinct annotator_id, extreme_annotator from welfare where extreme_annotator is not null) q) q2
   where rn <= {PER_GROUP})
 select extreme_annotator, annotator_id::bigint annotator_id, confidence_threshold::bigint confidence_threshold,
@@ -97,3 +102,39 @@ def sample_trajectories(spark, sf):
     """Macro-F1 over thresholds of 5 seeded annotators per extreme flag."""
     return bm.sample_trajectories(bm.benchmark_welfare(fx.bench_fact(spark, sf)), PER_GROUP, SEED)
 
+
+@query("benchmark_welfare_summary", BENCH_WELFARE_SQL + wf_sql.SUMMARY_SELECT)
+def benchmark_welfare_summary(spark, sf):
+    """The welfare summary on the external benchmark."""
+    return wf.welfare_summary(bm.benchmark_welfare(fx.bench_fact(spark, sf)))
+
+
+@query("benchmark_welch_ttest", BENCH_WELFARE_SQL + wf_sql.WELCH_SELECT)
+def benchmark_welch_ttest(spark, sf):
+    """Welch tests of threshold 100 against the others on the benchmark."""
+    return st.welch_ttest(bm.benchmark_welfare(fx.bench_fact(spark, sf)), ["extreme_annotator"],
+                          "confidence_threshold", "macro_f1", 100)
+
+
+@query("benchmark_overridden_fraction", BENCH_WELFARE_SQL
+       + wf_sql.fraction_select(f"n_overridden_preds > {OVERRIDE_SHARE} * n_preds_total"))
+def benchmark_overridden_fraction(spark, sf):
+    """Annotators with overrides on more than 5 % of their predictions."""
+    return wf.overridden_annotator_fraction(bm.benchmark_welfare(fx.bench_fact(spark, sf)), rule="share")
+
+
+@query("benchmark_f1_curve", BENCH_WELFARE_SQL + wf_sql.CURVE_SELECT)
+def benchmark_f1_curve(spark, sf):
+    """Annotator-averaged macro-F1 per group and threshold on the benchmark."""
+    return wf.welfare_f1_curve(bm.benchmark_welfare(fx.bench_fact(spark, sf)))
+
+
+@query("benchmark_overrides_by_group", BENCH_WELFARE_SQL + """select extreme_annotator,
+  sum(n_preds_total)::bigint n_preds_total, sum(n_overridden_preds)::bigint n_overridden_preds,
+  count(*)::bigint n_annotators from welfare where confidence_threshold = 85 group by extreme_annotator""")
+def benchmark_overrides_by_group(spark, sf):
+    """Predictions, overridden ones at threshold 85 and annotators per flag."""
+    w = bm.benchmark_welfare(fx.bench_fact(spark, sf), thresholds=(85,))
+    return w.groupBy("extreme_annotator").agg(
+        F.sum("n_preds_total").alias("n_preds_total"), F.sum("n_overridden_preds").alias("n_overridden_preds"),
+        F.count(F.lit(1)).alias("n_annotators"))

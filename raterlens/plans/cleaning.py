@@ -8,6 +8,7 @@ from raterlens.functions.columns import composite_key
 from raterlens.operators import clean
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
+from raterlens.session import cut_lineage
 from raterlens.sources import fixtures as fx
 
 _J1_SQL = with_views("ratings_raw", extra="""ids as (
@@ -121,6 +122,7 @@ def anti_join_dropped(spark, sf):
     """Raw rows minus the saved list of dropped sample ids (anti join)."""
     raw = fx.ratings_raw(spark, sf)
     _, dropped = clean.clean_by_conflict(raw)
+    dropped = cut_lineage(dropped)  # the list is saved and read back
     keyed = raw.withColumn("sample_id", composite_key("comment_id", "source", "worker_id"))
     return keyed.join(dropped, "sample_id", "left_anti").select(
         "comment", "comment_id", "source", "worker_id", "toxic_score")

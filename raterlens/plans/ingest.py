@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raterlens.plans.base import query
@@ -24,12 +23,17 @@ RAW_SCHEMA = T.StructType([
 ])
 
 
-@query("scan_csv_roundtrip")
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scan_csv_roundtrip", with_views("ratings_raw") + """select comment, comment_id::bigint comment_id, source,
+  worker_id, toxic_score::bigint toxic_score, text_id::bigint text_id, annotator_id::bigint annotator_id
+  from ratings_raw""")
 def scan_csv_roundtrip(spark, sf):
     """A7 then A1: write the raw ratings as CSV into the shared scratch folder
     and read them back with an explicit schema."""
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/csv-roundtrip-{uuid.uuid4().hex}"
+    path = _scratch(spark, "csv-roundtrip")
     files.write_csv(fx.ratings_raw(spark, sf), path)
     return files.read_csv(spark, path, RAW_SCHEMA)
 
@@ -37,16 +41,19 @@ def scan_csv_roundtrip(spark, sf):
 @query("explode_ratings_json", with_views("ratings_raw") + """select comment, comment_id::bigint comment_id,
   source, worker_id, toxic_score::bigint toxic_score from ratings_raw""")
 def explode_ratings_json(spark, sf):
-    """A3: ratings serialised as JSON documents with a nested ``ratings`` list
-    (one document per raw row), parsed back with ``from_json`` and exploded."""
-    r = fx.ratings_raw(spark, sf)
-    doc = F.to_json(F.struct("comment", "comment_id", "source",
-                             F.array(F.struct("worker_id", "toxic_score")).alias("ratings")))
-    return files.parse_ratings_json(r.select(doc.alias("value")))
+    """A3: ratings written as JSON lines, several to a document, read back as
+    files and exploded to one row per rating."""
+    path = _scratch(spark, "ratings-jsonl")
+    files.write_ratings_jsonl(fx.ratings_raw(spark, sf), path)
+    return files.read_ratings_jsonl(spark, path)
 
 
-@query("model_input_export", with_views("test_ratings") + """select comment as text, y::bigint label,
-  annotator_id::bigint annotator_ids from test_ratings""")
+@query("model_input_export", with_views("split_ratings") + """select split, comment as text, y::bigint label,
+  annotator_id::bigint annotator_ids from split_ratings""")
 def model_input_export(spark, sf):
-    """Model-input columns of the test split (text, label, annotator_ids)."""
-    return files.model_input(fx.test_ratings(spark, sf), label="y")
+    """Model input (text, label, annotator_ids) of both splits, through
+    its sink."""
+    r = fx.split_ratings(spark, sf)
+    path = _scratch(spark, "model-input")
+    files.export_model_input(files.model_input(r, label="y", keep=["split"]), path)
+    return spark.read.parquet(path).select("split", "text", "label", "annotator_ids")

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raterlens.config import BOUNDARY_CLASS_MAP, GOLD_LABEL_MAP, HASH_MOD
-from raterlens.functions.columns import binarize, map_values
+from raterlens.config import BOUNDARY_CLASS_MAP, GOLD_LABEL_MAP
+from raterlens.functions.columns import binarize, map_values, seeded_order
 from raterlens.operators import labels as lab
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
+from raterlens.plans.sqlkit import seeded_order_sql
 from raterlens.sources import fixtures as fx
 from raterlens.sources.tables import read_table
 
@@ -41,7 +42,7 @@ def majority_vote(spark, sf):
 m as (select split, min(n) m from cls group by split)
 select split, text_id::bigint text_id, text, label::bigint label from (
   select maj.*, m.m, row_number() over (partition by maj.split, label
-    order by ((text_id % {HASH_MOD}) * 2654435761 + {SEED}) % {HASH_MOD}, text_id) rn
+    order by {seeded_order_sql('text_id', SEED)}, text_id) rn
   from maj join m on maj.split = m.split) q where rn <= m""")
 def balance_classes(spark, sf):
     """Per split, every class cut to the minority size by seeded order."""
@@ -91,10 +92,13 @@ def head_n(spark, sf):
     return _majority(spark, sf).filter(F.col("split") == "train").orderBy("text_id").limit(HEAD_N)
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", _MAJ + f"""select split, text_id::bigint text_id, text, label::bigint label,
+  {seeded_order_sql('text_id', SEED)} shuffle_key from maj where split = 'train'""")
 def shuffle_rows(spark, sf):
-    """the train majority data in seeded random order."""
-    return _majority(spark, sf).filter(F.col("split") == "train").orderBy(F.rand(SEED))
+    """the train majority data in seeded random order (by the hash of the
+    text id, whatever the partitioning), with the key it is ordered by."""
+    m = _majority(spark, sf).filter(F.col("split") == "train").withColumn("shuffle_key", seeded_order("text_id", SEED))
+    return m.orderBy("shuffle_key", "text_id")
 
 
 @query("binarize_labels", with_views("ratings_raw") + """select text_id::bigint text_id,

@@ -34,9 +34,10 @@ left join annotators a on r.annotator_id = a.annotator_id where r.text_id % 5 =
     "bench_cases": """select item_id case_id, case when item_id % 3 <> 0 then 'hateful' else 'non-hateful' end label_gold,
   case item_id % 4 when 0 then 'no' when 1 then '1' when 2 then 'yes' else 'no' end class_label,
   cast(60.0 + (item_id * 7) % 41 as double) confidence_score from benchmark""",
-    "bench_catalog": """select a.annotator_id, c.case_id,
+    "bench_catalog": """select distinct a.annotator_id, c.case_id,
   cast((a.annotator_id * 3 + c.case_id * 5) % 7 < 4 as int) personalised
-  from annotators a cross join bench_cases c""",
+  from (select distinct annotator_id, text_id from ratings) a join bench_cases c on c.case_id =
+    (select min(case_id) from bench_cases) + a.text_id % (select max(case_id) - min(case_id) + 1 from bench_cases)""",
     "bench_fact": """select c.annotator_id, c.case_id, c.personalised, b.label_gold y, b.boundary,
   b.confidence_score, a.extreme_annotator from bench_catalog c left join
   (select case_id, case label_gold when 'hateful' then 1 when 'non-hateful' then 0 end label_gold,
@@ -55,7 +56,7 @@ DEPENDS = {
     "split_ratings": ["ratings"],
     "eval_rows": ["ratings", "boundary_preds", "annotators"],
     "bench_cases": [],
-    "bench_catalog": ["annotators", "bench_cases"],
+    "bench_catalog": ["ratings", "bench_cases"],
     "bench_fact": ["bench_catalog", "bench_cases", "annotators"],
 }
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raterlens.config import HASH_MOD, MIN_TEST, MIN_TRAIN
+from raterlens.config import EXTREME_CUT, EXTREME_GAP, MIN_TEST, MIN_TRAIN, ORDER_RANGE
 from raterlens.functions.columns import seeded_order
 from raterlens.operators import annotators as ann
 from raterlens.operators.labels import first_n_per_group
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
+from raterlens.plans.sqlkit import seeded_order_sql
 from raterlens.sources import fixtures as fx
 
 # Parameters of the registered queries (fixed here; the operators take any value).
@@ -26,7 +27,7 @@ SEED = 7
   from annotators""")
 def annotator_profile(spark, sf):
     """Per annotator distinct texts, mean deviation, percent lower/higher, extreme flag."""
-    return fx.annotators(spark, sf)
+    return ann.annotator_profile(fx.ratings(spark, sf), score="y", gap=EXTREME_GAP, cut=EXTREME_CUT)
 
 
 @query("text_mean_deviation", with_views("ratings") + """select text_id::bigint text_id,
@@ -193,11 +194,11 @@ def first_n_annotators(spark, sf):
 
 @query("sample_annotators", with_views("annotators") + f"""select extreme_annotator, annotator_id::bigint
   annotator_id from (select *, row_number() over (partition by extreme_annotator
-  order by ((annotator_id % {HASH_MOD}) * 2654435761 + {SEED}) % {HASH_MOD}, annotator_id) rn
+  order by {seeded_order_sql('annotator_id', SEED)}, annotator_id) rn
   from annotators) q where rn <= {SAMPLE_PER_GROUP}""")
 def sample_annotators(spark, sf):
     """5 annotators per extreme flag, without replacement, seeded."""
     a = fx.annotators(spark, sf).select("extreme_annotator", "annotator_id")
     a = a.withColumn("__ord", seeded_order("annotator_id", SEED)).withColumn("__n", F.lit(SAMPLE_PER_GROUP))
-    return first_n_per_group(a, "extreme_annotator", "__ord", "annotator_id", "__n", HASH_MOD).select(
+    return first_n_per_group(a, "extreme_annotator", "__ord", "annotator_id", "__n", ORDER_RANGE).select(
         "extreme_annotator", "annotator_id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raterlens.config import HASH_MOD, HASH_MULT, MIN_TEST, MIN_TRAIN, TEST_FRACTION
+from raterlens.config import MIN_TEST, MIN_TRAIN, TEST_FRACTION
 from raterlens.operators import annotators as ann
 from raterlens.operators import splits as sp
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
+from raterlens.plans.sqlkit import seeded_order_sql
 from raterlens.sources import fixtures as fx
 
 # Parameters of the registered queries (the operators take any value).
@@ -35,8 +36,8 @@ def _refined(spark, sf):
     return sp.refine_splits(_split(spark, sf), MIN_TRAIN)
 
 
-def _order(seed_sql: str) -> str:
-    return f"((text_id % {HASH_MOD}) * {HASH_MULT} + {seed_sql}) % {HASH_MOD}"
+def _order(seed_sql, text_id: str = "text_id") -> str:
+    return seeded_order_sql(text_id, seed_sql)
 
 
 _SPLIT_CTES = f"""base as (select text_id, annotator_id, worker_id, toxic_score, y from ratings
@@ -59,7 +60,7 @@ SPLIT_SQL = with_views("ratings", extra=_SPLIT_CTES)
   annotator_id::bigint annotator_id, y::bigint y from sp""")
 def split_on_texts(spark, sf):
     """20 % of the distinct texts (seeded) are test; rows follow their text."""
-    return _split(spark, sf).select("split", "text_id", "annotator_id", "y")
+    return sp.split_on_texts(_base(spark, sf), TEST_FRACTION, SEED).select("split", "text_id", "annotator_id", "y")
 
 
 @query("refine_splits", SPLIT_SQL + """select split, text_id::bigint text_id,
@@ -186,7 +187,7 @@ def split_checks(spark, sf):
 _TRIAL_SQL = with_views("ratings", extra=_SPLIT_CTES + f""",
 tr as (select range trial from range({N_TRIALS})),
 tt as (select t.trial, x.text_id,
-  row_number() over (partition by t.trial order by {_order(f'({SEED} + t.trial)')}, x.text_id) rn,
+  row_number() over (partition by t.trial order by {_order(f'({SEED} + t.trial)', 'x.text_id')}, x.text_id) rn,
   count(*) over (partition by t.trial) n from texts x cross join tr t),
 tst as (select trial, text_id from tt where rn <= floor(cast({TEST_FRACTION} as double) * n)),
 pc as (select t.trial, b.annotator_id, count(*) filter (where s.text_id is null) n_train,
@@ -206,3 +207,21 @@ def best_split_trial(spark, sf):
     """100 seeded splits scored in one pass (refined; objective = kept
     train + test rows); the earliest best trial is flagged."""
     return sp.split_trials(_base(spark, sf), N_TRIALS, TEST_FRACTION, SEED, MIN_TRAIN, "total")
+
+
+@query("best_split", _TRIAL_SQL + f""", win as (select trial from obj order by objective desc, trial limit 1),
+wt as (select text_id from tst where trial = (select trial from win)),
+ws as (select b.*, case when b.text_id in (select text_id from wt) then 'test' else 'train' end split from base b),
+wc as (select annotator_id, count(*) filter (where split = 'train') n_train,
+  count(*) filter (where split = 'test') n_test from ws group by annotator_id),
+wr as (select * from ws where annotator_id in
+  (select annotator_id from wc where n_train >= {MIN_TRAIN} and n_test > 0)),
+ids as (select worker_id, row_number() over (order by worker_id) - 1 annotator_id
+  from (select distinct worker_id from wr where split = 'train') q)
+select r.split, r.text_id::bigint text_id, r.worker_id, ids.annotator_id::bigint annotator_id, r.y::bigint y
+  from wr r join ids on r.worker_id = ids.worker_id""")
+def best_split(spark, sf):
+    """The winning split of the 100 trials, refined, with dense
+    annotator ids."""
+    w = sp.best_split(_base(spark, sf), N_TRIALS, TEST_FRACTION, SEED, MIN_TRAIN, "total").drop("annotator_id")
+    return sp.assign_annotator_ids(w).select("split", "text_id", "worker_id", "annotator_id", "y")

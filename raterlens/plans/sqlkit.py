@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raterlens.config import THRESHOLDS
+from raterlens.config import ORDER_DIGITS, THRESHOLDS
 
 THRESHOLD_LIST = ", ".join(f"({t})" for t in THRESHOLDS)
 
@@ -40,6 +40,12 @@ def groups_cte(name: str, src: str) -> str:
   union all select 'non_extreme' annotator_group, * from {src} where not extreme_annotator)"""
 
 
+def seeded_order_sql(id_sql: str, seed_sql) -> str:
+    """DuckDB text of ``functions.columns.seeded_order``."""
+    return (f"('0x' || substr(md5(cast({id_sql} as varchar) || '_' || cast({seed_sql} as varchar)), 1, "
+            f"{ORDER_DIGITS}))::bigint")
+
+
 R6 = "round({0}, 6) {0}"
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raterlens.config import SELECTED_THRESHOLDS, THRESHOLDS
+from raterlens.config import ORDER_RANGE, SELECTED_THRESHOLDS, THRESHOLDS
 from raterlens.operators import stats as st
 from raterlens.operators import welfare as wf
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
-from raterlens.plans.sqlkit import groups_cte, report_ctes, sweep_cte
+from raterlens.plans.sqlkit import groups_cte, report_ctes, seeded_order_sql, sweep_cte
 from raterlens.sources import fixtures as fx
 
 WELFARE_SQL = with_views("eval_rows", extra=(
@@ -52,8 +52,12 @@ _SUMMARY_COLS = """round_even(100.0 * count(*) filter (where n_overridden_preds
     macro_f1_delta_decrease_median"""
 
 
-@query("welfare_summary", WELFARE_SQL + f"""select confidence_threshold::bigint confidence_threshold,
-  {_SUMMARY_COLS}, count(*)::bigint n_annotators_total from welfare group by confidence_threshold""")
+# The same statements over the ``welfare`` CTE serve the external benchmark.
+SUMMARY_SELECT = f"""select confidence_threshold::bigint confidence_threshold,
+  {_SUMMARY_COLS}, count(*)::bigint n_annotators_total from welfare group by confidence_threshold"""
+
+
+@query("welfare_summary", WELFARE_SQL + SUMMARY_SELECT)
 def welfare_summary(spark, sf):
     """Per threshold: % annotators with overrides, improving, worse;
     median F1 gain and loss (2 decimals, half-even); total."""
@@ -70,22 +74,29 @@ def welfare_summary_selected(spark, sf):
     return wf.welfare_summary_selected(_welfare(spark, sf))
 
 
-@query("welfare_f1_curve", WELFARE_SQL.replace("welfare as (", "welfare as (", 1)[:-1] + ",\n"
-       + groups_cte("g", "welfare") + "\n" + """select annotator_group,
+CURVE_SELECT = ", " + groups_cte("g", "welfare") + """
+select annotator_group,
   confidence_threshold::bigint confidence_threshold, round(avg(macro_f1), 6) mean_macro_f1,
   round(avg(macro_f1_baseline), 6) mean_macro_f1_baseline, count(*)::bigint n_annotators
-  from g group by annotator_group, confidence_threshold""")
+  from g group by annotator_group, confidence_threshold"""
+
+
+@query("welfare_f1_curve", WELFARE_SQL + CURVE_SELECT)
 def welfare_f1_curve(spark, sf):
     """Annotator-averaged macro-F1 per group and threshold, with the
     averaged baseline."""
     return wf.welfare_f1_curve(_welfare(spark, sf))
 
 
-@query("overridden_annotator_fraction", WELFARE_SQL[:-1] + ",\n" + groups_cte("g", "welfare") + "\n" + """select
-  annotator_group, confidence_threshold::bigint confidence_threshold,
-  round(avg(case when n_overridden_preds >= 1 then 1.0 else 0.0 end), 6) frac_overridden_annotators,
+def fraction_select(overridden: str) -> str:
+    return ", " + groups_cte("g", "welfare") + f"""
+select annotator_group, confidence_threshold::bigint confidence_threshold,
+  round(avg(case when {overridden} then 1.0 else 0.0 end), 6) frac_overridden_annotators,
   count(*)::bigint n_annotators, (100 - confidence_threshold)::bigint boundary_model_acceptance
-  from g group by annotator_group, confidence_threshold""")
+  from g group by annotator_group, confidence_threshold"""
+
+
+@query("overridden_annotator_fraction", WELFARE_SQL + fraction_select("n_overridden_preds >= 1"))
 def overridden_annotator_fraction(spark, sf):
     """Fraction of annotators with >= 1 override, per group and threshold."""
     return wf.overridden_annotator_fraction(_welfare(spark, sf), rule="any")
@@ -178,7 +189,7 @@ def welfare_wide(spark, sf):
     return wf.welfare_wide(_welfare(spark, sf))
 
 
-@query("welch_ttest", WELFARE_SQL + """, mom as (select extreme_annotator, confidence_threshold,
+WELCH_SELECT = """, mom as (select extreme_annotator, confidence_threshold,
   avg(macro_f1) m, var_samp(macro_f1) v, count(macro_f1) n from welfare group by extreme_annotator, confidence_threshold),
 j as (select a.extreme_annotator, a.m m_a, a.v / a.n se_a, a.n n_a, b.confidence_threshold threshold_b,
   b.m m_b, b.v / b.n se_b, b.n n_b from mom a join mom b on a.extreme_annotator = b.extreme_annotator
@@ -187,7 +198,10 @@ select extreme_annotator, 100::bigint threshold_a, threshold_b::bigint threshold
   round(case when se_a + se_b > 0 then (m_a - m_b) / sqrt(se_a + se_b) end, 6) t_stat,
   round(case when se_a * se_a / (n_a - 1) + se_b * se_b / (n_b - 1) > 0 then
     (se_a + se_b) * (se_a + se_b) / (se_a * se_a / (n_a - 1) + se_b * se_b / (n_b - 1)) end, 6) dof,
-  n_a::bigint n_a, n_b::bigint n_b from j""")
+  n_a::bigint n_a, n_b::bigint n_b from j"""
+
+
+@query("welch_ttest", WELFARE_SQL + WELCH_SELECT)
 def welch_ttest(spark, sf):
     """Welch t and degrees of freedom, threshold 100 against each
     other threshold, per extreme flag."""
@@ -232,9 +246,25 @@ def histogram_density(spark, sf):
     return st.histogram_density(per, "x", 20)
 
 
-@query("mean_with_ci")
+_CI_REPS, _CI_SEED = 200, 3
+_CI_WEIGHT = "case " + " ".join(f"when u < {p!r} then {k}" for k, p in enumerate(st.POISSON1_CDF)) \
+    + f" else {len(st.POISSON1_CDF)} end"
+
+
+@query("mean_with_ci", WELFARE_SQL + f""", bw as (select confidence_threshold, extreme_annotator, macro_f1, rep, {_CI_WEIGHT} w
+  from (select *, {seeded_order_sql('annotator_id', f'({_CI_SEED * _CI_REPS} + rep)')} / {float(ORDER_RANGE)!r} u
+    from welfare cross join (select range rep from range({_CI_REPS})) q) q2),
+bm as (select confidence_threshold, extreme_annotator, rep, sum(w * macro_f1) / nullif(sum(case when macro_f1 is not null
+    then w end), 0) m from bw group by confidence_threshold, extreme_annotator, rep),
+ci as (select confidence_threshold, extreme_annotator, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi
+  from bm group by confidence_threshold, extreme_annotator),
+pt as (select confidence_threshold, extreme_annotator, avg(macro_f1) a, count(macro_f1) n
+  from welfare group by confidence_threshold, extreme_annotator)
+select pt.confidence_threshold::bigint confidence_threshold, pt.extreme_annotator, round(a, 6) mean, n::bigint n,
+  round(lo, 6) ci_low, round(hi, 6) ci_high from pt join ci on pt.confidence_threshold = ci.confidence_threshold
+  and pt.extreme_annotator = ci.extreme_annotator""")
 def mean_with_ci(spark, sf):
     """Mean macro-F1 per threshold and flag with a 95 % Poisson-bootstrap
     interval (200 replicates)."""
     return st.mean_with_ci(_welfare(spark, sf), ["confidence_threshold", "extreme_annotator"],
-                           "annotator_id", "macro_f1", replicates=200, seed=3)
+                           "annotator_id", "macro_f1", replicates=_CI_REPS, seed=_CI_SEED)

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Session settings the jobs are written against. AQE turns small shuffle
 # outputs into broadcast joins at run time (a size-checked broadcast), splits
@@ -40,8 +39,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``. Where it is unset, a
+    session on a local master gets a fresh scratch folder; any other raises,
+    since executors would each write to a disk of their own."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
     local = tempfile.mkdtemp(prefix="raterlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
@@ -68,17 +70,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/raterlens-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-# Largest dimension broadcast by :func:`broadcast_if_small` (rows).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Size-checked broadcast: count the rows (one small job on a dimension
-    table) and mark ``df`` for broadcast only when the count is within
-    ``max_rows``; beyond it the join stays a shuffle join (AQE may still
-    convert it at run time). Use on sides whose size is not data-independent,
-    where a static estimate can pick the wrong side."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df

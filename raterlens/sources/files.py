@@ -20,17 +20,52 @@ RAW_DOCUMENT = T.StructType([
 ])
 
 
+def _escape(c):
+    """Backslashes and line breaks as two characters, so a record is one line."""
+    for raw, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(coded))
+    return c
+
+
+def _unescape(c):
+    parts = F.split(c, r"\\\\")
+    plain = F.transform(parts, lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(plain, "\\")
+
+
+def _strings(schema: T.StructType) -> set[str]:
+    return {f.name for f in schema if isinstance(f.dataType, T.StringType)}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, no index; quotes/newlines inside comments are escaped."""
-    (df.write.mode("overwrite").option("header", True).option("escape", '"')
-     .option("quoteAll", False).csv(path))
+    """CSV with header, no index. Line breaks inside strings are escaped,
+    so files split at line ends whatever their size."""
+    text = _strings(df.schema)
+    (df.select(*[_escape(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
+     .write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A1: CSV with header and an explicit schema (no inference pass);
-    multiLine because comments may contain newlines."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    """A1: CSV of :func:`write_csv` with header and an explicit schema (no
+    inference pass). One record a line, so large files are split over tasks."""
+    df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    text = _strings(schema)
+    return df.select(*[_unescape(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
+
+
+def write_ratings_jsonl(ratings: DataFrame, path: str, per_document: int = 50) -> None:
+    """A3: JSON lines, a comment's ratings nested in one document or, for a
+    popular comment, dealt by a hash of the rater over documents of about
+    ``per_document`` ratings, so no record grows with the data."""
+    key = ["comment", "comment_id", "source"]
+    parts = ratings.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_document)).cast("bigint").alias("__parts"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key]
+    dealt = ratings.alias("r").join(parts.alias("p"), same).select(
+        *[F.col(f"r.{c}") for c in key], "r.worker_id", "r.toxic_score",
+        F.pmod(F.xxhash64("r.worker_id"), F.col("__parts")).alias("__part"))
+    (dealt.groupBy(*key, "__part").agg(F.collect_list(F.struct("worker_id", "toxic_score")).alias("ratings"))
+     .drop("__part").write.mode("overwrite").json(path))
 
 
 def read_ratings_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +85,12 @@ def parse_ratings_json(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def model_input(df: DataFrame, text: str = "comment", label: str = "toxic_score",
-                annotator: str = "annotator_id") -> DataFrame:
-    """The columns a text classifier consumes, renamed."""
-    return df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
+                annotator: str = "annotator_id", keep=()) -> DataFrame:
+    """The columns a text classifier consumes, renamed; ``keep`` adds others."""
+    return df.select(*keep, F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
                      F.col(annotator).alias("annotator_ids"))
 
 
 def export_model_input(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Model input as Parquet, one folder a split."""
+    df.write.mode("overwrite").partitionBy("split").parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterlens.config import EXTREME_CUT, EXTREME_GAP
-from raterlens.sources.tables import read_table
+from raterlens.sources.tables import read_table, table_versions
 
 # Derived inputs are written once per application as Parquet under the
 # session's checkpoint folder (the cluster's shared ``spark.checkpoint.dir``)
@@ -24,6 +24,8 @@ from raterlens.sources.tables import read_table
 # the joins that built them. ``raterlens.materializeInputs=false`` keeps them
 # as lazy plans.
 _WRITTEN: dict = {}
+# Tables they derive from; a change of these files gives a new stored copy.
+SOURCES = ("lineitem", "orders", "part", "benchmark")
 
 
 def stored_input(name: str):
@@ -33,7 +35,7 @@ def stored_input(name: str):
             if spark.conf.get("raterlens.materializeInputs", "true").lower() != "true":
                 return fn(spark, sf_dir, *args, **kwargs)
             key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, args,
-                   tuple(sorted(kwargs.items())))
+                   tuple(sorted(kwargs.items())), table_versions(spark, sf_dir, SOURCES))
             path = _WRITTEN.get(key)
             if path is None:
                 from raterlens.session import ensure_checkpoint_dir
@@ -135,19 +137,17 @@ def bench_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored_input("bench_catalog")
 def bench_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personalised prediction of every annotator on every benchmark case.
+    """Personalised predictions of annotators on benchmark cases.
 
-    The catalog is, by definition, one prediction per annotator x case (the
-    model scores the whole benchmark for every annotator head). Each annotator
-    row expands the case-id range locally (bounds come from a scalar subquery,
-    no driver round trip); an equi-join keeps the ids that exist. The case list
-    is never shipped whole to a task.
+    Each rating leads its annotator to one case (the text id modulo the case
+    range; a semi join keeps the ids that exist), so the catalog is at most as
+    large as the ratings; its key is (annotator, case).
     """
-    a = annotators(spark, sf_dir).select("annotator_id")
+    r = ratings(spark, sf_dir).select("annotator_id", "text_id")
     c = bench_cases(spark, sf_dir).select("case_id")
     lo = c.agg(F.min("case_id")).scalar()
     hi = c.agg(F.max("case_id")).scalar()
-    pairs = a.select("annotator_id", F.explode(F.sequence(lo, hi)).alias("case_id"))
+    pairs = r.select("annotator_id", (lo + F.col("text_id") % (hi - lo + 1)).alias("case_id")).distinct()
     return pairs.join(c, "case_id", "left_semi").select(
         "annotator_id", "case_id",
         (((F.col("annotator_id") * 3 + F.col("case_id") * 5) % 7) < 4).cast("int").alias("personalised"),

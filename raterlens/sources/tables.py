@@ -16,3 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     if columns:
         df = df.select(*columns)
     return df
+
+
+def table_versions(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """Length and modification time of each table's files, from the store's
+    own listing (any store that Spark reads)."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            out.append((name, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                                           for f in fs.listStatus(path)))))
+    return tuple(out)
