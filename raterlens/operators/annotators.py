@@ -4,9 +4,10 @@ subsample (J3, J4, J5, J13, J14, E1, E3, E6)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raterlens.operators.running import running_totals
+from raterlens.session import cut_lineage
 from raterlens.config import EXTREME_CUT, EXTREME_GAP, MIN_TEST, MIN_TRAIN
 
 
@@ -76,15 +77,12 @@ def cumulative_annotations(train: DataFrame, annotator: str = "annotator_id") ->
     """Annotators ranked by train count (desc, id asc on ties) with the
     running annotator number and running annotation total.
 
-    The window has no partition key, so it runs on the annotator dimension
-    (one row per annotator, already aggregated), never on the fact table."""
+    Totals run inside range partitions of the annotators and are shifted by
+    those of the partitions before, so no task holds all annotators."""
     counts = annotations_per_annotator(train, annotator)
-    w = W.orderBy(F.col("n_annotations").desc(), F.col(annotator).asc())
-    return counts.select(
-        annotator, "n_annotations",
-        F.row_number().over(w).cast("bigint").alias("n_annotators_cumulative_sum"),
-        F.sum("n_annotations").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")
-        .alias("n_annotations_cumulative_sum"))
+    return running_totals(counts, [("n_annotations", False), (annotator, True)], {
+        "n_annotators_cumulative_sum": F.lit(1).cast("bigint"),
+        "n_annotations_cumulative_sum": F.col("n_annotations")})
 
 
 def budget_cut(cumulative: DataFrame, budget: int) -> DataFrame:
@@ -100,7 +98,7 @@ def subsample_annotators(train: DataFrame, test: DataFrame, profile: DataFrame,
     """Keep, in both splits, the ratings of the top-K annotators (K from
     the budget cut) or of extreme annotators. The OR of two memberships is a
     union of the two id sets followed by one semi join."""
-    cum = cumulative_annotations(train, annotator)
+    cum = cut_lineage(cumulative_annotations(train, annotator))  # read for the cut and for the ids
     k = budget_cut(cum, budget).scalar()
     top = cum.filter(F.col("n_annotators_cumulative_sum") <= k).select(annotator)
     extreme = profile.filter(F.col("extreme_annotator")).select(annotator)

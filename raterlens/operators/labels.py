@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,11 +23,16 @@ def majority_labels(ratings: DataFrame, text_id: str = "text_id", label: str = "
 
 
 def majority_vote(ratings: DataFrame, text: str = "comment", text_id: str = "text_id",
-                  label: str = "toxic_score", tie_break: str = "min") -> DataFrame:
-    """One row per text: (text_id, text, majority label). The text is
-    constant within a text id; ``min`` picks it deterministically."""
-    texts = ratings.groupBy(text_id).agg(F.min(text).alias("text"))
-    return texts.join(majority_labels(ratings, text_id, label, tie_break), text_id)
+                  label: str = "toxic_score", tie_break: str = "min", by: Sequence[str] = ()) -> DataFrame:
+    """One row per text: (text_id, text, majority label), per ``by``
+    group if given. The text is constant within a text id; ``min`` picks it
+    deterministically. One scan and two aggregates: by label, then by text."""
+    by = list(by)
+    counts = ratings.groupBy(*by, text_id, F.col(label).alias("__l")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(text).alias("__t"))
+    order_l = -F.col("__l") if tie_break == "min" else F.col("__l")
+    return counts.groupBy(*by, text_id).agg(
+        F.min("__t").alias("text"), F.max_by("__l", F.struct(F.col("__n"), order_l)).alias("label"))
 
 
 def first_n_per_group(df: DataFrame, group, order_key: str, tiebreak: str, n_col: str,
@@ -68,7 +75,7 @@ def balance_classes(majority: DataFrame, seed: int = 0, label: str = "label",
     counts = majority.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__cls_n"))
     if by:
         m = counts.groupBy(*by).agg(F.min("__cls_n").alias("__m"))
-        d = majority.join(m, by)
+        d = majority.join(F.broadcast(m), by)  # one row per group
     else:
         d = majority.withColumn("__m", counts.agg(F.min("__cls_n")).scalar())
     d = d.withColumn("__ord", seeded_order(key, seed))

@@ -25,6 +25,8 @@ from raterlens.config import MIN_TRAIN, N_SPLIT_TRIALS, ORDER_RANGE, TEST_FRACTI
 from raterlens.functions.columns import seeded_order
 from raterlens.operators.clean import dense_ids
 from raterlens.operators.labels import first_n_per_group
+from raterlens.operators.running import quantiles
+from raterlens.session import cut_lineage
 
 TRAIN, TEST = "train", "test"
 
@@ -168,16 +170,18 @@ def split_checks(split_df: DataFrame, annotator: str = "annotator_id", text_id:
     per_text = split_df.groupBy(text_id).agg(F.count(annotator).alias("__n"))
     texts = per_text.agg(F.count(F.lit(1)).alias("n_texts"),
                          F.avg((F.col("__n") == 2).cast("double")).alias("frac_texts_two_ratings"))
-    per = annotator_split_counts(split_df, annotator)
+    per = cut_lineage(annotator_split_counts(split_df, annotator))
     ann = per.agg(
         F.count(F.lit(1)).alias("n_annotators"),
         F.avg(F.col("n_train") + F.col("n_test")).alias("mean_ratings_per_annotator"),
         F.count_if(F.col("n_train") > 0).alias("n_train_annotators"),
         F.count_if(F.col("n_test") > 0).alias("n_test_annotators"),
-        F.coalesce(F.bool_and((F.col("n_train") > 0) == (F.col("n_test") > 0)), F.lit(True)).alias("same_annotators"),
-        F.median(F.when(F.col("n_train") > 0, F.col("n_train"))).alias("median_train_per_annotator"),
-        F.median(F.when(F.col("n_test") > 0, F.col("n_test"))).alias("median_test_per_annotator"))
-    return _beside(texts, ann)
+        F.coalesce(F.bool_and((F.col("n_train") > 0) == (F.col("n_test") > 0)), F.lit(True)).alias("same_annotators"))
+    out = _beside(texts, ann)
+    for side in ("train", "test"):
+        m = quantiles(per.filter(F.col(f"n_{side}") > 0), [], f"n_{side}", {f"median_{side}_per_annotator": 0.5})
+        out = _beside(out, m)
+    return out
 
 
 # --- best of N random splits (J9) ------------------------------------------
@@ -232,8 +236,6 @@ def _trial_masks(texts: DataFrame, text_id: str, cutoffs: DataFrame, n_trials: i
 
 def _trials(ratings: DataFrame, n_trials: int, fraction: float, seed: int, text_id: str):
     """Distinct texts and the trials' cut-offs, both written."""
-    from raterlens.session import cut_lineage
-
     texts = cut_lineage(ratings.select(text_id).filter(F.col(text_id).isNotNull()).distinct())
     return texts, cut_lineage(_trial_cutoffs(texts, text_id, n_trials, fraction, seed))
 
@@ -291,8 +293,6 @@ def _score_trials(ratings: DataFrame, texts: DataFrame, cutoffs: DataFrame, n_tr
     obj = (F.col("n_train_rows") + F.col("n_test_rows")) if objective == "total" else 2 * F.col("n_train_rows")
     # n_trials rows: written once, so picking the best trial reads this small
     # table instead of re-running the scoring plan inside a subquery.
-    from raterlens.session import cut_lineage
-
     score = cut_lineage(score.withColumn("objective", obj.cast("bigint")))
     best = score.agg(F.max_by("trial", F.struct(F.col("objective"), -F.col("trial")))).scalar()
     return score.withColumn("is_best", F.col("trial") == best)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from raterlens.config import ORDER_RANGE
 from raterlens.functions.columns import seeded_order
+from raterlens.operators.running import join_groups, quantiles
+from raterlens.session import cut_lineage
 
 # Poisson(1) cumulative probabilities P(K <= k) for the bootstrap weights, up to
 # the resolution of a double (P(K > 17) is below 1e-16).
@@ -66,9 +68,9 @@ def boxplot_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Quartiles (linear interpolation), IQR, whiskers at the most
     extreme values within 1.5 IQR, outlier count, per group."""
     group = list(group)
-    q = df.groupBy(*group).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("q"))
-    q = q.select(*group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    j = df.join(q, group)
+    df = cut_lineage(df.select(*group, value))  # read for the quartiles and for the whiskers
+    q = quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    j = join_groups(df, q, group)
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - 1.5 * iqr
     hi_f = F.col("q3") + 1.5 * iqr

@@ -18,6 +18,8 @@ from raterlens.config import OVERRIDE_SHARE, SELECTED_THRESHOLDS, THRESHOLDS
 from raterlens.functions.columns import pct
 from raterlens.operators.combine import group_names, sweep_counts
 from raterlens.operators.metrics import classification_report
+from raterlens.operators.running import join_groups, quantiles
+from raterlens.session import cut_lineage
 
 
 def annotator_welfare(fact: DataFrame, thresholds: Sequence[int] = THRESHOLDS, truth: str = "y",
@@ -50,14 +52,20 @@ def welfare_summary(welfare: DataFrame) -> DataFrame:
     worse = F.col("macro_f1") < F.col("macro_f1_baseline")
     delta = F.col("macro_f1") - F.col("macro_f1_baseline")
     n = F.count(F.lit(1))
-    return welfare.groupBy("confidence_threshold").agg(
+    g = ["confidence_threshold"]
+    welfare = cut_lineage(welfare)  # read for the counts and for both medians
+    out = welfare.groupBy("confidence_threshold").agg(
         pct(F.count_if(F.col("n_overridden_preds") >= 1), n).alias("perc_annotators_with_overrides"),
         pct(F.count_if(better), n).alias("perc_annotators_improving"),
         pct(F.count_if(worse), n).alias("perc_annotators_getting_worse"),
-        F.bround(F.median(F.when(better, delta)), 2).alias("macro_f1_delta_increase_median"),
-        F.bround(F.median(F.when(worse, delta)), 2).alias("macro_f1_delta_decrease_median"),
         n.cast("bigint").alias("n_annotators_total"),
     )
+    for side, name in ((better, "macro_f1_delta_increase_median"), (worse, "macro_f1_delta_decrease_median")):
+        m = quantiles(welfare.filter(side).select(*g, delta.alias("__d")), g, "__d", {name: 0.5})
+        out = join_groups(out, m.withColumn(name, F.bround(name, 2)), g, "left")
+    return out.select("confidence_threshold", "perc_annotators_with_overrides", "perc_annotators_improving",
+                      "perc_annotators_getting_worse", "macro_f1_delta_increase_median",
+                      "macro_f1_delta_decrease_median", "n_annotators_total")
 
 
 def welfare_summary_selected(welfare: DataFrame, selected: Sequence[int] = SELECTED_THRESHOLDS) -> DataFrame:
@@ -107,9 +115,11 @@ def override_share_median(welfare: DataFrame) -> DataFrame:
     """Among annotators with >= 1 override, the median share of their
     predictions that was overridden, per (threshold, flag)."""
     w = welfare.filter(F.col("n_overridden_preds") >= 1)
-    return w.groupBy("confidence_threshold", "extreme_annotator").agg(
-        F.median(F.col("n_overridden_preds") / F.col("n_preds_total")).alias("median_frac_overridden_preds"),
-        F.count(F.lit(1)).cast("bigint").alias("n_annotators"))
+    g = ["confidence_threshold", "extreme_annotator"]
+    w = cut_lineage(w.select(*g, (F.col("n_overridden_preds") / F.col("n_preds_total")).alias("__s")))
+    n = w.groupBy(*g).agg(F.count(F.lit(1)).cast("bigint").alias("n_annotators"))
+    m = quantiles(w, g, "__s", {"median_frac_overridden_preds": 0.5})
+    return join_groups(n, m, g, "left").select(*g, "median_frac_overridden_preds", "n_annotators")
 
 
 def welfare_subset(welfare: DataFrame, rule: str) -> DataFrame:

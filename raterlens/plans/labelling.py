@@ -3,6 +3,7 @@ J15, B3, B8, D3, D7, D16, F3, F4)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from raterlens.config import BOUNDARY_CLASS_MAP, GOLD_LABEL_MAP
@@ -24,12 +25,8 @@ _MAJ = with_views("split_ratings", extra="""maj as (select split, text_id, text,
 
 
 def _majority(spark, sf):
-    s = fx.split_ratings(spark, sf)
-    out = None
-    for split in ("train", "test"):
-        m = lab.majority_vote(s.filter(F.col("split") == split), label="y").withColumn("split", F.lit(split))
-        out = m if out is None else out.unionByName(m)
-    return out.select("split", "text_id", "text", "label")
+    m = lab.majority_vote(fx.split_ratings(spark, sf), label="y", by=["split"])
+    return m.select("split", "text_id", "text", "label")
 
 
 @query("majority_vote", _MAJ + "select split, text_id::bigint text_id, text, label::bigint label from maj")
@@ -54,10 +51,10 @@ def balance_classes(spark, sf):
   round(count(*) / sum(count(*)) over (partition by split), 6) fraction from maj group by split, label""")
 def label_distribution(spark, sf):
     """Label counts and fractions of the majority data, per split."""
-    m = _majority(spark, sf)
-    g = m.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
-    t = m.groupBy("split").agg(F.count(F.lit(1)).alias("__t"))
-    return g.join(t, "split").select("split", "label", "n", (F.col("n") / F.col("__t")).alias("fraction"))
+    g = _majority(spark, sf).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    # the totals are sums of the few grouped counts
+    total = F.sum("n").over(Window.partitionBy("split"))
+    return g.select("split", "label", "n", (F.col("n") / total).alias("fraction"))
 
 
 @query("class_weights", """select toxic::bigint label, count(*)::bigint n,

@@ -9,9 +9,11 @@ from raterlens.config import EXTREME_CUT, EXTREME_GAP, MIN_TEST, MIN_TRAIN, ORDE
 from raterlens.functions.columns import seeded_order
 from raterlens.operators import annotators as ann
 from raterlens.operators.labels import first_n_per_group
+from raterlens.operators.running import join_groups, quantiles
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
 from raterlens.plans.sqlkit import seeded_order_sql
+from raterlens.session import cut_lineage
 from raterlens.sources import fixtures as fx
 
 # Parameters of the registered queries (fixed here; the operators take any value).
@@ -112,8 +114,10 @@ def annotation_count_distribution(spark, sf):
 def median_annotations(spark, sf):
     """Median ratings per annotator in each split (exact, interpolated)."""
     per = fx.split_ratings(spark, sf).groupBy("split", "annotator_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("split").agg(F.median("n").alias("median_annotations"),
-                                    F.count(F.lit(1)).alias("n_annotators"))
+    per = cut_lineage(per)
+    n = per.groupBy("split").agg(F.count(F.lit(1)).alias("n_annotators"))
+    return join_groups(n, quantiles(per, ["split"], "n", {"median_annotations": 0.5}), ["split"]).select(
+        "split", "median_annotations", "n_annotators")
 
 
 @query("describe_annotations", with_views("ratings") + """select count(*)::bigint count, round(avg(n), 6) mean,
@@ -122,11 +126,11 @@ def median_annotations(spark, sf):
   from (select annotator_id, count(*) n from ratings group by annotator_id) q""")
 def describe_annotations(spark, sf):
     """Five-number summary, mean and sample std of ratings per annotator."""
-    per = ann.annotations_per_annotator(fx.ratings(spark, sf)).select(F.col("n_annotations").alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("count"), F.avg("n").alias("mean"),
-                   F.stddev_samp("n").alias("std"), F.min("n").alias("min"),
-                   F.percentile("n", 0.25).alias("p25"), F.percentile("n", 0.5).alias("p50"),
-                   F.percentile("n", 0.75).alias("p75"), F.max("n").alias("max"))
+    per = cut_lineage(ann.annotations_per_annotator(fx.ratings(spark, sf)).select(F.col("n_annotations").alias("n")))
+    moments = per.agg(F.count(F.lit(1)).alias("count"), F.avg("n").alias("mean"),
+                      F.stddev_samp("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
+    q = quantiles(per, [], "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return join_groups(moments, q, []).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @query("dataset_cardinalities", with_views("ratings") + """select count(*)::bigint n_rows,
