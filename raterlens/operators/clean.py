@@ -85,11 +85,22 @@ def with_annotation_id(df: DataFrame, text_id: str = "text_id", rater: str = "wo
 
 def clean_ratings(raw: DataFrame, text: str = "comment", rater: str = "worker_id"):
     """Text ids, ``annotation_id = text_id_worker_id``, then drop every row
-    of an annotation id seen more than once. Returns (kept, dropped)."""
-    keyed = with_annotation_id(assign_text_ids(raw.drop("text_id"), text), "text_id", rater)
-    kept = drop_repeated_keys(keyed, ["annotation_id"])
-    dropped = rows_of_repeated_keys(keyed, ["annotation_id"])
-    return kept, dropped
+    of an annotation id seen more than once. Returns (kept, dropped).
+
+    An annotation id repeats where its (comment, worker) does, and is NULL
+    where either is; so repeats are found on the raw columns first and the ids
+    are attached once, to the rows that are left."""
+    raw = raw.drop("text_id")
+    known = F.col(text).isNotNull() & F.col(rater).isNotNull()
+    d = raw.withColumns({"__c": F.when(known, F.col(text)), "__w": F.when(known, F.col(rater))})
+    again = repeated_keys(d, ["__c", "__w"]).select("__c", "__w")
+    ids = dense_ids(raw, text, "text_id")
+
+    def keyed(how):
+        rows = _null_safe_join(d, again, ["__c", "__w"], how).drop("__c", "__w")
+        return with_annotation_id(_null_safe_join(rows, ids, [text], "left"), "text_id", rater)
+
+    return keyed("left_anti"), keyed("left_semi")
 
 
 def conflicting_comment_ids(raw: DataFrame) -> DataFrame:

@@ -106,9 +106,9 @@ def threshold_sweep_metrics(fact: DataFrame, thresholds: Sequence[int] = THRESHO
     """J16 (J17 with ``truth`` = majority label): per group (all / extreme /
     non_extreme) and threshold: override fraction, accuracy, macro P/R/F1,
     support. One scan of the fact."""
-    f = fact.select(group_names().alias("__g"), truth, "personalised", "boundary",
-                    "confidence_score").select(F.explode("__g").alias("annotator_group"), "*").drop("__g")
-    sw = sweep_counts(f, ["annotator_group"], thresholds, y=truth, mode=mode)
+    # counted by flag first: only the few counts are expanded to the groups
+    sw = sweep_counts(fact, ["extreme_annotator"], thresholds, y=truth, mode=mode) \
+        .select("*", F.explode(group_names()).alias("annotator_group")).drop("extreme_annotator")
     changed = F.when(~F.col("combined").eqNullSafe(F.col("personalised")), F.col("n")).otherwise(F.lit(0))
     rep = classification_report(sw, ["annotator_group", "confidence_threshold"], "y", "combined",
                                 weight="n", zero_division=zero_division, extra={"n_overridden": changed})
@@ -117,13 +117,18 @@ def threshold_sweep_metrics(fact: DataFrame, thresholds: Sequence[int] = THRESHO
                       "accuracy", "precision", "recall", "f1_score", "support")
 
 
+def grouped_counts(fact: DataFrame, truth: str = "y", prediction: str = "personalised") -> DataFrame:
+    """Counts ``n`` of (y, p) per annotator group: by flag first, then the few
+    counts are expanded to the groups."""
+    c = fact.groupBy("extreme_annotator", F.col(truth).alias("y"), F.col(prediction).alias("p")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return c.select(F.explode(group_names()).alias("annotator_group"), "y", "p", "n")
+
+
 def baseline_metrics(fact: DataFrame, truth: str = "y", prediction: str = "personalised",
                      zero_division: str = "zero") -> DataFrame:
     """The personalised model alone, per group."""
-    f = (fact.select(group_names().alias("__g"), F.col(truth).alias("y"), F.col(prediction).alias("p"))
-         .select(F.explode("__g").alias("annotator_group"), "y", "p")
-         .groupBy("annotator_group", "y", "p").agg(F.count(F.lit(1)).alias("n")))
-    return classification_report(f, ["annotator_group"], "y", "p", weight="n",
+    return classification_report(grouped_counts(fact, truth, prediction), ["annotator_group"], "y", "p", weight="n",
                                  zero_division=zero_division).drop("n_labels")
 
 

@@ -72,11 +72,18 @@ def classification_report(df: DataFrame, keys: Sequence[str], y: str, yhat: str,
     )
 
 
-def binary_f1(df: DataFrame, keys: Sequence[str], y: str, yhat: str, positive: int = 1) -> DataFrame:
-    """F1 of the positive class, 2tp/(2tp+fp+fn); 0 when undefined."""
-    tp = F.count_if((F.col(y) == positive) & (F.col(yhat) == positive))
-    fp = F.count_if((F.col(y) != positive) & (F.col(yhat) == positive))
-    fn = F.count_if((F.col(y) == positive) & (F.col(yhat) != positive))
+def binary_f1(df: DataFrame, keys: Sequence[str], y: str, yhat: str, positive: int = 1,
+              weight: str | None = None) -> DataFrame:
+    """F1 of the positive class, 2tp/(2tp+fp+fn); 0 when undefined.
+    ``weight`` counts a row as many times."""
+    n = F.col(weight) if weight else F.lit(1)
+
+    def total(cond):
+        return F.sum(F.when(cond, n).otherwise(F.lit(0))).cast("bigint")
+
+    tp = total((F.col(y) == positive) & (F.col(yhat) == positive))
+    fp = total((F.col(y) != positive) & (F.col(yhat) == positive))
+    fn = total((F.col(y) == positive) & (F.col(yhat) != positive))
     g = df.groupBy(*keys) if keys else df
     out = g.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
     den = F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn")

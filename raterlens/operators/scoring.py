@@ -99,83 +99,110 @@ def majority_classifier(train: DataFrame, test: DataFrame, features_col: str = "
 
 # --- per-annotator heads (K5) -----------------------------------------------
 
-_STATS_SCHEMA = T.StructType([
-    T.StructField("annotator_id", T.LongType()),
-    T.StructField("grad", T.ArrayType(T.DoubleType())),
-    T.StructField("hess", T.ArrayType(T.DoubleType())),
-    T.StructField("n", T.LongType()),
-])
-
-_HEAD_SCHEMA = T.StructType([
-    T.StructField("annotator_id", T.LongType()),
-    T.StructField("w", T.ArrayType(T.DoubleType())),
-])
-
-
-def _partial_stats(batches):
-    """Per partition and annotator: gradient and Hessian of the L2-free
-    logistic log-likelihood at the current head (bias as last weight)."""
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        x = np.stack(pdf["x"].to_numpy())
-        x = np.hstack([x, np.ones((len(x), 1))])
-        w = np.stack(pdf["w"].to_numpy())
-        y = pdf["y"].to_numpy(dtype=float)
-        p = 1.0 / (1.0 + np.exp(-np.einsum("ij,ij->i", x, w)))
-        r = y - p
-        s = p * (1.0 - p)
-        out = []
-        for a, idx in pdf.groupby("annotator_id").indices.items():
-            xa = x[idx]
-            out.append((int(a), (xa.T @ r[idx]).tolist(), (xa.T @ (xa * s[idx, None])).ravel().tolist(), len(idx)))
-        yield pd.DataFrame(out, columns=["annotator_id", "grad", "hess", "n"])
-
-
-def _newton_step(l2: float, dim: int):
-    def step(key, pdf):
-        g = np.sum(np.stack(pdf["grad"].to_numpy()), axis=0)
-        h = np.sum(np.stack(pdf["hess"].to_numpy()), axis=0).reshape(dim, dim)
+# Rows of one annotator handled in one group; more are split into parts of this size.
+HEAD_GROUP_ROWS = 4096
+HEAD_TOLERANCE = 1e-8   # largest change of a weight at which a fit has converged
+HEAD_MAX_STEPS = 100    # a fit that has not converged by then says so
+
+_STATS_SCHEMA = "annotator_id bigint, grad array<double>, hess array<double>, w array<double>, n bigint"
+_HEAD_SCHEMA = "annotator_id bigint, w array<double>, n_rows bigint, steps int, converged boolean"
+
+
+def _design(pdf: pd.DataFrame) -> np.ndarray:
+    x = np.stack(pdf["x"].to_numpy())
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def _statistics(x, y, w):
+    """Gradient and Hessian of the logistic log-likelihood (bias as last weight)."""
+    p = 1.0 / (1.0 + np.exp(-(x @ w)))
+    return x.T @ (y - p), (x * (p * (1.0 - p))[:, None]).T @ x
+
+
+def _step(g, h, w, l2):
+    return np.linalg.solve(h + l2 * np.eye(len(w)), g - l2 * w)
+
+
+def _fit_group(l2: float):
+    """All Newton steps of one annotator whose rows fit a group."""
+
+    def fit(key, pdf):
+        x, y = _design(pdf), pdf["y"].to_numpy(dtype=float)
+        w, steps, moved = np.zeros(x.shape[1]), 0, np.inf
+        while moved > HEAD_TOLERANCE and steps < HEAD_MAX_STEPS:
+            d = _step(*_statistics(x, y, w), w, l2)
+            w, steps, moved = w + d, steps + 1, float(np.abs(d).max())
+        return pd.DataFrame({"annotator_id": [int(key[0])], "w": [w.tolist()], "n_rows": [len(x)],
+                             "steps": [steps], "converged": [moved <= HEAD_TOLERANCE]})
+
+    return fit
+
+
+def _part_statistics(key, pdf):
+    w = np.asarray(pdf["w"].iloc[0], dtype=float)
+    g, h = _statistics(_design(pdf), pdf["y"].to_numpy(dtype=float), w)
+    return pd.DataFrame({"annotator_id": [int(key[0])], "grad": [g.tolist()], "hess": [h.ravel().tolist()],
+                         "w": [w.tolist()], "n": [len(pdf)]})
+
+
+def _combine_parts(l2: float, steps: int):
+    def combine(key, pdf):
         w = np.asarray(pdf["w"].iloc[0], dtype=float)
-        g = g - l2 * w
-        h = h + l2 * np.eye(dim)
-        w = w + np.linalg.solve(h, g)
-        return pd.DataFrame({"annotator_id": [int(key[0])], "w": [w.tolist()]})
+        g = np.sum(np.stack(pdf["grad"].to_numpy()), axis=0)
+        h = np.sum(np.stack(pdf["hess"].to_numpy()), axis=0).reshape(len(w), len(w))
+        d = _step(g, h, w, l2)
+        return pd.DataFrame({"annotator_id": [int(key[0])], "w": [(w + d).tolist()], "n_rows": [int(pdf["n"].sum())],
+                             "steps": [steps], "converged": [float(np.abs(d).max()) <= HEAD_TOLERANCE]})
 
-    return step
+    return combine
 
 
 def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_id", features_col: str = "embedding",
-                        label: str = "y", iterations: int = 6, l2: float = 1.0) -> DataFrame:
+                        label: str = "y", l2: float = 1.0, group_rows: int = HEAD_GROUP_ROWS) -> DataFrame:
     """K5: one binary logistic head per annotator on frozen features, fitted
-    by Newton steps (L2-regularised, ``iterations`` passes).
-
-    Each pass joins the current heads to the rows, reduces every partition to
-    one fixed-size (gradient, Hessian) record per annotator in a Pandas batch
-    function, and combines those records per annotator before solving a
-    (dim+1)^2 system. A group therefore holds at most one record per input
-    partition - never an annotator's rows - so a prolific annotator does not
-    land in one task. The heads are checkpointed after every pass.
-
-    Output: (annotator_id, weights array<array<double>>, bias array<double>)
-    in the two-label softmax form of :func:`score_with_heads` (label 0 gets
-    the negated half of the binary head, label 1 the positive half).
+    by Newton steps (L2-regularised) until the weights stand still.
+
+    An annotator of at most ``group_rows`` rows is one group and is fitted
+    whole: one shuffle of the rows, no passes. A more prolific one is split
+    into parts of about that size; each pass reduces a part to one (gradient,
+    Hessian) record, combines an annotator's records and takes a step, and only
+    heads that still move enter the next pass. The heads of a pass are written
+    to the shared checkpoint folder.
+
+    Output: (annotator_id, weights array<array<double>>, bias array<double>,
+    n_rows, steps, converged) in the two-label softmax form of
+    :func:`score_with_heads` (label 0 gets the negated half of the binary head,
+    label 1 the positive half).
     """
     from raterlens.session import cut_lineage
 
     d1 = dim + 1
-    # Every pass reads the same rows: write them once (lineage cut).
     data = cut_lineage(rows.select(F.col(annotator).cast("bigint").alias("annotator_id"),
                                    F.col(features_col).cast("array<double>").alias("x"),
-                                   F.col(label).cast("double").alias("y")))
-    heads = data.select("annotator_id").distinct().select(
-        "annotator_id", F.array_repeat(F.lit(0.0), d1).alias("w"))
-    for _ in range(iterations):
-        stats = data.join(heads, "annotator_id").mapInPandas(_partial_stats, _STATS_SCHEMA)
-        stats = stats.join(heads, "annotator_id")
-        heads = cut_lineage(stats.groupBy("annotator_id").applyInPandas(_newton_step(l2, d1), _HEAD_SCHEMA))
+                                   F.col(label).cast("double").alias("y"),
+                                   F.monotonically_increasing_id().alias("__row")))
+    counts = cut_lineage(data.groupBy("annotator_id").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("bigint").alias("__parts")))
+    one = counts.filter("__parts = 1").select("annotator_id")
+    heads = data.join(one, "annotator_id", "left_semi").drop("__row").groupBy("annotator_id").applyInPandas(
+        _fit_group(l2), _HEAD_SCHEMA)
+    several = counts.filter("__parts > 1")
+    if not several.isEmpty():
+        split = cut_lineage(data.join(several, "annotator_id").select(
+            "annotator_id", "x", "y", F.pmod(F.xxhash64("__row"), F.col("__parts")).alias("part")))
+        moving = several.select("annotator_id", F.array_repeat(F.lit(0.0), d1).alias("w"))
+        for step in range(1, HEAD_MAX_STEPS + 1):
+            stats = split.join(moving, "annotator_id").groupBy("annotator_id", "part").applyInPandas(
+                _part_statistics, _STATS_SCHEMA)
+            now = cut_lineage(stats.groupBy("annotator_id").applyInPandas(_combine_parts(l2, step), _HEAD_SCHEMA))
+            last = step == HEAD_MAX_STEPS
+            heads = heads.unionByName(now if last else now.filter("converged"))
+            moving = now.filter("NOT converged").select("annotator_id", "w")
+            if last or moving.isEmpty():
+                break
+    heads = cut_lineage(heads)
     half = F.transform("w", lambda v: v / 2.0)
     return heads.select(
         F.col("annotator_id").alias(annotator),
         F.array(F.transform(F.slice(half, 1, dim), lambda v: -v), F.slice(half, 1, dim)).alias("weights"),
-        F.array(-F.element_at(half, d1), F.element_at(half, d1)).alias("bias"))
+        F.array(-F.element_at(half, d1), F.element_at(half, d1)).alias("bias"), "n_rows", "steps", "converged")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from raterlens.config import THRESHOLDS
 from raterlens.operators import combine as cmb
 from raterlens.operators import metrics as met
-from raterlens.operators.combine import group_names
 from raterlens.plans.base import query
 from raterlens.plans.oracle_views import with_views
 from raterlens.plans.sqlkit import THRESHOLD_LIST, groups_cte, r6, report_ctes, sweep_cte
@@ -133,8 +132,8 @@ def annotator_classification_report(spark, sf):
 def macro_metrics(spark, sf):
     """Accuracy, macro F1 / precision / recall (undefined -> skipped)."""
     e = fx.eval_rows(spark, sf)
-    g = e.select(F.explode(group_names()).alias("annotator_group"), "y", "personalised")
-    r = met.classification_report(g, ["annotator_group"], "y", "personalised", zero_division="null")
+    r = met.classification_report(cmb.grouped_counts(e), ["annotator_group"], "y", "p", weight="n",
+                                  zero_division="null")
     return r.select("annotator_group", "accuracy", F.col("f1_score").alias("f1"), "precision", "recall")
 
 
@@ -148,8 +147,7 @@ def macro_metrics(spark, sf):
 def binary_f1(spark, sf):
     """F1 of the positive class per group."""
     e = fx.eval_rows(spark, sf)
-    g = e.select(F.explode(group_names()).alias("annotator_group"), "y", "personalised")
-    return met.binary_f1(g, ["annotator_group"], "y", "personalised")
+    return met.binary_f1(cmb.grouped_counts(e), ["annotator_group"], "y", "p", weight="n")
 
 
 @query("overrides_by_group", with_views("eval_rows") + f"""select extreme_annotator,

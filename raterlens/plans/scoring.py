@@ -89,8 +89,7 @@ def majority_classifier(spark, sf):
     train = _text_features(spark, sf, False)
     w = lab.class_weights(train, "label").select("label", F.col("weight").alias("class_weight"))
     train = train.join(F.broadcast(w), "label")
-    _, pred = sc.majority_classifier(train, _text_features(spark, sf, True), weight_col="class_weight",
-                                     max_iter=25)
+    _, pred = sc.majority_classifier(train, _text_features(spark, sf, True), weight_col="class_weight")
     return pred.select("text_id", "label", "prediction", "p_positive")
 
 
@@ -102,6 +101,6 @@ def fit_annotator_heads(spark, sf):
     n = e.agg(F.count(F.lit(1))).scalar()
     r = fx.train_ratings(spark, sf).select("text_id", "annotator_id", "y")
     rows = r.withColumn("vec_id", F.col("text_id") % n).join(e, "vec_id")
-    heads = sc.fit_annotator_heads(rows, DIM, iterations=4)
+    heads = sc.fit_annotator_heads(rows, DIM)
     return heads.select("annotator_id", F.col("weights")[1].alias("w_positive"),
-                        F.col("bias")[1].alias("b_positive"))
+                        F.col("bias")[1].alias("b_positive"), "n_rows", "steps", "converged")

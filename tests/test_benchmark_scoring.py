@@ -1,9 +1,11 @@
 """Positional join, key guards, head scoring and head fitting."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from raterlens.operators import benchmark as bm
+from raterlens.operators import combine
 from raterlens.operators import scoring as sc
 
 
@@ -46,7 +48,7 @@ def test_cross_entropy_of_uniform_logits_is_log2(spark):
     assert r["loss_mean"] == pytest.approx(math.log(2))
 
 
-def test_fitted_heads_separate_separable_data(spark):
+def _head_rows():
     rows = []
     for a in (1, 2):
         for i in range(30):
@@ -55,8 +57,43 @@ def test_fitted_heads_separate_separable_data(spark):
             if a == 2:
                 y = 1 - y
             rows.append((a, [x, 1.0 - x], y))
-    df = spark.createDataFrame(rows, "annotator_id long, embedding array<double>, y int")
-    heads = sc.fit_annotator_heads(df, dim=2, iterations=8, l2=0.01)
-    scored = sc.score_with_heads(df, heads).withColumn("pred", sc.predicted_label("logits"))
+    return rows
+
+
+def test_fitted_heads_separate_separable_data(spark):
+    df = spark.createDataFrame(_head_rows(), "annotator_id long, embedding array<double>, y int")
+    heads = sc.fit_annotator_heads(df, dim=2, l2=0.01)
+    scored = sc.score_with_heads(df, heads.select("annotator_id", "weights", "bias")).withColumn(
+        "pred", sc.predicted_label("logits"))
     acc = scored.agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
     assert acc > 0.9
+
+
+def test_split_annotators_get_the_same_heads(spark):
+    """Whole groups, parts of seven rows, and a closed small case (the
+    penalised optimum has a zero gradient) agree."""
+    df = spark.createDataFrame(_head_rows(), "annotator_id long, embedding array<double>, y int")
+    whole = {r["annotator_id"]: r for r in sc.fit_annotator_heads(df, dim=2).collect()}
+    parts = {r["annotator_id"]: r for r in sc.fit_annotator_heads(df, dim=2, group_rows=7).collect()}
+    assert all(r["converged"] and r["n_rows"] == 30 for r in [*whole.values(), *parts.values()])
+    for a in (1, 2):
+        w = np.array([*whole[a]["weights"][1], whole[a]["bias"][1]]) * 2
+        v = np.array([*parts[a]["weights"][1], parts[a]["bias"][1]]) * 2
+        assert np.allclose(w, v, atol=1e-6)
+        x = np.array([[*e, 1.0] for i, e, _ in _head_rows() if i == a])
+        y = np.array([y for i, _, y in _head_rows() if i == a])
+        assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - w).max() < 1e-6
+
+
+def test_repeated_keys_on_a_right_side_fail(spark):
+    catalog = spark.createDataFrame([(1, 5, 1)], "annotator_id long, case_id long, personalised int")
+    cases = spark.createDataFrame([(5, "hateful")], "case_id long, label_gold string")
+    boundary = spark.createDataFrame([(5, "1", 90.0)], "case_id long, class_label string, confidence_score double")
+    twice = spark.createDataFrame([(1, True), (1, False)], "annotator_id long, extreme_annotator boolean")
+    assert bm.assemble_benchmark(catalog, cases, boundary, twice.limit(1)).count() == 1
+    with pytest.raises(Exception, match="repeated key"):
+        bm.assemble_benchmark(catalog, cases, boundary, twice).collect()
+    rows = spark.createDataFrame([(1, 1, 0, 0)], "text_id long, annotator_id long, y int, personalised int")
+    preds = spark.createDataFrame([(1, 1, 80.0), (1, 0, 70.0)], "text_id long, prediction int, confidence_score double")
+    with pytest.raises(Exception, match="repeated key"):
+        combine.assemble_eval_fact(rows, preds, twice.limit(1)).collect()

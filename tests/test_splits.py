@@ -77,3 +77,33 @@ def test_annotator_ids_are_dense_and_one_to_one(base):
     assert ids.select("worker_id").distinct().count() == n
     mm = ids.agg(F.min("annotator_id"), F.max("annotator_id")).first()
     assert (mm[0], mm[1]) == (0, n - 1)
+
+
+def test_seeds_give_different_orders(base):
+    """Two seeds share about a fifth of their test texts (not nearly all)."""
+    def picked(seed):
+        s = sp.split_on_texts(base, 0.2, seed=seed).filter("split = 'test'")
+        return {r[0] for r in s.select("text_id").distinct().collect()}
+
+    a, b, c = picked(1), picked(2), picked(101)
+    for x, y in ((a, b), (a, c), (b, c)):
+        assert 0.05 < len(x & y) / len(x) < 0.4
+
+
+def test_hundred_trials_are_a_hundred_splits(base):
+    texts, cutoffs = sp._trials(base, 100, 0.2, 7, "text_id")
+    masks = sp._trial_masks(texts, "text_id", cutoffs, 100, 7).collect()
+    n = len(masks)
+    sets = [frozenset(r["text_id"] for r in masks if (r[f"__m{t // 64}"] >> (t % 64)) & 1) for t in range(100)]
+    assert len(set(sets)) == 100 and {len(s) for s in sets} == {int(0.2 * n)}
+    objectives = {r["objective"] for r in sp.split_trials(base, 100, 0.2, 7, 12).collect()}
+    assert len(objectives) > 10
+
+
+def test_order_has_no_small_range(spark):
+    from raterlens.functions.columns import seeded_order
+
+    d = spark.range(0, 300_000).select(seeded_order("id", 3).alias("o"))
+    assert d.distinct().count() == 300_000
+    far = spark.createDataFrame([(5,), (5 + 1_000_003,)], "id long").select(seeded_order("id", 3).alias("o"))
+    assert far.distinct().count() == 2
