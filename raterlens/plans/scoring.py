@@ -15,45 +15,49 @@ from raterlens.sources.tables import read_table
 DIM = 64
 
 
-def _scored(spark, sf):
-    feats = fx.embedded_ratings(spark, sf)
+def _scored(spark, sf, test_only=False):
+    feats = fx.embedded_ratings(spark, sf, test_only)
     return sc.score_with_heads(feats, fx.head_weights(spark, sf, DIM))
 
 
-_SCORE_CTES = f"""feat as (select r.text_id, r.annotator_id, r.y, e.embedding
-  from test_ratings r join embeddings e on e.vec_id = r.text_id % (select count(*) from embeddings)),
+def _score_ctes(rows: str) -> str:
+    return f"""feat as (select r.text_id, r.annotator_id, r.y, e.embedding
+  from {rows} r join embeddings e on e.vec_id = r.text_id % (select count(*) from embeddings)),
 lg as (select text_id, annotator_id, y, label,
   sum(((annotator_id * 31 + label * 17 + i * 7) % 19 - 9) / 9.0::double * embedding[i]::double) logit
   from feat, (select unnest(range(1, {DIM + 1})) i) u, (values (0), (1)) l(label)
   group by text_id, annotator_id, y, label),
 sc as (select text_id, annotator_id, y, max(case when label = 0 then logit end) logit_0,
   max(case when label = 1 then logit end) logit_1 from lg group by text_id, annotator_id, y)"""
-_SCORED_SQL = with_views("test_ratings", extra=_SCORE_CTES)
+
+
+_SCORED_SQL = with_views("ratings", extra=_score_ctes("ratings"))
+_TEST_SCORED_SQL = with_views("test_ratings", extra=_score_ctes("test_ratings"))
 
 
 @query("head_scoring", _SCORED_SQL + """select text_id::bigint text_id, annotator_id::bigint annotator_id,
   round(logit_0, 6) logit_0, round(logit_1, 6) logit_1 from sc""")
 def head_scoring(spark, sf):
-    """K1: each test rating scored by its annotator's linear head."""
+    """K1: each rating of both splits scored by its annotator's linear head."""
     s = _scored(spark, sf)
     return s.select("text_id", "annotator_id", F.col("logits")[0].alias("logit_0"),
                     F.col("logits")[1].alias("logit_1"))
 
 
-@query("logits_argmax", _SCORED_SQL + """select text_id::bigint text_id, annotator_id::bigint annotator_id,
+@query("logits_argmax", _TEST_SCORED_SQL + """select text_id::bigint text_id, annotator_id::bigint annotator_id,
   (case when logit_1 > logit_0 then 1 else 0 end)::bigint predicted from sc""")
 def logits_argmax(spark, sf):
-    """A5/K2: predicted label = first maximal logit."""
-    s = _scored(spark, sf)
+    """A5/K2: predicted label = first maximal logit, on the test split."""
+    s = _scored(spark, sf, test_only=True)
     return s.select("text_id", "annotator_id", sc.predicted_label("logits").alias("predicted"))
 
 
-@query("attach_logits", with_views("eval_rows", "test_ratings", extra=_SCORE_CTES) + """select e.text_id::bigint text_id, e.annotator_id::bigint annotator_id, e.y::bigint y,
+@query("attach_logits", with_views("eval_rows", "test_ratings", extra=_score_ctes("test_ratings")) + """select e.text_id::bigint text_id, e.annotator_id::bigint annotator_id, e.y::bigint y,
   e.personalised::bigint personalised, round(sc.logit_0, 6) logit_0, round(sc.logit_1, 6) logit_1
   from eval_rows e left join sc on e.text_id = sc.text_id and e.annotator_id = sc.annotator_id""")
 def attach_logits(spark, sf):
     """A4: logits keyed by (text, annotator) joined to the evaluated rows."""
-    s = _scored(spark, sf).select("text_id", "annotator_id", "logits")
+    s = _scored(spark, sf, test_only=True).select("text_id", "annotator_id", "logits")
     e = fx.eval_rows(spark, sf).select("text_id", "annotator_id", "y", "personalised")
     out = sc.attach_logits(e, s)
     return out.select("text_id", "annotator_id", "y", "personalised",
