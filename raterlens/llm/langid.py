@@ -32,7 +32,7 @@ EPOCHS = 6
 BATCH = 64
 LEARNING_RATE = 0.01
 SEED = 11
-STEP_BYTES = 1 << 18   # bytes of the windows evaluated together
+STEP_BYTES = 1 << 18   # bytes of the windows evaluated together, a multiple of WINDOW
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -46,10 +46,10 @@ for _b in range(256):
 CLASSES = 158
 
 
-def byte_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+def byte_windows(text: str | bytes) -> tuple[np.ndarray, np.ndarray]:
     """Windows of byte classes (padded with class 0) that tile the whole text,
     and their numbers of bytes."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text, np.uint8)
     n = -(-len(raw) // WINDOW)
     out = np.zeros((n, WINDOW), np.int64)
     out.ravel()[:len(raw)] = _CLASS[raw]
@@ -164,11 +164,11 @@ def classify(net: dict, texts: list[str | None]) -> tuple[list[str], list[float]
         if not t or not _LETTER.search(t):
             continue
         known.append(i)
-        windows, size = byte_windows(t)
-        for lo in range(0, len(windows), STEP_BYTES // WINDOW):
-            hi = lo + STEP_BYTES // WINDOW
-            held.append(windows[lo:hi])
-            sizes.append(size[lo:hi])
+        raw = t.encode("utf-8", "surrogatepass")
+        for lo in range(0, len(raw), STEP_BYTES):  # whole windows, so the tiling is that of the text
+            windows, size = byte_windows(raw[lo:lo + STEP_BYTES])
+            held.append(windows)
+            sizes.append(size)
             owner.append(np.full(len(held[-1]), i))
             n += held[-1].size
             if n >= STEP_BYTES:
