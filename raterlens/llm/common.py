@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,39 @@ def held_out(id_col, mod: int, rest: int):
                       == F.lit(rest), F.lit(False))
 
 
+def runs(batches, block: int | None = None):
+    """Tables of consecutive rows of one key (the first column) from a sorted
+    stream of record batches: whole runs, or blocks of at most ``block`` rows."""
+    held = []  # record batches of the open run
+    key = None
+
+    def cut(parts):
+        t = pa.Table.from_batches(parts)
+        for lo in range(0, t.num_rows, block or t.num_rows):
+            yield t.slice(lo, block or t.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for lo, hi in zip(edges, [*edges[1:], len(keys)]):
+            if held and keys[lo] != key:
+                yield from cut(held)
+                held = []
+            key = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+            rows = sum(b.num_rows for b in held)
+            if block and rows >= 4 * block:  # long runs leave in whole blocks
+                t = pa.Table.from_batches(held)
+                whole = rows // block * block
+                for at in range(0, whole, block):
+                    yield t.slice(at, block)
+                held = t.slice(whole).to_batches()
+    if held:
+        yield from cut(held)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given as links (a, b).
 

@@ -15,9 +15,11 @@ element and slot.
 
 Texts of equal words form one class before anything is compared, so copies
 never meet in a bucket. Bands of the signatures make buckets; each member is
-compared with the bucket's first one, then components are formed, and pairs of
-members whose components differ are compared too. Candidates are verified by
-the exact overlap of the multisets of words.
+compared with the bucket's first one by the exact overlap of the multisets of
+words, and components are formed. Where a bucket still holds several
+components, the texts that such buckets join are compared with each other in
+blocks: the exact overlaps of two blocks are one matrix product, and only the
+components of its links leave it, never its pairs.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.llm.common import ascii_words, components
+from raterlens.llm.common import ascii_words, components, runs, shuffle_partitions
 from raterlens.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5     # a pair at 0.8 shares no band with probability 5e-5
 STEP_SHINGLES = 150_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 100_000  # of a block of compared texts
+COLUMNS = 8192          # shingles of one matrix product
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,21 +125,13 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out.view(np.int64)
 
 
-_WORDS = pa.schema([("id", pa.int64()), ("words", pa.binary())])
-_KEYS = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-
-def _word_digests(batches):
-    """Digest of each text's words (null: no words)."""
-    for batch in batches:
-        found = [ascii_words(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([hashlib.sha256(b" ".join(w)).digest() if w else None for w in found], pa.binary())],
-            schema=_WORDS)
+_KEYS = pa.schema([("id", pa.int64()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _signed(ids, texts):
-    hashes = [shingle_hashes(ascii_words(t)) for t in texts]
+    """Digest of each text's words (null: no words) and the keys of its bands."""
+    found = [ascii_words(t) for t in texts]
+    hashes = [shingle_hashes(w) for w in found]
     owner = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
     flat = np.concatenate(hashes)
     order = np.lexsort((flat, owner))
@@ -145,7 +141,9 @@ def _signed(ids, texts):
     sig = bag_signatures(owner[new], flat[new], count, len(texts), BANDS * ROWS)
     keys = band_keys(sig)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], schema=_KEYS)
+        [pa.array(ids, pa.int64()),
+         pa.array([hashlib.sha256(b" ".join(w)).digest() if w else None for w in found], pa.binary()),
+         pa.array([k if w else None for k, w in zip(keys, found)], pa.list_(pa.int64()))], schema=_KEYS)
 
 
 def _signatures(batches):
@@ -155,7 +153,7 @@ def _signatures(batches):
             t = t.as_py()
             ids.append(i)
             texts.append(t)
-            size += len(t) // 6
+            size += len(t or "") // 6
             if size >= STEP_SHINGLES:
                 yield _signed(ids, texts)
                 ids, texts, size = [], [], 0
@@ -185,16 +183,90 @@ def _verify(threshold: float):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs. Only texts that occur in a pair are moved, once; a pair
-    sorted by its first member keeps that member's multiset at hand."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    need = cut_lineage(texts.join(ids, "id", "left_semi"))
-    both = pairs.join(need.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a") \
-        .join(need.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b") \
+    """Verified pairs; a pair sorted by its first member keeps that member's
+    multiset at hand."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a") \
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b") \
         .sortWithinPartitions("a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
 
 
+def _block_links(threshold: float):
+    """Links inside one block or between two, for texts of different
+    components. Columns: key, id, side (0, 1, or 2 where both blocks are one),
+    component, text. The links of a pair of blocks form small components of
+    their own; each member but the smallest gives one row (smallest, member),
+    so a dense pair of blocks costs no more rows than it has members."""
+
+    def run(batches):
+        for t in runs(batches):
+            ids, side, comp = (t.column(k).to_numpy() for k in (1, 2, 3))
+            n = len(ids)
+            hashes = [shingle_hashes(ascii_words(x)) for x in t.column(4).to_pylist()]
+            size = np.array([len(h) for h in hashes])
+            owner = np.repeat(np.arange(n), size)
+            flat = np.concatenate(hashes)
+            order = np.lexsort((flat, owner))
+            flat, owner = flat[order], owner[order]
+            same = (np.diff(flat, prepend=flat[:1] + np.uint64(1)) == 0) & (np.diff(owner, prepend=-1) == 0)
+            start = np.flatnonzero(~same)
+            nth = np.arange(len(flat)) - np.repeat(start, np.diff(start, append=len(flat)))
+            # the multiset as a set of (shingle, occurrence); those of one text alone can't overlap
+            _, column, times = np.unique(_mix(flat + nth.astype(np.uint64) * _GOLD), return_inverse=True, return_counts=True)
+            kept = times[column] > 1
+            column, owner = column[kept], owner[kept]
+            _, column = np.unique(column, return_inverse=True)
+            order = np.argsort(column, kind="stable")
+            column, owner = column[order], owner[order]
+            common = np.zeros((n, n), np.float32)
+            for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+                i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+                x = np.zeros((n, COLUMNS), np.float32)
+                x[owner[i:j], column[i:j] - lo] = 1
+                common += x @ x.T
+            link = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9 * (1 + size[:, None])
+            link &= comp[:, None] != comp[None, :]
+            if side[0] != 2:
+                link &= side[:, None] != side[None, :]
+            label = np.arange(n)
+            while True:  # smallest reachable row
+                new = np.minimum(label, np.where(link, label[None, :], n).min(1))
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            first = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(first, label, ids)
+            rows = np.flatnonzero(ids != first[label])
+            yield pa.RecordBatch.from_arrays([pa.array(first[label][rows]), pa.array(ids[rows])], names=["a", "b"])
+
+    return run
+
+
+def _links_in_blocks(groups: DataFrame, parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of one component, from exact comparison of all texts of each
+    candidate group (texts joined by buckets) whose components differ.
+
+    A group's texts are dealt over blocks of about BLOCK_TEXTS texts and
+    BLOCK_SHINGLES shingles, and every pair of blocks is one matrix product of
+    the shingles that two of its texts share."""
+    n_parts = shuffle_partitions(texts.sparkSession)
+    rows = groups.select("id", F.col("component").alias("g")).join(parts, "id", "left").join(texts, "id").select(
+        "id", "g", F.coalesce("component", "id").alias("c"), "text")
+    rows = cut_lineage(rows)
+    words = F.length("text") / F.lit(6)
+    blocks = rows.groupBy("g").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)), F.ceil(F.sum(words) / F.lit(BLOCK_SHINGLES)),
+        F.lit(1)).cast("bigint").alias("n"))
+    dealt = rows.join(blocks, "g").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")))
+    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other")).select(
+        F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+        "c", "text")
+    return pairs.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(
+        _block_links(threshold), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Classes of near-duplicate texts.
 
@@ -207,50 +279,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Words are runs of 0-9, a-z and non-ASCII characters after lower-casing
     A-Z. A text of one to four words is one shingle of them all. A text
     without words (null, empty, punctuation) links with nothing. Repeated rows
-    of a doc_id count once (the last text in order stands for them); rows
+    of a doc_id count once (the largest text stands for them); rows
     without a doc_id are left out. An empty table gives no rows.
 
     Banding may miss a pair (5e-5 at 0.8, less above); nothing is capped.
     """
     raw = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")) \
         .filter("id IS NOT NULL")
-    words = cut_lineage(raw.mapInArrow(_word_digests, "id bigint, words binary")
-                        .groupBy("id").agg(F.max("words").alias("words")))
+    signed = cut_lineage(raw.mapInArrow(_signatures, "id bigint, words binary, keys array<bigint>"))
+    if not signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # repeated rows
+        raw = cut_lineage(raw.groupBy("id").agg(F.max("text").alias("text")))
+        signed = cut_lineage(raw.mapInArrow(_signatures, "id bigint, words binary, keys array<bigint>"))
+    words = signed.select("id", "words")
     reps = words.filter("words IS NOT NULL").groupBy("words").agg(F.min("id").alias("rep"))
     member = cut_lineage(
         words.join(reps, "words").select("id", "rep")
         .union(words.filter("words IS NULL").select("id", F.col("id").alias("rep"))))
-    alone = member.filter("id = rep").select("id")
-    firsts = words.filter("words IS NOT NULL").select("id").join(alone, "id", "left_semi")
-    texts = raw.groupBy("id").agg(F.max("text").alias("text")) if _repeats(raw) else raw
-    texts = texts.filter("text IS NOT NULL")
-    rows = cut_lineage(
-        texts.join(firsts, "id", "left_semi").mapInArrow(_signatures, "id bigint, keys array<bigint>")
-        .select("id", F.explode("keys").alias("key")))
+    firsts = member.filter("id = rep").select("id")
+    rows = cut_lineage(signed.filter("keys IS NOT NULL").select("id", "keys").join(firsts, "id", "left_semi")
+                       .select("id", F.explode("keys").alias("key")))
     buckets = rows.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut_lineage(rows.join(buckets, "key").select("key", "a", F.col("id").alias("b")))
     pairs = cut_lineage(shared.filter("a <> b").select("a", "b").distinct())
+    # the texts that share a bucket, moved once; their ids grow with the input, so they are never broadcast
+    ids = shared.select(F.col("b").alias("id")).distinct().hint("merge")
+    texts = cut_lineage(raw.filter("text IS NOT NULL").join(ids, "id", "left_semi"))
     found = cut_lineage(_links(pairs, texts, threshold).select("a", "b"))
-    # members of one bucket in different components, not yet compared
-    parts = components(found) if not found.isEmpty() else None
-    label = shared.select("key", F.col("b").alias("id")) if parts is None else \
-        shared.select("key", F.col("b").alias("id")).join(parts, "id", "left")
-    if parts is None:
-        label = label.withColumn("component", F.lit(None).cast("bigint"))
-    label = label.select("key", "id", F.coalesce("component", "id").alias("c"))
+    # buckets whose members are in different components hold pairs not yet compared
+    none = member.select("id", F.col("id").alias("component")).limit(0)
+    parts = none if found.isEmpty() else components(found)
+    label = shared.select("key", "a", F.col("b").alias("id")).join(parts, "id", "left") \
+        .select("key", "a", "id", F.coalesce("component", "id").alias("c"))
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")) \
         .filter("lo <> hi AND n > 2").select("key")
-    inside = cut_lineage(label.join(mixed, "key"))
-    left, right = inside.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), \
-        inside.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct() \
-        .join(pairs, ["a", "b"], "left_anti")
-    rest = cut_lineage(rest)
-    if not rest.isEmpty():
-        found = cut_lineage(found.union(_links(rest, texts, threshold).select("a", "b")))
-        parts = components(found) if not found.isEmpty() else None
-    if parts is None:
-        parts = member.select("id", F.col("id").alias("component")).limit(0)
+    left = cut_lineage(label.join(mixed, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct())
+    if not left.isEmpty():
+        more = cut_lineage(_links_in_blocks(components(left), parts, texts, threshold))
+        if not more.isEmpty():
+            found = cut_lineage(found.union(more))
+            parts = components(found)
     whole = cut_lineage(member.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
                         .select("id", "rep", F.coalesce("component", "rep").alias("component")))
     sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -259,11 +326,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.col("size").alias("component_size"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def _repeats(raw: DataFrame) -> bool:
-    """Whether some id occurs twice."""
-    return not raw.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-
-
 ORACLE_SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raterlens.llm.common import components, shuffle_partitions
+from raterlens.llm.common import components, runs, shuffle_partitions
 from raterlens.session import cut_lineage
 
 THRESHOLD = 0.95
@@ -47,39 +47,6 @@ def _matrix(column) -> np.ndarray:
                       dtype=np.float64).reshape(len(column), -1)
 
 
-def _runs(batches, block: int):
-    """Blocks of at most ``block`` consecutive rows of one (key, size) from a
-    sorted stream: (tables of other columns as pylists, matrix)."""
-    held = []  # record batches of the open run
-    key = None
-
-    def cut(parts):
-        t = pa.Table.from_batches(parts)
-        for lo in range(0, t.num_rows, block):
-            yield t.slice(lo, block)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for lo, hi in zip(edges, [*edges[1:], len(keys)]):
-            if held and keys[lo] != key:
-                yield from cut(held)
-                held = []
-            key = keys[lo]
-            held.append(batch.slice(lo, hi - lo))
-            rows = sum(b.num_rows for b in held)
-            if rows >= 4 * block:  # long runs leave in whole blocks
-                t = pa.Table.from_batches(held)
-                whole = rows // block * block
-                for at in range(0, whole, block):
-                    yield t.slice(at, block)
-                held = t.slice(whole).to_batches()
-    if held:
-        yield from cut(held)
-
-
 def _compare(block: int):
     """Kernel of the first graph and of the joins. Columns: key, id, k (list
     length), floor (similarity of the last entry), fresh, vec. Gives each
@@ -88,7 +55,7 @@ def _compare(block: int):
 
     def run(batches):
         out = [[], [], []]
-        for t in _runs(batches, block):
+        for t in runs(batches, block):
             n = t.num_rows
             fresh = t.column(4).to_numpy()
             if n < 2 or not fresh.any():
@@ -151,7 +118,7 @@ def _count_blocks(threshold: float):
     schema = pa.schema([("u", pa.int64()), ("links", pa.int64())])
 
     def run(batches):
-        for t in _runs(batches, 1 << 30):  # runs hold two blocks at most
+        for t in runs(batches):  # a run holds two blocks at most
             side = t.column(2).to_numpy()
             ids, mult, x = t.column(1).to_numpy(), t.column(3).to_numpy(), _matrix(t.column(4))
             near = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])

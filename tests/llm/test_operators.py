@@ -426,6 +426,24 @@ def test_near_duplicates_against_brute_force(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_dense_group_about_the_threshold(spark, monkeypatch):
+    """Many copies of one text, each edited on its own: some pairs link, most
+    don't, so stars alone would miss links. Small blocks make many of them."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
+    rng = np.random.default_rng(8)
+    base = [f"t{x}" for x in rng.integers(0, 4000, 150)]
+    rows = []
+    for _ in range(90):
+        words = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 7)):
+            words[at] = f"u{rng.integers(0, 10 ** 9)}"
+        rows.append((len(rows) + 5, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(
+        frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    want = near_brute(rows)
+    assert len(set(want.values())) > 1 and got == want
+
+
 def test_components_of_chains_and_cliques(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(3, 9), (9, 5), (7, 9)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
