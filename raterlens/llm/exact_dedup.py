@@ -168,7 +168,7 @@ def exact_duplicates(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS)
         .select("ids", "digests", "bitmap")
         .mapInArrow(_mark(fingerprint_bits), "doc_id bigint, text_sha256 string, suspect boolean"))
     suspects = marked.filter("suspect")
-    ids = suspects.select(F.col("doc_id").alias("__id")).distinct()
+    ids = suspects.select(F.col("doc_id").alias("__id")).distinct().hint("merge")  # grows with the input: no broadcast
     norm = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     verified = (rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
                 .groupBy(norm.alias("norm"))
