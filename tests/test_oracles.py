@@ -1,10 +1,8 @@
 """Registered queries against their DuckDB oracle SQL on the sf0.001 tables.
 
-A representative subset runs by default; ``RATERLENS_ALL_ORACLES=1`` runs
-every query that has an oracle."""
+Every query that has an oracle runs."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -13,10 +11,7 @@ import __spark_entry__ as E
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-DEFAULT = ["clean_ratings", "annotator_profile", "majority_vote", "balance_classes", "split_on_texts",
-           "best_split_trial", "threshold_sweep_metrics", "annotator_welfare", "welfare_summary",
-           "benchmark_sweep", "head_scoring", "welch_ttest", "null_audit", "positional_join"]
-NAMES = sorted(E.oracle_sql()) if os.environ.get("RATERLENS_ALL_ORACLES") == "1" else DEFAULT
+NAMES = sorted(E.oracle_sql())
 
 
 def _norm(v):
