@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from raterlens.functions.columns import argmax, dot, log_sum_exp
 
