@@ -3,7 +3,8 @@
 The merges of a partition's distinct pieces are found together: an index maps
 each adjacent pair of tokens to all its positions in the partition's pieces,
 and the pairs present are taken in ascending rank; all positions of a pair
-merge from left to right and the lists of the pairs beside them are updated.
+merge (left to right where they overlap) in array operations and the lists of
+the pairs beside them are updated.
 Merging a rank only makes pairs of higher ranks (checked when the vocabulary
 is read), so this gives what merging each piece alone gives.
 """
@@ -30,7 +31,7 @@ _PLAIN = re.compile(rf"[\t\n\r -~{_LATIN}]*")
 _PLAIN_PIECES = re.compile(
     rf" ?[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
 CACHE_PIECES = 250_000   # encoded pieces kept by a worker
-STEP_CHARS = 1_000_000   # texts encoded together; a longer text is a step of its own
+STEP_CHARS = 4_000_000   # texts encoded together; a longer text is a step of its own
 
 
 def pieces_of(text: str) -> list[str]:
@@ -59,68 +60,88 @@ class Vocabulary:
             self.tokens[i] = bytes(byte[c] for c in token) if token not in self.special else token.encode()
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
-        self.byte_ids = [0] * 256
+        self.byte_ids = np.zeros(256, np.int64)
         for c, b in byte.items():
             self.byte_ids[b] = ids[c]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         made: dict[int, int] = {}
+        n = len(model["merges"])
+        self.left, self.right, self.new = (np.zeros(n, np.int64) for _ in range(3))  # by rank
         for rank, pair in enumerate(model["merges"]):
             x, y = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[x], ids[y]] = (rank, ids[x + y])
+            self.left[rank], self.right[rank], self.new[rank] = ids[x], ids[y], ids[x + y]
             made[ids[x + y]] = rank  # the last merge that makes the token
-        if any(made.get(a, -1) >= r or made.get(b, -1) >= r for (a, b), (r, _) in self.merges.items()):
+        if any(made.get(t, -1) >= rank for side in (self.left, self.right) for rank, t in enumerate(side.tolist())):
             raise ValueError("a merge uses a token that a later merge makes")
+        pairs = self.left * len(self.tokens) + self.right
+        self.order = np.argsort(pairs)
+        self.pairs = pairs[self.order]
+
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens (-1: no merge; negative tokens: none)."""
+        pair = x * len(self.tokens) + y
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == pair) & (x >= 0) & (y >= 0), self.order[at], -1)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids (little-endian unsigned 32-bit) of each piece."""
-        token: list[int] = []
-        starts = []
-        for p in pieces:
-            starts.append(len(token))
-            token += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-            token.append(-1)  # wall between pieces
+        """Ids (little-endian unsigned 32-bit) of each piece.
+
+        The pieces stand behind each other with walls (-1) between; a position
+        is where a token begins. ``index`` holds, by rank, lists of positions
+        of the pair; a list may hold positions whose pair has gone by the time
+        its rank is due, so the tokens are looked at again."""
+        if not pieces:
+            return []
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 1
+        token = self.byte_ids[np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)]
+        token[ends] = -1
         n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges
-        index: dict[tuple[int, int], list[int]] = {}
-        for i in range(n - 1):
-            pair = (token[i], token[i + 1])
-            if pair in merges:
-                index.setdefault(pair, []).append(i)
-        heap = [(*merges[p], p) for p in index]
-        heapq.heapify(heap)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(rank, at):
+            """File positions under their ranks; new ranks become active."""
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, part in zip(rank[cuts].tolist(), np.split(at, cuts[1:])):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(heap, r)
+                index[r].append(part)
+
+        rank = self.ranks(token[:-1], token[1:])
+        at = np.flatnonzero(rank >= 0)
+        if len(at):
+            add(rank[at], at)
         while heap:
-            _, new, pair = heapq.heappop(heap)
-            x, y = pair
-            found: dict[tuple[int, int], list[int]] = {}
-            for i in sorted(index.pop(pair)):
-                if token[i] != x:
-                    continue
-                j = after[i]
-                if token[j] != y:
-                    continue
-                token[i], token[j] = new, -2
-                k = after[j]
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    if token[k] >= 0 and (new, token[k]) in merges:
-                        found.setdefault((new, token[k]), []).append(i)
-                h = before[i]
-                if h >= 0 and token[h] >= 0 and (token[h], new) in merges:
-                    found.setdefault((token[h], new), []).append(h)
-            for p, at in found.items():
-                if p in index:
-                    index[p] += at
-                else:
-                    index[p] = at
-                    heapq.heappush(heap, (*merges[p], p))
-        out = []
-        flat = np.array(token, np.int64)
-        for lo, hi in zip(starts, [*starts[1:], n]):
-            ids = flat[lo:hi - 1]
-            out.append(ids[ids >= 0].astype("<u4").tobytes())
-        return out
+            r = heapq.heappop(heap)
+            x, y, new = self.left[r], self.right[r], self.new[r]
+            i = np.unique(np.concatenate(index.pop(r)))
+            i = i[token[i] == x]
+            j = after[i]
+            i, j = i[token[j] == y], j[token[j] == y]
+            if x == y and len(i):  # overlapping pairs: every second one of a run, from the left
+                first = np.flatnonzero(np.append(True, i[1:] != j[:-1]))
+                place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                i, j = i[place % 2 == 0], j[place % 2 == 0]
+            if not len(i):
+                continue
+            k = after[j]
+            token[i], token[j] = new, -2
+            after[i], before[k] = k, i
+            h = before[i]
+            previous = np.where(h >= 0, token[h], -1)
+            left = np.where(previous == new, -1, self.ranks(previous, token[i]))  # two new ones: filed once, as a right pair
+            right = self.ranks(token[i], token[after[i]])
+            rank, at = np.concatenate([left, right]), np.concatenate([h, i])
+            if (rank >= 0).any():
+                add(rank[rank >= 0], at[rank >= 0])
+        live = token >= 0
+        ids = token[live].astype("<u4").tobytes()
+        stop = (np.cumsum(live)[ends] * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *stop[:-1]], stop)]
 
 
 class Encoder:
