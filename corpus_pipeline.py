@@ -25,7 +25,9 @@ KEY = "__stage_doc_id"
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (one column, KEY)."""
+    """Rows of docs whose doc_id is in ids (one column, KEY). The ids grow with
+    the input: the join is the same at every size, never a broadcast."""
+    ids = ids.hint("merge")
     return docs.join(ids, docs["doc_id"].cast("bigint") == ids[KEY], "left_semi")
 
 
@@ -57,7 +59,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix has it."""
     mix = mixing.source_mix(docs).filter("copies > 0").select(F.col("doc_id").alias(KEY), F.col("copies").alias("__copies"))
-    mix = cut_lineage(mix.groupBy(KEY).agg(F.max("__copies").alias("__copies")))
+    mix = cut_lineage(mix.groupBy(KEY).agg(F.max("__copies").alias("__copies"))).hint("merge")
     return docs.join(mix, docs["doc_id"].cast("bigint") == mix[KEY]) \
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
 
