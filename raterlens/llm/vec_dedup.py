@@ -13,12 +13,17 @@ Links are the list entries at the threshold, and components follow from them.
 Inside each component the links are then counted exactly: its vectors meet in
 pairs of blocks, whose matrix product gives, for each vector, the number of
 linked ones. So a clique of any size needs no pair rows, and no list bound
-limits n_links. An audit compares a bounded sample of vectors with all others;
-below AUDIT_RECALL the descent runs again from other hyperplanes.
+limits n_links. An audit compares bounded samples of vectors, one of all and one
+of those outside the large components, with all others. Each sampled vector
+weighs the same, however many links or copies it has. While the recall of a
+sample is below AUDIT_RECALL the descent runs again from other and twice as many
+hyperplane codes and for more rounds; the job fails if that doesn't reach it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,12 +35,13 @@ from raterlens.session import cut_lineage
 THRESHOLD = 0.95
 NEIGHBOURS = 8        # first length of the lists; saturated ones grow
 GROWTH, MAX_LIST = 4, 128
-PLANES = 20           # bits of a code
-TREES = 4             # codes of the first graph
+PLANES = 20           # bits of a code, at least
+TREES = 4             # codes of the first graph, at least
 BLOCK = 256
 ROUNDS = 6            # at most; fewer if a round changes little
 SETTLED = 0.002       # changed share of the entries at which the descent ends
 AUDIT, AUDIT_RECALL, AUDIT_TRIES = 256, 0.99, 3
+AUDIT_REST = 1024     # more sampled vectors, outside components of over BLOCK vectors
 SEED = 5
 
 _CAND = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float64())])
@@ -91,7 +97,17 @@ def _candidates(out):
         [pa.array(np.concatenate(c)) for c in out], schema=_CAND)
 
 
-def _codes(seed: int, trees: int):
+def _first_graph(n: int, threshold: float) -> tuple[int, int]:
+    """Codes and bits of a code by which two of ``n`` vectors that are just
+    linked share a block with probability AUDIT_RECALL. Blocks follow about
+    log2(n / BLOCK) bits, each equal with probability 1 - angle / pi."""
+    bits = max(0.0, math.log2(max(1, n) / BLOCK))
+    share = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    trees = math.ceil(math.log(1 - AUDIT_RECALL) / math.log1p(-share)) if 0 < share < 1 else TREES
+    return max(TREES, trees), min(62, max(PLANES, math.ceil(bits) + 2))
+
+
+def _codes(seed: int, trees: int, n_planes: int):
     """Hyperplane codes of each vector; planes depend on the seed, the tree
     and the vector's length."""
     schema = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -103,19 +119,20 @@ def _codes(seed: int, trees: int):
             sizes = batch.column(1).value_lengths().to_numpy()
             for d in np.unique(sizes):
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).normal(size=(int(d), trees * PLANES))
+                    planes[d] = np.random.default_rng([seed, int(d)]).normal(size=(int(d), trees * n_planes))
                 at = np.flatnonzero(sizes == d)
-                bits = (_matrix(batch.column(1).take(pa.array(at))) @ planes[d] > 0).reshape(len(at), trees, PLANES)
-                codes[at] = bits @ (1 << np.arange(PLANES)[::-1])
+                bits = (_matrix(batch.column(1).take(pa.array(at))) @ planes[d] > 0).reshape(len(at), trees, n_planes)
+                codes[at] = bits @ (1 << np.arange(n_planes, dtype=np.int64)[::-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(codes), pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _count_blocks(threshold: float):
-    """Counts of linked copies for pairs of blocks of a component. Columns:
-    key, id, side (0, 1 or 2 where both blocks are one), mult, vec."""
-    schema = pa.schema([("u", pa.int64()), ("links", pa.int64())])
+    """Counts of linked copies and of linked vectors for pairs of blocks of a
+    component. Columns: key, id, side (0, 1 or 2 where both blocks are one),
+    mult, vec."""
+    schema = pa.schema([("u", pa.int64()), ("links", pa.int64()), ("vectors", pa.int64())])
 
     def run(batches):
         for t in runs(batches):  # a run holds two blocks at most
@@ -124,8 +141,8 @@ def _count_blocks(threshold: float):
             near = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
             if side[0] != 2:
                 near &= side[:, None] != side[None, :]
-            got = near @ mult
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(got)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(near @ mult), pa.array(near.sum(1, dtype=np.int64))], schema=schema)
 
     return run
 
@@ -142,19 +159,19 @@ def _lists(entries: DataFrame, size: DataFrame) -> DataFrame:
         .filter("rank <= k").select("u", "w", "sim", "fresh", "rank", "k")
 
 
-def _descend(vecs: DataFrame, threshold: float, seed: int) -> DataFrame:
+def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: int, rounds: int) -> DataFrame:
     """Entries (u, w) at the threshold of the refined lists."""
     spark = vecs.sparkSession
     n = shuffle_partitions(spark)
     size = vecs.select("id", F.lit(NEIGHBOURS).alias("k"))
-    codes = vecs.mapInArrow(_codes(seed, TREES), "id bigint, keys array<bigint>")
+    codes = vecs.mapInArrow(_codes(seed, trees, planes), "id bigint, keys array<bigint>")
     start = codes.select("id", F.posexplode("keys").alias("tree", "code")).join(vecs, "id").select(
-        (F.col("tree") * 1000 + F.size("vec")).cast("bigint").alias("key"), "id", F.lit(NEIGHBOURS).alias("k"),
+        (F.col("tree").cast("bigint") * (1 << 32) + F.size("vec")).alias("key"), "id", F.lit(NEIGHBOURS).alias("k"),
         F.lit(-2.0).alias("floor"), F.lit(True).alias("fresh"), "vec", "code")
     first = _block_runs(start, n, "key", "code", "id").select("key", "id", "k", "floor", "fresh", "vec") \
         .mapInArrow(_compare(BLOCK), "u bigint, w bigint, sim double")
     lists = cut_lineage(_lists(first.withColumn("fresh", F.lit(True)), size))
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         # a vector's floor is its last entry's similarity once its list is full
         state = lists.groupBy("u").agg(
             F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"), F.max("k").alias("k")) \
@@ -182,7 +199,7 @@ def _descend(vecs: DataFrame, threshold: float, seed: int) -> DataFrame:
 
 
 def _sample_counts(sample: list, threshold: float):
-    """Linked copies of the sampled vectors among all (block by block)."""
+    """Linked vectors of the sampled ones among all (block by block)."""
     schema = pa.schema([("u", pa.int64()), ("links", pa.int64())])
     by_size: dict[int, tuple] = {}
     for d in {len(v) for _, v in sample}:
@@ -191,19 +208,36 @@ def _sample_counts(sample: list, threshold: float):
 
     def run(batches):
         for batch in batches:
-            sizes = batch.column(2).value_lengths().to_numpy()
+            sizes = batch.column(1).value_lengths().to_numpy()
             for d in np.unique(sizes):
                 if d not in by_size:
                     continue
-                at = np.flatnonzero(sizes == d)
                 ids, x = by_size[d]
-                all_ids, mult = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at]
-                near = (x @ _matrix(batch.column(2).take(pa.array(at))).T >= threshold) & (ids[:, None] != all_ids[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ mult)], schema=schema)
+                all_at, found = np.flatnonzero(sizes == d), np.zeros(len(ids), np.int64)
+                for lo in range(0, len(all_at), 1024):
+                    at = all_at[lo:lo + 1024]
+                    near = x @ _matrix(batch.column(1).take(pa.array(at))).T >= threshold
+                    found += (near & (ids[:, None] != batch.column(0).to_numpy()[at][None, :])).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found)], schema=schema)
 
     return run
 
 
+def _recall(pool: DataFrame, size: int, vecs: DataFrame, counts: DataFrame | None, threshold: float) -> float:
+    """Mean share of found links over the sampled vectors of the pool that
+    have links (1 if none has), each weighing the same."""
+    sample = [(r["id"], list(r["vec"])) for r in
+              pool.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(size).collect()]
+    if not sample:
+        return 1.0
+    truth = vecs.mapInArrow(_sample_counts(sample, threshold), "u bigint, links bigint") \
+        .groupBy("u").agg(F.sum("links").alias("all")).filter("all > 0")
+    got = truth.withColumn("vectors", F.lit(0)) if counts is None else \
+        truth.join(counts.select("u", "vectors"), "u", "left")
+    share = got.agg(F.avg(F.least(F.coalesce("vectors", F.lit(0)) / F.col("all"), F.lit(1.0)))).first()[0]
+    return 1.0 if share is None else share
+
+
 def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Components of vectors linked by cosine >= ``threshold``, in double
     precision.
@@ -229,30 +263,30 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     vecs = cut_lineage(rows.filter("vec IS NOT NULL").groupBy("vec").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult")).select("id", "mult", "vec"))
     only = vecs.select("id", "vec")
-    sample = vecs.select("id", "vec").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDIT).collect()
-    sample = [(r["id"], list(r["vec"])) for r in sample]
-    truth = cut_lineage(vecs.mapInArrow(_sample_counts(sample, threshold), "u bigint, links bigint")
-                        .groupBy("u").agg(F.sum("links").alias("links"))) if sample else None
     links, counts, parts = None, None, None
-    for attempt in range(AUDIT_TRIES if sample else 0):
-        new = _descend(only, threshold, SEED + attempt)
+    n = vecs.count()
+    trees, planes = _first_graph(n, threshold)
+    for attempt in range(AUDIT_TRIES if n > 1 else 0):
+        new = _descend(only, threshold, SEED + attempt, trees << attempt, planes, ROUNDS << attempt)
         links = cut_lineage(new if links is None else links.union(new).distinct())
+        rest = only
         if links.isEmpty():
             parts, counts = None, None
         else:
             parts = components(links, "u", "w")
             counts = _count(parts, vecs, threshold)
-        got = truth.filter("links > 0")
-        if counts is not None:
-            got = got.join(counts.withColumnRenamed("links", "found"), "u", "left")
-        else:
-            got = got.withColumn("found", F.lit(0))
-        r = got.agg(F.sum("links").alias("all"), F.sum(F.coalesce("found", F.lit(0))).alias("found")).first()
-        if not r["all"] or r["found"] >= AUDIT_RECALL * r["all"]:
+            large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK)
+            rest = only.join(parts.join(large, "component").select("id"), "id", "left_anti")
+        recall = [_recall(pool, size, only, counts, threshold) for pool, size in ((only, AUDIT), (rest, AUDIT_REST))]
+        if min(recall) >= AUDIT_RECALL:
             break
+    else:
+        if n > 1:
+            raise RuntimeError(f"links found of the mean audited vector: {recall[0]:.4f} of all, {recall[1]:.4f} outside "
+                               f"large components, after {AUDIT_TRIES} descents; {AUDIT_RECALL} are needed")
     named = vecs.select("id", "mult", "vec")
     if parts is not None:
-        named = named.join(parts, "id", "left").join(counts.withColumnRenamed("u", "id"), "id", "left")
+        named = named.join(parts, "id", "left").join(counts.select(F.col("u").alias("id"), "links"), "id", "left")
     else:
         named = named.withColumn("component", F.lit(None).cast("bigint")).withColumn("links", F.lit(0).cast("bigint"))
     named = named.select("vec", F.coalesce("component", "id").alias("component"),
@@ -266,7 +300,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def _count(parts: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
-    """Exact numbers of linked copies inside the components (u, links)."""
+    """Exact numbers of linked copies and linked vectors inside the components
+    (u, links, vectors)."""
     n = shuffle_partitions(parts.sparkSession)
     blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("bigint").alias("blocks"))
     placed = parts.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -275,8 +310,8 @@ def _count(parts: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
                 F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     rows = pairs.join(vecs, "id").select("key", "id", "side", "mult", "vec")
     sorted_rows = rows.repartition(n, "key").sortWithinPartitions("key")
-    return cut_lineage(sorted_rows.mapInArrow(_count_blocks(threshold), "u bigint, links bigint")
-                       .groupBy("u").agg(F.sum("links").alias("links")))
+    return cut_lineage(sorted_rows.mapInArrow(_count_blocks(threshold), "u bigint, links bigint, vectors bigint")
+                       .groupBy("u").agg(F.sum("links").alias("links"), F.sum("vectors").alias("vectors")))
 
 
 ORACLE_SQL = f"""

@@ -479,3 +479,47 @@ def test_embedding_links_against_brute_force(spark):
     for i in range(n, n + 7):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert vec_dedup.embedding_duplicates(df.limit(0)).count() == 0
+
+
+def linked(x, threshold=0.95):
+    """Links of every vector and its component, by brute force."""
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    near = v @ v.T >= threshold
+    comp = np.arange(len(x))
+    while True:
+        new = np.array([comp[row].min() for row in near])
+        if (new == comp).all():
+            return near.sum(1) - 1, comp
+        comp = new
+
+
+def vector_frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_embedding_pairs_beside_a_clique(spark, monkeypatch):
+    """Each linked vector counts the same: a clique holds nearly all links, the
+    pairs nearly all of the other linked vectors. Small blocks stand for a big
+    table."""
+    monkeypatch.setattr(vec_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1800, 48))
+    pairs = x[:700] + rng.normal(size=(700, 48)) * 0.3
+    clique = x[-1] + rng.normal(size=(600, 48)) * 0.02
+    x = np.concatenate([x, pairs, clique])
+    n_links, comp = linked(x)
+    got = {r.vec_id: r for r in vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()}
+    has = n_links > 0
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert has[:700].sum() > 300 and (found[has] / n_links[has])[~(n_links[has] > 500)].mean() >= 0.99
+    assert np.mean([got[i].component_id == comp[i] for i in np.flatnonzero(has)]) >= 0.99
+
+
+def test_embedding_job_fails_below_the_audited_recall(spark, monkeypatch):
+    monkeypatch.setattr(vec_dedup, "_descend", lambda vecs, *a: vecs.sparkSession.createDataFrame(
+        [(0, i) for i in range(1, 40)], "u long, w long"))
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.ones(16) + rng.normal(size=(40, 16)) * 0.02, *(
+        v + rng.normal(size=(2, 16)) * 0.02 for v in rng.normal(size=(3, 16)))])
+    with pytest.raises(RuntimeError, match="audited"):
+        vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()
