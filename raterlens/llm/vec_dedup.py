@@ -7,8 +7,12 @@ neighbours of neighbours: every vector's neighbours, forward and reverse, meet
 at it and are compared with each other. Both steps are one kernel: rows sorted
 by a key stream through a task, and runs of a key, cut into blocks of at most
 BLOCK rows, are multiplied as matrices. A vector all of whose list lies above
-the threshold is saturated; its list is enlarged and the refinement goes on.
-Links are the list entries at the threshold, and components follow from them.
+the threshold is saturated; its list is enlarged, up to MAX_LIST, and the
+refinement goes on while any vector gains links or room. Links are the list
+entries at the threshold, and components follow from them. Full lists may hide
+links from one dense component to another, so the vectors still saturated are
+compared exactly across components: in cells of at most BLOCK, leaving out the
+pairs of cells whose centres are too far apart for their radii.
 
 Inside each component the links are then counted exactly: its vectors meet in
 pairs of blocks, whose matrix product gives, for each vector, the number of
@@ -38,8 +42,9 @@ GROWTH, MAX_LIST = 4, 128
 PLANES = 20           # bits of a code, at least
 TREES = 4             # codes of the first graph, at least
 BLOCK = 256
-ROUNDS = 6            # at most; fewer if a round changes little
-SETTLED = 0.002       # changed share of the entries at which the descent ends
+ROUNDS = 6            # at most, but for vectors that still gain links
+SETTLED = 0.002       # changed share of the entries at which unlinked vectors are settled
+CELLS = 1024          # cells whose centres are compared at once
 AUDIT, AUDIT_RECALL, AUDIT_TRIES = 256, 0.99, 3
 AUDIT_REST = 1024     # more sampled vectors, outside components of over BLOCK vectors
 SEED = 5
@@ -159,19 +164,23 @@ def _lists(entries: DataFrame, size: DataFrame) -> DataFrame:
         .filter("rank <= k").select("u", "w", "sim", "fresh", "rank", "k")
 
 
-def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: int, rounds: int) -> DataFrame:
-    """Entries (u, w) at the threshold of the refined lists."""
+def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: int,
+             rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (u, w) at the threshold of the refined lists, and the vectors
+    (id, code) whose lists are saturated in the end."""
     spark = vecs.sparkSession
     n = shuffle_partitions(spark)
     size = vecs.select("id", F.lit(NEIGHBOURS).alias("k"))
-    codes = vecs.mapInArrow(_codes(seed, trees, planes), "id bigint, keys array<bigint>")
+    codes = cut_lineage(vecs.mapInArrow(_codes(seed, trees, planes), "id bigint, keys array<bigint>"))
     start = codes.select("id", F.posexplode("keys").alias("tree", "code")).join(vecs, "id").select(
         (F.col("tree").cast("bigint") * (1 << 32) + F.size("vec")).alias("key"), "id", F.lit(NEIGHBOURS).alias("k"),
         F.lit(-2.0).alias("floor"), F.lit(True).alias("fresh"), "vec", "code")
     first = _block_runs(start, n, "key", "code", "id").select("key", "id", "k", "floor", "fresh", "vec") \
         .mapInArrow(_compare(BLOCK), "u bigint, w bigint, sim double")
     lists = cut_lineage(_lists(first.withColumn("fresh", F.lit(True)), size))
-    for _ in range(rounds):
+    turn = 0
+    while True:
+        turn += 1
         # a vector's floor is its last entry's similarity once its list is full
         state = lists.groupBy("u").agg(
             F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"), F.max("k").alias("k")) \
@@ -185,17 +194,102 @@ def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: i
         forward = lists.select(F.col("u").alias("key"), F.col("w").alias("id"), "fresh")
         reverse = lists.select(F.col("w").alias("key"), F.col("u").alias("id"), "fresh")
         meet = forward.union(reverse).groupBy("key", "id").agg(F.max("fresh").alias("fresh"))
-        active = meet.groupBy("key").agg(F.max("fresh").alias("any")).filter("any").select("key")
-        rows = meet.join(active, "key", "left_semi").join(state, "id").join(vecs, "id") \
-            .select("key", "id", "k", "floor", "fresh", "vec")
-        found = _block_runs(rows, n, "key", "id").mapInArrow(_compare(BLOCK), "u bigint, w bigint, sim double")
+        # members of a hub larger than a block meet in other blocks each round
+        active = meet.groupBy("key").agg(F.max("fresh").alias("any"), (F.count(F.lit(1)) > BLOCK).alias("hub")) \
+            .filter("any").select("key", "hub")
+        rows = meet.join(active, "key").join(state, "id").join(vecs, "id").select(
+            "key", "id", "k", "floor", (F.col("fresh") | F.col("hub")).alias("fresh"), "vec",
+            F.when(F.col("hub"), F.xxhash64("id", F.lit(turn))).otherwise(F.col("id")).alias("place"))
+        found = _block_runs(rows, n, "key", "place", "id").select("key", "id", "k", "floor", "fresh", "vec") \
+            .mapInArrow(_compare(BLOCK), "u bigint, w bigint, sim double")
         entries = lists.select("u", "w", "sim", F.lit(False).alias("fresh")) \
             .union(found.select("u", "w", "sim", F.lit(True).alias("fresh")))
         lists = cut_lineage(_lists(entries, state))
-        r = lists.agg(F.avg(F.col("fresh").cast("double")).alias("new")).first()
-        if (r["new"] or 0.0) < SETTLED:
+        ends = lists.groupBy("u").agg(
+            F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"), F.max("k").alias("k"),
+            F.sum(F.col("fresh").cast("long")).alias("new"),
+            F.max(F.col("fresh") & (F.col("sim") >= threshold)).alias("linked")) \
+            .withColumn("saturated", (F.col("n") >= F.col("k")) & (F.col("low") >= threshold))
+        more = F.when(F.col("saturated"), F.col("k") < MAX_LIST).otherwise(F.col("linked"))
+        r = ends.agg(F.sum("new").alias("new"), F.sum("n").alias("n"), F.sum(more.cast("long")).alias("more")).first()
+        if not r["more"] and (turn >= rounds or (r["new"] or 0) < SETTLED * (r["n"] or 1)):
             break
-    return lists.filter(F.col("sim") >= threshold).select("u", "w")
+    full = codes.join(ends.filter("saturated").select(F.col("u").alias("id")), "id", "left_semi") \
+        .select("id", F.col("keys")[0].alias("code"))
+    return lists.filter(F.col("sim") >= threshold).select("u", "w"), cut_lineage(full)
+
+
+def _cells(batches):
+    """Blocks of consecutive vectors of a component with their centre and the
+    largest angle to it. Columns: component, id, vec."""
+    for t in runs(batches, BLOCK):
+        ids, x = t.column(1).to_numpy(), _matrix(t.column(2))
+        centre = x.sum(0)
+        norm = np.linalg.norm(centre)
+        centre = centre / norm if norm > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(ids.min())]), t.column(0).slice(0, 1).combine_chunks(), pa.array([radius]),
+             pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([ids.tolist()], pa.list_(pa.int64()))],
+            names=["cell", "component", "radius", "centre", "ids"])
+
+
+def _near_cells(threshold: float):
+    """Pairs of cells of two components that may hold a link, by the triangle
+    inequality of angles. Columns: key, cell, component, side, radius, centre."""
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def run(batches):
+        for t in runs(batches):
+            cell, component, side, radius = (t.column(i).to_numpy() for i in range(1, 5))
+            x = _matrix(t.column(5))
+            for lo in range(0, len(cell), 256):
+                at = slice(lo, lo + 256)
+                near = np.arccos(np.clip(x[at] @ x.T, -1, 1)) <= radius[at, None] + radius[None, :] + reach
+                near &= (component[at, None] != component[None, :]) & (cell[at, None] < cell[None, :])
+                if side[0] != 2:
+                    near &= side[at, None] != side[None, :]
+                a, b = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at][a]), pa.array(cell[b])], names=["a", "b"])
+
+    return run
+
+
+def _bridge(threshold: float):
+    """The best link between two cells, if there is one; it joins their
+    components. Columns: key, id, side, vec."""
+
+    def run(batches):
+        for t in runs(batches):
+            ids, side, x = t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(3))
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            sim = x[one] @ x[two].T
+            i, j = np.unravel_index(int(sim.argmax()), sim.shape)
+            if sim[i, j] >= threshold:
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[one[i]])]), pa.array([int(ids[two[j]])])],
+                                                 names=["u", "w"])
+
+    return run
+
+
+def _bridges(full: DataFrame, parts: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, w) that join the components of saturated vectors, exactly."""
+    n = shuffle_partitions(vecs.sparkSession)
+    rows = full.join(parts, "id").join(vecs, "id").select("component", "id", "vec", "code")
+    cells = cut_lineage(_block_runs(rows, n, "component", "code", "id").select("component", "id", "vec").mapInArrow(
+        _cells, "cell bigint, component bigint, radius double, centre array<double>, ids array<bigint>"))
+    groups = max(1, math.ceil(cells.count() / CELLS))
+    placed = cells.withColumn("mine", F.pmod(F.xxhash64("cell"), F.lit(groups))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    near = placed.select(
+        F.xxhash64(F.size("centre"), F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cell", "component",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+        "radius", "centre")
+    near = cut_lineage(near.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
+        _near_cells(threshold), "a bigint, b bigint"))
+    member = near.select(F.xxhash64("a", "b").alias("key"), F.posexplode(F.array("a", "b")).alias("side", "cell")) \
+        .join(cells.select("cell", F.explode("ids").alias("id")), "cell").join(vecs, "id").select("key", "id", "side", "vec")
+    return member.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bridge(threshold), "u bigint, w bigint")
 
 
 def _sample_counts(sample: list, threshold: float):
@@ -267,13 +361,17 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     n = vecs.count()
     trees, planes = _first_graph(n, threshold)
     for attempt in range(AUDIT_TRIES if n > 1 else 0):
-        new = _descend(only, threshold, SEED + attempt, trees << attempt, planes, ROUNDS << attempt)
+        new, full = _descend(only, threshold, SEED + attempt, trees << attempt, planes, ROUNDS << attempt)
         links = cut_lineage(new if links is None else links.union(new).distinct())
         rest = only
         if links.isEmpty():
             parts, counts = None, None
         else:
             parts = components(links, "u", "w")
+            bridges = cut_lineage(_bridges(full, parts, only, threshold))
+            if not bridges.isEmpty():
+                links = cut_lineage(links.union(bridges))
+                parts = components(links, "u", "w")
             counts = _count(parts, vecs, threshold)
             large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK)
             rest = only.join(parts.join(large, "component").select("id"), "id", "left_anti")

@@ -516,10 +516,26 @@ def test_embedding_pairs_beside_a_clique(spark, monkeypatch):
 
 
 def test_embedding_job_fails_below_the_audited_recall(spark, monkeypatch):
-    monkeypatch.setattr(vec_dedup, "_descend", lambda vecs, *a: vecs.sparkSession.createDataFrame(
-        [(0, i) for i in range(1, 40)], "u long, w long"))
+    lost = spark.createDataFrame([(0, i) for i in range(1, 40)], "u long, w long")
+    none = spark.createDataFrame([], "id long, code long")
+    monkeypatch.setattr(vec_dedup, "_descend", lambda *a: (lost, none))
     rng = np.random.default_rng(2)
     x = np.concatenate([np.ones(16) + rng.normal(size=(40, 16)) * 0.02, *(
         v + rng.normal(size=(2, 16)) * 0.02 for v in rng.normal(size=(3, 16)))])
     with pytest.raises(RuntimeError, match="audited"):
         vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()
+
+
+def test_embedding_links_between_dense_groups(spark):
+    """Two groups, too large for any list, joined only by links just above the
+    threshold."""
+    rng = np.random.default_rng(5)
+    a, b = np.zeros(32), np.zeros(32)
+    a[0], b[:2] = 1, (0.9455, np.sqrt(1 - 0.9455 ** 2))
+    x = np.concatenate([a + rng.normal(size=(500, 32)) * 0.004, b + rng.normal(size=(500, 32)) * 0.004])
+    n_links, comp = linked(x)
+    across = n_links - 499
+    assert (comp == 0).all() and 0 < across.sum() < 5000
+    got = {r.vec_id: r for r in vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()}
+    assert [got[i].component_id for i in range(1000)] == [0] * 1000
+    assert [got[i].n_links for i in range(1000)] == n_links.tolist()
