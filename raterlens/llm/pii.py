@@ -10,6 +10,11 @@ radix, by SHA-256 of the key, the kind, the round and the elements at the other
 places. That is a bijection on the values of the format, so equal values get
 equal pseudonyms in all documents and different ones stay different. Check
 digits are computed anew; separators stay where they were.
+
+A card is searched in its whole run of digit groups: all sequences of groups
+with 13 to 19 digits are validated and the longest valid ones replaced, so a
+number before or after a card doesn't hide it. An IBAN takes the length of its
+country, whatever word follows.
 """
 
 from __future__ import annotations
@@ -23,13 +28,31 @@ EPOCH, DAY_A, DAY_B = "1900-01-01", 269, 271  # 72,899 days: 1900-01-01 to 2099-
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """IBANs of the known countries at their length, others at any."""
+    known = "|".join(
+        f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+        for n, c in _IBAN_SIZES.items())
+    return f"(?:{known})(?![A-Za-z0-9])|[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+
+
+_IBAN = _iban_pattern()
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 _IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = (r"(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|"
           r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}")
-_CARD = r"\d(?:[ -]?\d){12,18}"
+# digit groups that begin a value of another kind end a run
+_OTHER = rf"(?:{_DATE}|{_IP}|{_SSN}|{_PHONE}){_RIGHT}|[A-Za-z0-9._%+]{{1,64}}@"
+_CARD = rf"(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:[ -](?!{_OTHER})\d++(?![A-Za-z]))*+"
+_SPANS = "ARRAY<STRUCT<kind: STRING, new: STRING>>"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 _PATTERNS = [("email", _EMAIL), ("iban", _IBAN), ("date", _DATE), ("ip", _IP), ("ssn", _SSN),
@@ -176,12 +199,37 @@ def _card(m: str, key: str) -> str:
                          f"THEN {_let('nc', new, _fill(m, _strings('nc'), '[0-9]'))} END")
 
 
+def _cards(m: str, key: str) -> str:
+    """The cards in a run of digit groups (array of place, length and
+    pseudonym, in text order): the longest first, none overlapping another."""
+    edge = "IN (' ', '-')"
+    starts = f"filter(sequence(1, length({m})), p -> p = 1 OR substr({m}, p - 1, 1) {edge})"
+    ends = f"filter(sequence(1, length({m})), p -> p = length({m}) OR substr({m}, p + 1, 1) {edge})"
+    windows = _let("en", ends, f"flatten(transform({starts}, (a, i) -> transform(slice(en, i + 1, 19), e -> named_struct("
+                               f"'n', length(translate(substr({m}, a, e - a + 1), ' -', '')), 'a', a, 'l', e - a + 1))))")
+    card = _let("cw", f"substr({m}, w.a, w.l)", _card("cw", key))
+    valid = (f"array_sort(filter(transform(filter({windows}, w -> w.n BETWEEN 13 AND 19), w -> named_struct("
+             f"'o', -w.n, 'a', w.a, 'l', w.l, 'new', {card})), w -> w.new IS NOT NULL))")
+    first = _let("va", valid, "aggregate(va, slice(va, 1, 0), (acc, w) -> CASE WHEN exists(acc, x -> w.a < x.a + x.l AND "
+                              "x.a < w.a + w.l) THEN acc ELSE concat(acc, array(w)) END)")
+    return f"array_sort(transform({first}, w -> named_struct('a', w.a, 'l', w.l, 'new', w.new)))"
+
+
 def _pseudonym(m: str, key: str) -> str:
-    """Kind and pseudonym of a match; the kind is null where it is not valid."""
-    makers = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
-    cases = " ".join(f"WHEN {m} rlike {_q('^(?:' + p + ')$')} THEN named_struct('kind', {_q(k)}, 'new', {makers[k](m, key)})"
-                     for k, p in _PATTERNS)
-    return f"CASE {cases} ELSE named_struct('kind', CAST(NULL AS STRING), 'new', CAST(NULL AS STRING)) END"
+    """Text of a match with its values replaced (new), and their kinds and
+    pseudonyms (spans; none if it is not valid)."""
+    makers = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone}
+
+    def one(kind):
+        return _let("pn", makers[kind](m, key), f"named_struct('new', coalesce(pn, {m}), 'spans', CASE WHEN pn IS NULL THEN "
+                    f"CAST(array() AS {_SPANS}) ELSE array(named_struct('kind', {_q(kind)}, 'new', pn)) END)")
+
+    whole = (f"aggregate(ca, named_struct('o', '', 'at', 1), (t, w) -> named_struct('o', "
+             f"concat(t.o, substr({m}, t.at, w.a - t.at), w.new), 'at', w.a + w.l), t -> concat(t.o, substr({m}, t.at)))")
+    cards = _let("ca", _cards(m, key), f"named_struct('new', {whole}, 'spans', "
+                                       f"transform(ca, w -> named_struct('kind', 'card', 'new', w.new)))")
+    cases = " ".join(f"WHEN {m} rlike {_q('^(?:' + p + ')$')} THEN {cards if k == 'card' else one(k)}" for k, p in _PATTERNS)
+    return f"CASE {cases} ELSE named_struct('new', {m}, 'spans', CAST(array() AS {_SPANS})) END"
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -203,9 +251,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     named = found.withColumn("sub", F.expr(f"transform(hit, m -> {_pseudonym('m', key)})"))
     whole = F.expr(
         f"CASE WHEN size(hit) > 0 THEN array_join(flatten(zip_with(split(text, {_q(PATTERN)}, -1), "
-        "zip_with(hit, sub, (h, s) -> coalesce(s.new, h)), (p, s) -> array(coalesce(p, ''), coalesce(s, '')))), '') "
+        "sub.new, (p, s) -> array(coalesce(p, ''), coalesce(s, '')))), '') "
         "ELSE text END")
-    spans = F.expr("filter(sub, s -> s.new IS NOT NULL)")
+    spans = F.expr("flatten(sub.spans)")
     return named.select("doc_id", whole.alias("text"), F.coalesce(spans, F.array()).alias("spans")).select(
         "doc_id", "text", F.size("spans").cast("bigint").alias("n_values"),
         F.array_join(F.array_sort(F.array_distinct(F.col("spans.kind"))), ",").alias("kinds"), "spans")

@@ -539,3 +539,23 @@ def test_embedding_links_between_dense_groups(spark):
     got = {r.vec_id: r for r in vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()}
     assert [got[i].component_id for i in range(1000)] == [0] * 1000
     assert [got[i].n_links for i in range(1000)] == n_links.tolist()
+
+
+def test_numbers_and_words_beside_cards_and_accounts(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    cards = [f"{card} 12/27", f"{card} 123", f"2 {card}", f"1234 {card}", f"99 {card} 12/27 77", f"{card} {card} 55",
+             f"{card} 05/23/1988", f"{card} 10.20.30.40", f"{card} 988-555-2485", f"{card} {other}", f"77 {other}-123",
+             f"{card}/123", f"no {card} 7@example.org", f"{card} 2x"]
+    ibans = ["PL61 1090 1014 0000 0712 1981 2874", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00",
+             "DE89370400440532013000", "NO93 8601 1117 947"]
+    rows = cards + [f"{i} {w}" for i in ibans for w in ("BIC", "IBAN", "AND THEN", "for", card)]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(k, t, "en", "s") for k, t in enumerate(rows)])).collect()}
+    for k, t in enumerate(rows):
+        assert card not in got[k].text and other not in got[k].text and not any(i in got[k].text for i in ibans), t
+        assert re.sub("[0-9A-Za-z]", "x", got[k].text) == re.sub("[0-9A-Za-z]", "x", t) or "ip" in got[k].kinds
+        assert got[k].n_values == len(got[k].spans) > 0 and all(v.new in got[k].text for v in got[k].spans)
+    assert [got[k].kinds for k in (6, 7, 8, 9)] == ["card,date", "card,ip", "card,phone", "card"]
+    assert [got[k].n_values for k in (0, 1, 2, 3, 5, 9)] == [1, 1, 1, 1, 2, 2]
+    new = got[0].text[:19]
+    assert got[0].text == f"{new} 12/27" and got[2].text == f"2 {new}" and got[3].text == f"1234 {new}" and luhn(new)
+    assert got[len(cards)].text.endswith(" BIC") and got[len(cards) + 4].text.endswith(new)
