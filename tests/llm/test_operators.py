@@ -559,3 +559,21 @@ def test_numbers_and_words_beside_cards_and_accounts(spark):
     new = got[0].text[:19]
     assert got[0].text == f"{new} 12/27" and got[2].text == f"2 {new}" and got[3].text == f"1234 {new}" and luhn(new)
     assert got[len(cards)].text.endswith(" BIC") and got[len(cards) + 4].text.endswith(new)
+
+
+STORY = ["A plain title", *(f"Paragraph {i} of the story, long enough and full of plain words to be read as content of it."
+                            for i in range(6))]
+
+
+def story(*blocks):
+    return "".join(f"<{'h1' if b == STORY[0] else 'p'}>{b}</{'h1' if b == STORY[0] else 'p'}>" for b in blocks)
+
+
+@pytest.mark.parametrize("mark", ["class='page has-sidebar'", "class='content-with-sidebar'", "class='share-enabled'",
+                                  "id='social-policy'", "class='post comments-open'"])
+def test_words_of_a_wrapper_exclude_no_article(mark):
+    want = "\n\n".join(STORY)
+    side = "<div class='related'><p>Read this other thing too, and that one, dear reader of pages.</p></div>"
+    for tag in ("article", "main", "div"):
+        body = f"<div {mark}><{tag}>{story(*STORY)}</{tag}>{side}</div>"
+        assert html_extract.main_text(PAGE % body) == want
