@@ -577,3 +577,20 @@ def test_words_of_a_wrapper_exclude_no_article(mark):
     for tag in ("article", "main", "div"):
         body = f"<div {mark}><{tag}>{story(*STORY)}</{tag}>{side}</div>"
         assert html_extract.main_text(PAGE % body) == want
+
+
+def test_region_holds_the_whole_story():
+    want = "\n\n".join(STORY)
+    teaser = "<article><p>Another story of the week, read it now or later.</p></article>"
+    inner = story(*STORY[:3]), story(*STORY[3:])
+    for body in ("<div id='content'>%s<section>%s</section></div>" % inner,
+                 "<div>%s<blockquote>%s</blockquote></div>" % inner,
+                 "<article>%s</article><article>%s</article>" % inner,
+                 "<div><article>%s</article><div></div><div><article>%s</article></div></div>" % inner,
+                 "<main>%s<article>%s</article></main>" % inner,
+                 "<div>%s<div>%s</div></div>" % (story(STORY[0]), story(*STORY[1:])),
+                 "<main>%s<article>%s</article></main>" % (story(STORY[0]), story(*STORY[1:])),
+                 "<main><div>%s</div><div>%s</div></main>" % inner):
+        assert html_extract.main_text(PAGE % body) == want, body
+    for body in (f"<main>{story(*STORY)}</main>{teaser}", f"<div>{story(*STORY)}</div>{teaser}"):
+        assert html_extract.main_text(PAGE % body).startswith(want), body
