@@ -103,3 +103,49 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("a < b").distinct())
         if edges.isEmpty():
             return label
+
+
+HEAVY = 1024             # a key is heavy if it holds more than 1 / HEAVY of the rows
+CELL_BITS = 32_768       # bits of one bitmap (fixed by Spark's bitmap functions)
+CELLS = 2_048            # bitmaps of a filter: 8 MiB together, whatever the input
+
+
+def heavy_keys(counts: DataFrame, total: int, heavy: int = HEAVY) -> DataFrame:
+    """Of keys with their rows n: those with more than total / heavy rows (fewer
+    than ``heavy`` of them) and over how many salts to deal their rows."""
+    return (counts.filter(F.col("n") * F.lit(heavy) > F.lit(total))
+            .withColumn("salts", F.ceil(F.col("n") * F.lit(heavy) / F.lit(max(1, total))).cast("bigint")).drop("n"))
+
+
+def _place(key):
+    return F.pmod(F.xxhash64(F.lit(7), key), F.lit(CELLS * CELL_BITS))
+
+
+def cells_of(keys: DataFrame, key: str) -> DataFrame:
+    """A filter over the values of a column: one bitmap a cell, at most CELLS of
+    them. The tasks make bitmaps of their own values, united by cell."""
+    place = keys.select(_place(key).alias("p"))
+    return (place.groupBy((F.col("p") / CELL_BITS).cast("bigint").alias("__cell"))
+            .agg(F.bitmap_construct_agg((F.col("p") % CELL_BITS).cast("bigint")).alias("__bitmap")))
+
+
+def in_cells(rows: DataFrame, key: str, cells: DataFrame) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, and a share of the
+    others that is the filled share of its bits. The cells are broadcast; their
+    size is fixed."""
+    p, columns = _place(key), rows.columns
+    return (rows.withColumn("__cell", (p / CELL_BITS).cast("bigint")).withColumn("__bit", p % CELL_BITS)
+            .join(F.broadcast(cells), "__cell")
+            .filter(F.expr("bit_get(CAST(conv(hex(substring(__bitmap, CAST(__bit / 8 AS INT) + 1, 1)), 16, 10) AS INT), "
+                           "CAST(__bit % 8 AS INT)) = 1"))
+            .select(*columns))
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` (not null, unique in ``right``) for a written table
+    ``left`` in which some keys may hold a large share of the rows: the right
+    rows of heavy keys, fewer than HEAVY, are broadcast; the rest shuffles."""
+    heavy = heavy_keys(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), left.count()).drop("salts")
+    heavy = F.broadcast(cut_lineage(heavy))
+    few = F.broadcast(right.join(heavy, keys, "left_semi"))
+    return left.join(few, keys).unionByName(left.join(heavy, keys, "left_anti").join(right, keys))

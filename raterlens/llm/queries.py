@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raterlens.llm import bpe, exact_dedup, html_extract, langid, licenses, minhash, mixing, pii, toxicity, vec_dedup
+from raterlens.llm import (bpe, exact_dedup, filter_audit, html_extract, langid, licenses, minhash, mixing, packing,
+                           pii, prefix_trie, toxicity, vec_dedup)
 from raterlens.llm.common import LOWER, UPPER
 from raterlens.sources.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                        public_tokenizers.path(WORD_TOKENIZER))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]),
+                              read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_html_text": op2_html_text,
@@ -67,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +98,6 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP B
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
 FROM n JOIN g USING (norm)
 """,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
