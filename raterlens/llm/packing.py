@@ -153,15 +153,20 @@ def _two_for(free: np.ndarray, room: int, least: int) -> tuple[int, int] | None:
     return (int(a[best]), int(a[at[best]])) if total[best] > least else None
 
 
-def fill(free: np.ndarray, capacity: int) -> list[int]:
-    """One sequence from the free pieces by length; ``free`` is reduced."""
+def fill(free: np.ndarray, capacity: int, whole: bool = False) -> list[int]:
+    """One sequence from the free pieces by length; ``free`` is reduced. The
+    piece that opens it stays. With ``whole``, two pieces replace another only
+    if the sequence is then full."""
     held, gap = [], capacity
     while gap and (fits := np.flatnonzero(free[:gap + 1])).size:
         held.append(int(fits[-1]))
         free[held[-1]] -= 1
         gap -= held[-1]
-    while gap and held and (pair := _two_for(free, gap + min(held), min(held))):
+    while gap and len(held) > 1:
         out = min(held)
+        pair = _two_for(free, gap + out, gap + out - 1 if whole else out)
+        if not pair:
+            break
         held.remove(out)
         free[out] += 1
         for n in pair:
@@ -171,15 +176,11 @@ def fill(free: np.ndarray, capacity: int) -> list[int]:
     return sorted(held, reverse=True)
 
 
-def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Places for all pieces. ``counts[n]`` is the number of pieces of length n.
-    Rows, ordered by (length, first): length, first (rank within the length),
-    sequence (of that rank), uses (pieces of the length in each sequence of the
-    kind), offset. The rank r lies in sequence + (r - first) // uses."""
+def _plan(counts: np.ndarray, capacity: int, whole: bool) -> tuple[int, list]:
     left, used = counts.astype(np.int64), np.zeros(len(counts), np.int64)
     sequence, rows = 0, []
     while left.any():
-        uses = Counter(fill(left.copy(), capacity))
+        uses = Counter(fill(left.copy(), capacity, whole))
         times = min(left[n] // k for n, k in uses.items())
         offset = 0
         for n, k in uses.items():
@@ -188,6 +189,16 @@ def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
             left[n] -= times * k
             used[n] += times * k
         sequence += times
+    return sequence, rows
+
+
+def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Places for all pieces. ``counts[n]`` is the number of pieces of length n.
+    Rows, ordered by (length, first): length, first (rank within the length),
+    sequence (of that rank), uses (pieces of the length in each sequence of the
+    kind), offset. The rank r lies in sequence + (r - first) // uses. Both
+    rules of replacement are tried; the one with fewer sequences stands."""
+    _, rows = min((_plan(counts, capacity, whole) for whole in (False, True)), key=lambda x: x[0])
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
