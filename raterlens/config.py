@@ -35,9 +35,11 @@ OVERRIDE_SHARE = 0.05
 # Label maps of the external benchmark.
 GOLD_LABEL_MAP = {"hateful": 1, "non-hateful": 0}
 BOUNDARY_CLASS_MAP = {"1": 1, "yes": 1, "no": 0}
-# Seeded order for reproducible random choices: the first ORDER_DIGITS hex digits
-# of md5(id || '_' || seed), an integer below ORDER_RANGE.
+# Seeded order for reproducible random choices: ORDER_DIGITS hex digits, an
+# integer below ORDER_RANGE. A SHA-256 digest of (id, seed div ORDER_KEYS) holds
+# the keys of ORDER_KEYS seeds.
 ORDER_DIGITS = 13
+ORDER_KEYS = 4
 ORDER_RANGE = 16 ** ORDER_DIGITS
 # -----------------------------------------------------------------------------
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.config import ORDER_DIGITS
+from raterlens.config import ORDER_DIGITS, ORDER_KEYS
 
 
 def col_(c) -> Column:
@@ -55,13 +55,27 @@ def argmax(arr) -> Column:
 
 
 def seeded_order(id_col, seed) -> Column:
-    """Reproducible pseudo-random order key in [0, ORDER_RANGE) for an id: the
-    leading hex digits of ``md5(id || '_' || seed)``, so every seed (a number
-    or a column) gives an order of its own. SQL engines compute the same value
-    (``plans.sqlkit.seeded_order_sql``)."""
-    s = seed if isinstance(seed, Column) else F.lit(seed)
-    text = F.concat(col_(id_col).cast("string"), F.lit("_"), s.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, ORDER_DIGITS), 16, 10).cast("bigint")
+    """Reproducible pseudo-random order key in [0, ORDER_RANGE) for an id, an
+    order of its own for every seed (a number or a column, not negative). SQL
+    engines compute the same value (``plans.sqlkit.seeded_order_sql``)."""
+    s = (seed if isinstance(seed, Column) else F.lit(seed)).cast("bigint")
+    block = F.floor(s / ORDER_KEYS).cast("bigint")
+    return F.conv(order_key(order_digest(id_col, block), s), 16, 10).cast("bigint")
+
+
+def order_digest(id_col, block) -> Column:
+    """Digest that holds an id's order keys for the seeds of a block, which are
+    ORDER_KEYS * block up to ORDER_KEYS * block + ORDER_KEYS - 1."""
+    b = block if isinstance(block, Column) else F.lit(block)
+    return F.sha2(F.concat(col_(id_col).cast("string"), F.lit("_"), b.cast("string")), 256)
+
+
+def order_key(digest, seed) -> Column:
+    """A seed's order key, as hex digits (their order is that of the numbers)."""
+    place = 64 // ORDER_KEYS * (seed % ORDER_KEYS) + 1
+    if isinstance(seed, Column):
+        return col_(digest).substr(place.cast("int"), F.lit(ORDER_DIGITS))
+    return col_(digest).substr(place, ORDER_DIGITS)
 
 
 def log_sum_exp(arr) -> Column:

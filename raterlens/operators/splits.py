@@ -9,20 +9,23 @@ or below the cut-off, so the split is a per-row column expression - no join of
 the ratings back to a text list. The cut-off comes from a histogram of the
 order keys (:func:`first_n_per_group`), so no task ever ranks all texts.
 
-The best-of-N search does the same for N seeds at once. A first pass over the
-distinct texts counts each trial's order keys in buckets, within the tasks; a
-second one ranks the texts of each trial's boundary bucket alone. The N
-cut-offs (one row per trial) then turn each text into a bit mask of the trials
-whose test set holds it, and one aggregation per annotator sums the bits.
+The best-of-N search does the same for N seeds at once. The order keys of
+several seeds are slices of one digest. One pass over the distinct texts counts
+each trial's keys below the range in which its cut-off lies, within the tasks,
+and ranks the few keys inside it. The N cut-offs then turn each text into a bit
+mask of the trials whose test set holds it, and one aggregation per annotator
+sums the bits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raterlens.config import MIN_TRAIN, N_SPLIT_TRIALS, ORDER_RANGE, TEST_FRACTION
-from raterlens.functions.columns import seeded_order
+from raterlens.config import MIN_TRAIN, N_SPLIT_TRIALS, ORDER_DIGITS, ORDER_KEYS, ORDER_RANGE, TEST_FRACTION
+from raterlens.functions.columns import order_digest, order_key, seeded_order
 from raterlens.operators.clean import dense_ids
 from raterlens.operators.labels import first_n_per_group
 from raterlens.operators.running import quantiles
@@ -186,58 +189,76 @@ def split_checks(split_df: DataFrame, annotator: str = "annotator_id", text_id:
 
 # --- best of N random splits (J9) ------------------------------------------
 
-# Buckets of the order keys per trial; a boundary bucket holds this share of the texts.
-TRIAL_BUCKETS = 1024
-
-
-def _trial_cutoffs(texts: DataFrame, text_id: str, n_trials: int, fraction: float, seed: int) -> DataFrame:
-    """(trial, co, ct): the last test text, by (order key, id), of each trial.
-
-    ``texts`` is a written table of distinct ids. The histogram has at most
-    trials x TRIAL_BUCKETS rows after the counts within the tasks; only the
-    texts of the boundary buckets (1 / TRIAL_BUCKETS of them per trial) are
-    shuffled and ranked. A trial without test texts has no row."""
-    width = ORDER_RANGE // TRIAL_BUCKETS
-    k = F.floor(F.lit(float(fraction)) * texts.agg(F.count(F.lit(1))).scalar()).cast("bigint")
-    keyed = texts.select(text_id, F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")) \
-        .withColumn("__ord", seeded_order(text_id, F.lit(seed) + F.col("trial"))) \
-        .withColumn("__b", F.floor(F.col("__ord") / F.lit(width)).cast("int"))
-    hist = keyed.groupBy("trial", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy("trial").orderBy("__b"))
-    edge = hist.withColumn("__upto", upto).filter((F.col("__upto") >= k) & (F.col("__upto") - F.col("__c") < k)) \
-        .select("trial", "__b", (k - F.col("__upto") + F.col("__c")).alias("__left"))
-    # one row per trial: bounded by the number of trials
-    inside = keyed.join(F.broadcast(edge), ["trial", "__b"])
-    rank = F.row_number().over(Window.partitionBy("trial").orderBy("__ord", text_id))
-    return inside.withColumn("__rn", rank).filter(F.col("__rn") == F.col("__left")).select(
-        "trial", F.col("__ord").alias("co"), F.col(text_id).alias("ct"))
-
-
-def _trial_masks(texts: DataFrame, text_id: str, cutoffs: DataFrame, n_trials: int, seed: int) -> DataFrame:
+# The cut-offs are searched within so many standard deviations of the share of
+# test texts below a key; if one lies outside, the range is widened.
+WINDOW_SD, WIDEN = 8.0, 8.0
+TEXTS_A_TASK = 100_000
+
+
+def _keyed(texts: DataFrame, text_id: str, n_trials: int, seed: int) -> DataFrame:
+    """``texts`` with each trial's order key (array ``__keys``): slices of one
+    digest for ORDER_KEYS trials. Digests, not bytes, are the work: the ids are
+    dealt out over all cores, or TEXTS_A_TASK each."""
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // TEXTS_A_TASK)
+    digests = F.transform(F.sequence(F.lit(seed // ORDER_KEYS), F.lit((seed + n_trials - 1) // ORDER_KEYS)),
+                          lambda b: order_digest(text_id, b))
+    keys = F.flatten(F.transform(digests, lambda d: F.array(*[order_key(d, i) for i in range(ORDER_KEYS)])))
+    return texts.repartition(tasks).select(text_id, F.slice(keys, seed % ORDER_KEYS + 1, n_trials).alias("__keys"))
+
+
+def _trial_cutoffs(texts: DataFrame, text_id: str, n_trials: int, fraction: float, seed: int) -> dict:
+    """Of each trial the last test text: {trial: (order key, id)}, one entry a
+    trial; empty if the fraction leaves no test text.
+
+    ``texts`` is a written table of n distinct ids. Order keys are uniform, so
+    the cut-off lies within a few standard deviations of the fraction. One pass
+    counts each trial's keys below that range, within the tasks, and keeps the
+    keys in it: about 16 sqrt(n) a trial, which are ranked."""
+    n = texts.count()
+    k = math.floor(fraction * n)
+    if k == 0:
+        return {}
+    share, half = k / n, WINDOW_SD * math.sqrt(k / n * (1 - k / n) / n) + 2 / n
+    every = _keyed(texts, text_id, n_trials, seed).select(text_id, F.posexplode("__keys").alias("trial", "key"))
+    while True:
+        low, high = (f"{max(0, int(x * ORDER_RANGE)):0{ORDER_DIGITS}x}" for x in (share - half, share + half))
+        key = F.col("key")
+        near = every if share + half >= 1 else every.filter(key < high)
+        counts = cut_lineage(near.groupBy("trial", F.when(key >= low, key).alias("key"),
+                                          F.when(key >= low, F.col(text_id)).alias("id")).agg(F.count(F.lit(1)).alias("n")))
+        below = F.broadcast(counts.filter("key IS NULL").select("trial", F.col("n").alias("below")))  # one row a trial
+        rank = F.row_number().over(Window.partitionBy("trial").orderBy("key", "id"))
+        found = counts.filter("key IS NOT NULL").withColumn("rank", rank).join(below, "trial", "left") \
+            .filter(F.col("rank") == F.lit(k) - F.coalesce("below", F.lit(0))).select("trial", "key", "id").collect()
+        if len(found) == n_trials:
+            return {r["trial"]: (r["key"], r["id"]) for r in found}
+        half *= WIDEN
+
+
+def _trial_masks(texts: DataFrame, text_id: str, cutoffs: dict, n_trials: int, seed: int) -> DataFrame:
     """(text, __m0, __m1, ...): 64-bit masks of the trials whose test set
-    holds the text, from the array of cut-offs (one element per trial)."""
-    cuts = cutoffs.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("trial"), F.struct("co", "ct"))))).scalar()
-
-    def word(j):
-        hi = min(64 * j + 63, n_trials - 1)
+    holds the text; the cut-offs are constants of the plan."""
+    def bit(i):
+        return F.lit((1 << (i % 64)) - (1 << 64 if i % 64 == 63 else 0)).cast("bigint")
 
-        def step(m, t):
-            o, c = seeded_order(text_id, F.lit(seed) + t), F.try_element_at(F.col("__cuts"), t)
-            test = (o < c["co"]) | ((o == c["co"]) & (F.col(text_id) <= c["ct"]))
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (t - F.lit(64 * j)).cast("int"))
-            return m.bitwiseOR(F.when(F.coalesce(test, F.lit(False)), bit).otherwise(F.lit(0).cast("bigint")))
+    zero = F.lit(0).cast("bigint")
+    words = [range(64 * j, min(64 * j + 64, n_trials)) for j in range(-(-n_trials // 64))]
 
-        return F.aggregate(F.sequence(F.lit(64 * j), F.lit(hi)), F.lit(0).cast("bigint"), step)
+    def word(trials):
+        cuts = F.array(*[F.struct(F.lit(cutoffs[i][0]).alias("key"), F.lit(cutoffs[i][1]).alias("id"), bit(i).alias("bit"))
+                         for i in trials])
+        held = F.zip_with(F.slice("__keys", trials[0] + 1, len(trials)), cuts, lambda k, c: F.when(
+            (k < c["key"]) | ((k == c["key"]) & (F.col(text_id) <= c["id"])), c["bit"]).otherwise(zero))
+        return F.aggregate(held, zero, lambda m, x: m.bitwiseOR(x))
 
-    t = texts.withColumn("__cuts", cuts)
-    return t.select(text_id, *[word(j).alias(f"__m{j}") for j in range(-(-n_trials // 64))])
+    return _keyed(texts, text_id, n_trials, seed).select(text_id, *[
+        (word(t) if cutoffs else zero).alias(f"__m{j}") for j, t in enumerate(words)])
 
 
 def _trials(ratings: DataFrame, n_trials: int, fraction: float, seed: int, text_id: str):
-    """Distinct texts and the trials' cut-offs, both written."""
+    """Distinct texts (written) and the trials' cut-offs."""
     texts = cut_lineage(ratings.select(text_id).filter(F.col(text_id).isNotNull()).distinct())
-    return texts, cut_lineage(_trial_cutoffs(texts, text_id, n_trials, fraction, seed))
+    return texts, _trial_cutoffs(texts, text_id, n_trials, fraction, seed)
 
 
 def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: float = TEST_FRACTION,
@@ -247,7 +268,7 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     refined as in :func:`refine_splits`. One row per trial: kept annotators,
     kept train and test rows, the objective and ``is_best``.
 
-    Plan: the trials' cut-offs come from two passes over the distinct texts
+    Plan: the trials' cut-offs come from one pass over the distinct texts
     (:func:`_trial_cutoffs`); each text becomes one row with 64-bit masks of
     the trials in which it is test, so no (text x trial) row is shuffled. The
     masks are joined to the (text, annotator) pairs and a single aggregation
@@ -266,7 +287,7 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     return _score_trials(ratings, texts, cutoffs, n_trials, seed, min_train, objective, annotator, text_id)
 
 
-def _score_trials(ratings: DataFrame, texts: DataFrame, cutoffs: DataFrame, n_trials: int, seed: int,
+def _score_trials(ratings: DataFrame, texts: DataFrame, cutoffs: dict, n_trials: int, seed: int,
                   min_train: int, objective: str, annotator: str, text_id: str) -> DataFrame:
     pairs = ratings.select(annotator, text_id)
     masks = _trial_masks(texts, text_id, cutoffs, n_trials, seed)
@@ -307,8 +328,9 @@ def best_split(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: flo
         raise ValueError(f"unknown objective {objective!r}")
     texts, cutoffs = _trials(ratings, n_trials, fraction, seed, text_id)
     scores = _score_trials(ratings, texts, cutoffs, n_trials, seed, min_train, objective, annotator, text_id)
-    win = scores.filter("is_best").select("trial").scalar()
-    c = cutoffs.filter(F.col("trial") == win).select(F.struct("co", "ct")).scalar()
+    win = scores.filter("is_best").first()["trial"]
+    key, ct = cutoffs.get(win, ("", None))
+    co = F.lit(int(key, 16)) if key else F.lit(None).cast("bigint")
     s = ratings.withColumn("split", F.when(
-        _is_test(text_id, F.lit(seed) + win, c.getField("co"), c.getField("ct")), F.lit(TEST)).otherwise(F.lit(TRAIN)))
+        _is_test(text_id, seed + win, co, F.lit(ct)), F.lit(TEST)).otherwise(F.lit(TRAIN)))
     return refine_splits(s, min_train, annotator)

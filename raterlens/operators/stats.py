@@ -9,14 +9,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.config import ORDER_RANGE
-from raterlens.functions.columns import seeded_order
+from raterlens.config import ORDER_KEYS, ORDER_RANGE
+from raterlens.functions.columns import order_digest, order_key, seeded_order
 from raterlens.operators.running import join_groups, quantiles
 from raterlens.session import cut_lineage
 
-# Poisson(1) cumulative probabilities P(K <= k) for the bootstrap weights, up to
-# the resolution of a double (P(K > 17) is below 1e-16).
-POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(k + 1)) for k in range(18)]
+POISSON_EXACT = 16   # means below it are drawn by the inverse distribution
+RESOLUTION = 1e-9    # values nearer than this are one cell of the bootstrap
 
 
 def welch_ttest(df: DataFrame, group: Sequence[str], sample_col: str, value: str, reference) -> DataFrame:
@@ -82,32 +81,69 @@ def boxplot_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         F.count(x).alias("n")).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def poisson1_weight(u) -> F.Column:
-    """Poisson(1) draw from a uniform in [0, 1) by inverse CDF."""
-    w = F.lit(len(POISSON1_CDF))
-    for k in range(len(POISSON1_CDF) - 1, -1, -1):
-        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    return w
-
-
-def mean_with_ci(df: DataFrame, group: Sequence[str], key: str, value: str, replicates: int = 200,
-                 seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Mean and bootstrap percentile interval per group (Poisson
-    bootstrap: each row gets an independent Poisson(1) weight per replicate
-    from the seeded hash of its key). A row carries its weights as one array
-    and each replicate is a pair of sums, combined within the tasks: rows are
-    neither multiplied nor resampled. The intervals are taken over
+def poisson_table(below: int = POISSON_EXACT) -> list[tuple]:
+    """Rows (mean, draw, low, high) for the means 1 to ``below`` - 1: the draw
+    is given by uniforms in [low, high), and the last one by all above."""
+    rows = []
+    for mean in range(1, below):
+        p, upto, k = math.exp(-mean), 0.0, 0
+        while upto < 1.0 - 1e-15 and k < 8 * below:
+            rows.append((mean, k, upto, upto + p))
+            upto, k = upto + p, k + 1
+            p *= mean / k
+        rows[-1] = (*rows[-1][:3], 2.0)
+    return rows
+
+
+def mean_with_ci(df: DataFrame, group: Sequence[str], value: str, replicates: int = 200, seed: int = 0,
+                 level: float = 0.95, resolution: float = RESOLUTION) -> DataFrame:
+    """Mean and bootstrap percentile interval per group, by a Poisson
+    bootstrap of cells.
+
+    Rows of one group with equal values are exchangeable: the Poisson(1)
+    weights of n such rows sum to a Poisson(n) weight. So rows are counted by
+    (group, value), values being equal to within ``resolution``, and each cell
+    draws one weight a replicate, from the seeded hash of its group and value.
+    Means below POISSON_EXACT are drawn by the inverse distribution (a small
+    table, joined), larger ones by the normal quantile with its correction for
+    skewness. Cells are multiplied by the replicates inside the tasks, where
+    the sums by (group, replicate) begin; the intervals are taken over
     groups x replicates means."""
     group = list(group)
-    weights = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson1_weight(
-        seeded_order(key, F.lit(seed * replicates) + r) / F.lit(float(ORDER_RANGE))))
-    x = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("__x"), weights.alias("__w"))
-    sums = x.groupBy(*group).agg(
-        F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col("__w")[r] * F.col("__x")).alias(f"__s{r}") for r in range(replicates)],
-        *[F.sum(F.col("__w")[r]).alias(f"__n{r}") for r in range(replicates)])
-    means = sums.select(*group, "mean", "n", F.explode(F.array(*[
-        F.try_divide(F.col(f"__s{r}"), F.col(f"__n{r}")) for r in range(replicates)])).alias("__m"))
+    spark = df.sparkSession
+    step = F.round(F.col(value) / F.lit(resolution)).cast("bigint")
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*group, step.alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c"), F.sum(value).alias("__s"))
+    cells = cut_lineage(cells)
+    name = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group], F.col("__v").cast("string"))
+    first = ORDER_KEYS * math.ceil(2 * seed * replicates / ORDER_KEYS)  # a digest serves ORDER_KEYS replicates
+    blocks = (cells.repartition(spark.sparkContext.defaultParallelism).select(
+        *group, "__v", "__c", name.alias("__name"),
+        F.explode(F.sequence(F.lit(0), F.lit(math.ceil(replicates / ORDER_KEYS) - 1))).alias("__b"))
+        .withColumn("__d", order_digest("__name", F.lit(first // ORDER_KEYS) + F.col("__b"))))
+    draws = blocks.select("*", F.posexplode(F.array(*[order_key("__d", i) for i in range(ORDER_KEYS)]))) \
+        .withColumn("__r", F.col("__b") * ORDER_KEYS + F.col("pos")).filter(F.col("__r") < replicates)
+
+    def uniform(order):
+        return (order + F.lit(0.5)) / F.lit(float(ORDER_RANGE))
+
+    u = uniform(F.conv("col", 16, 10).cast("bigint"))
+    other = uniform(seeded_order("__name", F.lit(first + ORDER_KEYS * math.ceil(replicates / ORDER_KEYS)) + F.col("__r")))
+
+    table = F.broadcast(spark.createDataFrame(poisson_table(), "__c bigint, __k int, __low double, __high double"))
+    few = draws.filter(F.col("__c") < POISSON_EXACT).withColumn("__u", u).join(table, "__c").filter(
+        (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))).select(*group, "__v", "__r", "__k")
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * other)
+    c = F.col("__c")
+    many = draws.filter(c >= POISSON_EXACT).withColumn("__z", z).select(
+        *group, "__v", "__r", F.greatest(F.lit(0), F.floor(
+            c + F.sqrt(c) * F.col("__z") + (F.col("__z") * F.col("__z") - 1) / 6 + 0.5)).cast("int").alias("__k"))
+    sums = few.unionByName(many).groupBy(*group, "__r").agg(
+        F.sum("__k").alias("__n"), F.sum(F.col("__k") * F.col("__v") * F.lit(resolution)).alias("__t"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    return means.groupBy(*group, "mean", "n").agg(F.percentile("__m", [lo, hi]).alias("__ci")).select(
-        *group, "mean", "n", F.col("__ci")[0].alias("ci_low"), F.col("__ci")[1].alias("ci_high"))
+    interval = sums.groupBy(*group).agg(F.percentile(F.try_divide("__t", "__n"), [lo, hi]).alias("__ci"))
+    means = cells.groupBy(*group).agg((F.sum("__s") / F.sum("__c")).alias("mean"), F.sum("__c").alias("n"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"i.{c}")) for c in group]
+    joined = means.alias("m").join(interval.alias("i"), same) if group else means.alias("m").join(interval.alias("i"))
+    return joined.select(*[F.col(f"m.{c}").alias(c) for c in group], "mean", "n",
+                         F.col("__ci")[0].alias("ci_low"), F.col("__ci")[1].alias("ci_high"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raterlens.config import ORDER_DIGITS, THRESHOLDS
+from raterlens.config import ORDER_DIGITS, ORDER_KEYS, THRESHOLDS
 
 THRESHOLD_LIST = ", ".join(f"({t})" for t in THRESHOLDS)
 
@@ -42,8 +42,8 @@ def groups_cte(name: str, src: str) -> str:
 
 def seeded_order_sql(id_sql: str, seed_sql) -> str:
     """DuckDB text of ``functions.columns.seeded_order``."""
-    return (f"('0x' || substr(md5(cast({id_sql} as varchar) || '_' || cast({seed_sql} as varchar)), 1, "
-            f"{ORDER_DIGITS}))::bigint")
+    return (f"('0x' || substr(sha256(cast({id_sql} as varchar) || '_' || cast(({seed_sql}) // {ORDER_KEYS} as varchar)), "
+            f"cast({64 // ORDER_KEYS} * (({seed_sql}) % {ORDER_KEYS}) + 1 as bigint), {ORDER_DIGITS}))::bigint")
 
 
 R6 = "round({0}, 6) {0}"
