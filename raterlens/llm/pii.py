@@ -11,10 +11,10 @@ places. That is a bijection on the values of the format, so equal values get
 equal pseudonyms in all documents and different ones stay different. Check
 digits are computed anew; separators stay where they were.
 
-A card is searched in its whole run of digit groups: all sequences of groups
-with 13 to 19 digits are validated and the longest valid ones replaced, so a
-number before or after a card doesn't hide it. An IBAN takes the length of its
-country, whatever word follows.
+A card is a joined number, or digit groups in the shapes of cards with an
+issuer's first digits; a number before or after it doesn't hide it, and lists
+of years or tables of numbers aren't cards (see _CARD). An IBAN takes the length
+of its country, whatever word follows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ KEY = "raterlens-pseudonyms-1"   # a deployment passes its own secret
 ROUNDS = 8
 EPOCH, DAY_A, DAY_B = "1900-01-01", 269, 271  # 72,899 days: 1900-01-01 to 2099-08-03
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
+# A domain has at most 253 characters, so at most 126 labels before its last.
+_EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]{1,63}){0,125}"
+          r"\.[A-Za-z]{2,}(?![A-Za-z0-9])")
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 _IBAN_SIZES = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
@@ -49,9 +51,19 @@ _IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = (r"(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|"
           r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}")
-# digit groups that begin a value of another kind end a run
-_OTHER = rf"(?:{_DATE}|{_IP}|{_SSN}|{_PHONE}){_RIGHT}|[A-Za-z0-9._%+]{{1,64}}@"
-_CARD = rf"(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:[ -](?!{_OTHER})\d++(?![A-Za-z]))*+"
+_OTHER = rf"(?:{_DATE}|{_IP}|{_SSN}|{_PHONE}){_RIGHT}|[A-Za-z0-9._%+]{{1,64}}@"  # a value of another kind
+# Cards are written joined, 4-6-5, 4-6-4, or in groups of four, the last with three more digits. Groups of four count from
+# the first to the last that follow each other: a stretch. A short one (up to 7) must not stand in a table, which has
+# four more numbers before or after it; a longer one must consist of cards.
+_FOUR = rf"[ -](?!{_OTHER})\d{{4}}(?![A-Za-z0-9])"
+_NEXT = r"(?<=\G[ -])"  # behind another match, whose groups belong to it
+_NUMBERS = r"\d{1,9}[ -]" * 4
+_STRETCH = (rf"(?=\d{{4}}(?:[ -]\d{{4}}){{3}}(?!\d))(?:{_NEXT}|(?<!(?<![\d./])\d{{4}}[ -]))"
+            rf"(?:(?:{_NEXT}|(?<!{_NUMBERS}))\d{{4}}(?:{_FOUR}){{3,6}}+(?!{_FOUR})"
+            rf"(?:[ -](?!{_OTHER})\d{{3}}(?![A-Za-z0-9]))?(?!(?:[ -]\d++){{4}})|\d{{4}}(?:{_FOUR}){{7,}}+)")
+_CARD = rf"\d{{13,19}}(?!\d)|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}(?!\d)|{_STRETCH}"
+# First digits of the issuers, by the length of the number (fixed values); asked for where a number is grouped.
+_ISSUERS = {14: "3[0689]", 15: "3[47]", 16: "[456]|35|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)", 19: "[46]"}
 _SPANS = "ARRAY<STRUCT<kind: STRING, new: STRING>>"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -199,20 +211,36 @@ def _card(m: str, key: str) -> str:
                          f"THEN {_let('nc', new, _fill(m, _strings('nc'), '[0-9]'))} END")
 
 
+def _issued(m: str, n: int) -> str:
+    return f"replace(replace({m}, ' ', ''), '-', '') rlike '^(?:{_ISSUERS[n]})[0-9]*$'"
+
+
 def _cards(m: str, key: str) -> str:
-    """The cards in a run of digit groups (array of place, length and
-    pseudonym, in text order): the longest first, none overlapping another."""
-    edge = "IN (' ', '-')"
-    starts = f"filter(sequence(1, length({m})), p -> p = 1 OR substr({m}, p - 1, 1) {edge})"
-    ends = f"filter(sequence(1, length({m})), p -> p = length({m}) OR substr({m}, p + 1, 1) {edge})"
-    windows = _let("en", ends, f"flatten(transform({starts}, (a, i) -> transform(slice(en, i + 1, 19), e -> named_struct("
-                               f"'n', length(translate(substr({m}, a, e - a + 1), ' -', '')), 'a', a, 'l', e - a + 1))))")
-    card = _let("cw", f"substr({m}, w.a, w.l)", _card("cw", key))
-    valid = (f"array_sort(filter(transform(filter({windows}, w -> w.n BETWEEN 13 AND 19), w -> named_struct("
-             f"'o', -w.n, 'a', w.a, 'l', w.l, 'new', {card})), w -> w.new IS NOT NULL))")
-    first = _let("va", valid, "aggregate(va, slice(va, 1, 0), (acc, w) -> CASE WHEN exists(acc, x -> w.a < x.a + x.l AND "
-                              "x.a < w.a + w.l) THEN acc ELSE concat(acc, array(w)) END)")
-    return f"array_sort(transform({first}, w -> named_struct('a', w.a, 'l', w.l, 'new', w.new)))"
+    """Text of a match of the card pattern with its cards replaced, and their
+    pseudonyms (empty if there is none)."""
+    whole, none = _card(m, key), "CAST(array() AS ARRAY<STRING>)"
+    grouped = " OR ".join(f"size({_DIGITS.format(m=m)}) = {n} AND {_issued(m, n)}" for n in (14, 15, 19))
+    one = (f"CASE WHEN {m} rlike '^[0-9]+$' OR {grouped} THEN "
+           + _let("wc", whole, f"CASE WHEN wc IS NOT NULL THEN named_struct('new', wc, 'cards', array(wc)) END") + " END")
+    # up to seven groups hold at most one card of 16 digits: the first valid one
+    fours = f"(length({m}) + 1) div 5"
+    window = f"substr({m}, 5 * i + 1, 19)"
+    tried = (f"filter(transform(sequence(0, {fours} - 4), i -> named_struct('i', i, 'new', CASE WHEN {_issued(window, 16)} "
+             f"THEN {_let('cw', window, _card('cw', key))} END)), w -> w.new IS NOT NULL)")
+    short = _let("tw", tried, f"CASE WHEN size(tw) > 0 THEN named_struct('new', concat(substr({m}, 1, 5 * tw[0].i), tw[0].new, "
+                              f"substr({m}, 5 * tw[0].i + 20)), 'cards', array(tw[0].new)) END")
+    # longer: all quadruples are cards, or none
+    quad = "[0-9]{4}(?:[ -][0-9]{4}){3}"
+    plain = _let("dg", _DIGITS.format(m="q"), f"{_luhn('dg', 0)} % 10 = 0")
+    quads = f"regexp_extract_all({m}, '{quad}', 0)"
+    new = _let("cq", "q", _card("cq", key))
+    long = _let("qs", quads, f"CASE WHEN {fours} % 4 = 0 AND forall(qs, q -> {_issued('q', 16)} AND {plain}) THEN "
+                + _let("nq", f"transform(qs, q -> {new})", f"named_struct('new', array_join(flatten(zip_with(split({m}, '{quad}', -1), "
+                       "nq, (x, y) -> array(coalesce(x, ''), coalesce(y, '')))), ''), 'cards', nq)") + " END")
+    stretch = f"{m} rlike '^[0-9]{{4}}[ -][0-9]{{4}}[ -]'"
+    # a 16-digit card goes before one of 19
+    found = f"CASE WHEN {stretch} AND {fours} > 7 THEN {long} WHEN {stretch} THEN coalesce({short}, {one}) ELSE {one} END"
+    return f"coalesce({found}, named_struct('new', {m}, 'cards', {none}))"
 
 
 def _pseudonym(m: str, key: str) -> str:
@@ -224,10 +252,8 @@ def _pseudonym(m: str, key: str) -> str:
         return _let("pn", makers[kind](m, key), f"named_struct('new', coalesce(pn, {m}), 'spans', CASE WHEN pn IS NULL THEN "
                     f"CAST(array() AS {_SPANS}) ELSE array(named_struct('kind', {_q(kind)}, 'new', pn)) END)")
 
-    whole = (f"aggregate(ca, named_struct('o', '', 'at', 1), (t, w) -> named_struct('o', "
-             f"concat(t.o, substr({m}, t.at, w.a - t.at), w.new), 'at', w.a + w.l), t -> concat(t.o, substr({m}, t.at)))")
-    cards = _let("ca", _cards(m, key), f"named_struct('new', {whole}, 'spans', "
-                                       f"transform(ca, w -> named_struct('kind', 'card', 'new', w.new)))")
+    cards = _let("ca", _cards(m, key), "named_struct('new', ca.new, 'spans', "
+                                       "transform(ca.cards, c -> named_struct('kind', 'card', 'new', c)))")
     cases = " ".join(f"WHEN {m} rlike {_q('^(?:' + p + ')$')} THEN {cards if k == 'card' else one(k)}" for k, p in _PATTERNS)
     return f"CASE {cases} ELSE named_struct('new', {m}, 'spans', CAST(array() AS {_SPANS})) END"
 
@@ -243,7 +269,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     Values that fail validation stay as they are, and so does all other text.
     A null text stays null with 0 values, an empty one stays empty; null ids
     and repeated rows pass through; an empty table gives no rows. Dates before
-    1900 or after 2099-08-03 are not validated.
+    1900 or after 2099-08-03 are not validated. Of an address whose domain has
+    more than 127 labels the first 127 count. The time and memory of a text
+    grow in proportion to its length.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.withColumn("hit", F.expr(
