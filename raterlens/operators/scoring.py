@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterlens.functions.columns import argmax, dot, log_sum_exp
+from raterlens.session import cut_lineage
 
 
 def score_with_heads(features: DataFrame, heads: DataFrame, annotator: str = "annotator_id",
@@ -50,6 +51,29 @@ def attach_logits(rows: DataFrame, logits: DataFrame, keys: Sequence[str] = ("te
     return rows.join(lg, keys, "left")
 
 
+def with_positions(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``position`` of each row from 0 in the order of the columns ``order``
+    (which identify a row): rows are numbered within range partitions and
+    shifted by the sizes of the partitions before (one row a partition)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut_lineage(rows.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
+    sizes = d.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__pid", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__off"))
+    number = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))
+    return (d.withColumn("__rn", number).join(F.broadcast(offsets), "__pid")
+            .withColumn("position", (F.col("__off") + F.col("__rn") - 1).cast("bigint")).drop("__pid", "__rn", "__off"))
+
+
+def positional_join(rows: DataFrame, matrix: DataFrame, order: Sequence[str]) -> DataFrame:
+    """A4: rows in the order of ``order`` joined to a matrix by row position;
+    fails if the two differ in length."""
+    placed = with_positions(rows, order)
+    n, m = (d.agg(F.count(F.lit(1))).scalar() for d in (placed, matrix))
+    same = F.assert_true(n == m, F.lit("positional_join: rows and matrix differ in length"))
+    return placed.join(matrix, "position").filter(same.isNull())
+
+
 def cross_entropy(logits: str = "logits", label: str = "label"):
     """Per-row cross-entropy of the softmax of ``logits`` at ``label``
     (stable log-sum-exp)."""
@@ -77,7 +101,7 @@ def weighted_cross_entropy(scored: DataFrame, label: str = "label", logits: str
 
 def majority_classifier(train: DataFrame, test: DataFrame, features_col: str = "embedding",
                         label: str = "label", weight_col: str | None = None, max_iter: int = 50,
-                        reg_param: float = 0.0):
+                        reg_param: float = 0.0, tol: float = 1e-6):
     """K4: logistic regression (MLlib, distributed tree aggregation) of the
     majority label on frozen text features, optionally class-weighted.
     Returns (model, test predictions with ``prediction`` and ``p_positive``)."""
@@ -87,7 +111,7 @@ def majority_classifier(train: DataFrame, test: DataFrame, features_col: str = "
     def prep(df):
         return df.withColumn("__features", array_to_vector(F.col(features_col).cast("array<double>")))
 
-    lr = LogisticRegression(featuresCol="__features", labelCol=label, maxIter=max_iter, regParam=reg_param,
+    lr = LogisticRegression(featuresCol="__features", labelCol=label, maxIter=max_iter, regParam=reg_param, tol=tol,
                             standardization=False, **({"weightCol": weight_col} if weight_col else {}))
     model = lr.fit(prep(train))
     pred = model.transform(prep(test))
@@ -96,6 +120,42 @@ def majority_classifier(train: DataFrame, test: DataFrame, features_col: str = "
                               vector_to_array("probability")[1].alias("p_positive"))
 
 
+def _gradient(rows: DataFrame, weights: Sequence, bias, features_col: str, label: str, factor=None) -> list:
+    """Gradient sums (one a weight, the bias last) of the logistic log-likelihood."""
+    x = F.col(features_col)
+    score = bias
+    for i, w in enumerate(weights):
+        score = score + w * x[i]
+    residual = (F.col(label) - 1 / (1 + F.exp(-score))) * (F.lit(1.0) if factor is None else factor)
+    return [F.sum(residual * x[i]) for i in range(len(weights))] + [F.sum(residual)]
+
+
+def classifier_optimality(model, train: DataFrame, features_col: str = "embedding", label: str = "label",
+                          weight_col: str | None = None) -> DataFrame:
+    """K4: a certificate of the fitted weights, one row: n_rows and the largest
+    component of the mean weighted gradient (0 at the optimum of the convex,
+    unregularised loss)."""
+    w = F.col(weight_col) if weight_col else F.lit(1.0)
+    sums = _gradient(train, [F.lit(float(c)) for c in model.coefficients], F.lit(float(model.intercept)),
+                     features_col, label, w)
+    return train.agg(F.count(F.lit(1)).alias("n_rows"), (F.greatest(*[F.abs(s) for s in sums]) / F.sum(w)).alias("gradient"))
+
+
+def head_optimality(rows: DataFrame, heads: DataFrame, dim: int, annotator: str = "annotator_id",
+                    features_col: str = "embedding", label: str = "y", l2: float = 1.0) -> DataFrame:
+    """K5: a certificate of each head: n_rows and the largest component of the
+    gradient of its penalised likelihood, recomputed from the rows (0 at the
+    optimum, which is unique)."""
+    w = heads.select(annotator, F.transform("weights", lambda v: v)[1].alias("__w"), F.col("bias")[1].alias("__b"))
+    half = [2 * F.col("__w")[i] for i in range(dim)]  # label 1 holds half of the binary head
+    sums = _gradient(rows, half, 2 * F.col("__b"), features_col, label)
+    each = rows.join(w, annotator).groupBy(annotator).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.first("__w").alias("__w"), F.first("__b").alias("__b"),
+        *[s.alias(f"__g{i}") for i, s in enumerate(sums)])
+    parts = [F.abs(F.col(f"__g{i}") - 2 * l2 * (F.col("__w")[i] if i < dim else F.col("__b"))) for i in range(dim + 1)]
+    return each.select(annotator, "n_rows", F.greatest(*parts).alias("gradient"))
+
+
 # --- per-annotator heads (K5) -----------------------------------------------
 
 # Rows of one annotator handled in one group; more are split into parts of this size.
@@ -173,8 +233,6 @@ def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_i
     :func:`score_with_heads` (label 0 gets the negated half of the binary head,
     label 1 the positive half).
     """
-    from raterlens.session import cut_lineage
-
     d1 = dim + 1
     data = cut_lineage(rows.select(F.col(annotator).cast("bigint").alias("annotator_id"),
                                    F.col(features_col).cast("array<double>").alias("x"),

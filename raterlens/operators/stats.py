@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from raterlens.config import ORDER_KEYS, ORDER_RANGE
 from raterlens.functions.columns import order_digest, order_key, seeded_order
+from raterlens.functions.stats import t_pvalue
 from raterlens.operators.running import join_groups, quantiles
 from raterlens.session import cut_lineage
 
@@ -42,9 +43,7 @@ def welch_ttest(df: DataFrame, group: Sequence[str], sample_col: str, value: str
 
 
 def with_welch_pvalue(tests: DataFrame) -> DataFrame:
-    from raterlens.functions.stats import t_pvalue_udf
-
-    return tests.withColumn("pvalue", t_pvalue_udf("t_stat", "dof"))
+    return tests.withColumn("pvalue", t_pvalue(F.col("t_stat"), F.col("dof")))
 
 
 def histogram_density(df: DataFrame, value: str, bins: int = 20) -> DataFrame:

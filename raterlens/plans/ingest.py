@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raterlens.plans.base import query
@@ -38,6 +40,37 @@ def scan_csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, RAW_SCHEMA)
 
 
+# Characters that CSV writers treat differently, put into the source column by rule.
+_AWKWARD = 'q"uo""te, C:\\new\\road\nline\r\nbreak'
+_AWKWARD_SQL = "'q\"uo\"\"te, C:\\new\\road' || chr(10) || 'line' || chr(13) || chr(10) || 'break'"
+
+
+def _written_elsewhere(batches):
+    """Rows as another library writes them to a CSV file, a text for each batch."""
+    first = True
+    for pdf in batches:
+        for c in ("comment_id", "toxic_score"):
+            pdf[c] = pdf[c].astype("Int64")
+        text = pdf.to_csv(index=False, header=first, lineterminator="\n")
+        first = False
+        yield pd.DataFrame({"value": [text[:-1]]})
+
+
+@query("scan_csv_foreign", with_views("ratings_raw") + f"""select comment, comment_id::bigint comment_id,
+  case when comment_id % 3 = 0 then {_AWKWARD_SQL} || comment_id else source end source, worker_id,
+  toxic_score::bigint toxic_score from ratings_raw""")
+def scan_csv_foreign(spark, sf):
+    """A1: CSV files written by another library, with quotes, line breaks and
+    backslashes in their fields, read with an explicit schema."""
+    path = _scratch(spark, "csv-foreign")
+    raw = fx.ratings_raw(spark, sf).select(
+        "comment", "comment_id", F.when(F.col("comment_id") % 3 == 0, F.concat(F.lit(_AWKWARD), "comment_id"))
+        .otherwise(F.col("source")).alias("source"), "worker_id", "toxic_score")
+    raw.mapInPandas(_written_elsewhere, "value string").write.text(path)
+    schema = T.StructType([f for f in RAW_SCHEMA if f.name in raw.columns])
+    return files.read_csv(spark, path, schema)
+
+
 @query("explode_ratings_json", with_views("ratings_raw") + """select comment, comment_id::bigint comment_id,
   source, worker_id, toxic_score::bigint toxic_score from ratings_raw""")
 def explode_ratings_json(spark, sf):

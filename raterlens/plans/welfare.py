@@ -193,25 +193,35 @@ WELCH_SELECT = """, mom as (select extreme_annotator, confidence_threshold,
   avg(macro_f1) m, var_samp(macro_f1) v, count(macro_f1) n from welfare group by extreme_annotator, confidence_threshold),
 j as (select a.extreme_annotator, a.m m_a, a.v / a.n se_a, a.n n_a, b.confidence_threshold threshold_b,
   b.m m_b, b.v / b.n se_b, b.n n_b from mom a join mom b on a.extreme_annotator = b.extreme_annotator
-  where a.confidence_threshold = 100 and b.confidence_threshold <> 100)
-select extreme_annotator, 100::bigint threshold_a, threshold_b::bigint threshold_b,
-  round(case when se_a + se_b > 0 then (m_a - m_b) / sqrt(se_a + se_b) end, 6) t_stat,
-  round(case when se_a * se_a / (n_a - 1) + se_b * se_b / (n_b - 1) > 0 then
-    (se_a + se_b) * (se_a + se_b) / (se_a * se_a / (n_a - 1) + se_b * se_b / (n_b - 1)) end, 6) dof,
-  n_a::bigint n_a, n_b::bigint n_b from j"""
-
-
-@query("welch_ttest", WELFARE_SQL + WELCH_SELECT)
+  where a.confidence_threshold = 100 and b.confidence_threshold <> 100),
+wt as (select *, case when se_a + se_b > 0 then (m_a - m_b) / sqrt(se_a + se_b) end t,
+  case when se_a * se_a / (n_a - 1) + se_b * se_b / (n_b - 1) > 0 then
+    (se_a + se_b) * (se_a + se_b) / (se_a * se_a / (n_a - 1) + se_b * se_b / (n_b - 1)) end df from j)"""
+_WELCH_COLUMNS = """extreme_annotator, 100::bigint threshold_a, threshold_b::bigint threshold_b, round(t, 6) t_stat,
+  round(df, 6) dof, n_a::bigint n_a, n_b::bigint n_b"""
+
+# The tail by the power series of the incomplete beta function (all terms
+# positive), on the side of its argument below one half.
+_SERIES = """, side as (select *, df / (df + t * t) x, x < 0.5 lower, case when lower then x else 1 - x end z,
+  case when lower then df / 2 else 0.5 end a, case when lower then 0.5 else df / 2 end b from wt),
+beta as (select extreme_annotator e, threshold_b tb, case when any_value(z) = 0 then 0 else
+  exp(any_value(a * ln(nullif(z, 0)) + b * ln(1 - z) + lgamma(a + b) - lgamma(a) - lgamma(b)) - ln(any_value(a))) * sum(exp(
+  lgamma(a + b + k) - lgamma(a + b) - lgamma(a + 1 + k) + lgamma(a + 1) + k * ln(nullif(z, 0)))) end i
+  from side cross join range(0, 4000) r(k) where t is not null and df > 0 group by extreme_annotator, threshold_b)"""
+
+
+@query("welch_ttest", WELFARE_SQL + WELCH_SELECT + f"select {_WELCH_COLUMNS} from wt")
 def welch_ttest(spark, sf):
     """Welch t and degrees of freedom, threshold 100 against each
     other threshold, per extreme flag."""
     return st.welch_ttest(_welfare(spark, sf), ["extreme_annotator"], "confidence_threshold", "macro_f1", 100)
 
 
-@query("welch_ttest_pvalue")
+@query("welch_ttest_pvalue", WELFARE_SQL + WELCH_SELECT + _SERIES + f"""select {_WELCH_COLUMNS},
+  round(case when i is null then 'nan'::double when lower then i else 1 - i end, 6) pvalue
+  from side left join beta on extreme_annotator = e and threshold_b = tb""")
 def welch_ttest_pvalue(spark, sf):
-    """The Welch tests with two-sided p-values (Student-t tail in an
-    Arrow-batched UDF over the few test rows)."""
+    """The Welch tests with two-sided p-values."""
     t = st.welch_ttest(_welfare(spark, sf), ["extreme_annotator"], "confidence_threshold", "macro_f1", 100)
     return st.with_welch_pvalue(t)
 
