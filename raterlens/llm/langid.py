@@ -27,7 +27,7 @@ FILTERS = 16           # filters of each width
 EMBEDDING = 8
 TRAIN_DOCS = 1500      # bound of the sample: documents of each language,
 TRAIN_WINDOWS = 2      # and windows of each document
-MAX_LANGUAGES = 200    # bound of the number of classes
+MAX_DOCS = 40_000      # and of all languages, but for one of each
 EPOCHS = 6
 BATCH = 64
 LEARNING_RATE = 0.01
@@ -84,7 +84,7 @@ class ByteCNN:
             order = r.permutation(len(y))
             for lo in range(0, len(y), BATCH):
                 at = order[lo:lo + BATCH]
-                xb, n = x[at], len(at)
+                xb, n = x[at].astype(np.int64), len(at)
                 rows = np.arange(n)[:, None]
                 best, peak = [], []
                 for w, f in zip(WIDTHS, self.filters):
@@ -203,21 +203,23 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, seed: int = SEED
     """Fit the network on documents outside the held-out fold.
 
     The sample is bounded: ``docs_per_language`` documents of each language
-    (the first in the order of a hash of the id) and TRAIN_WINDOWS windows of
-    each, so at most MAX_LANGUAGES * docs_per_language * TRAIN_WINDOWS windows
-    of WINDOW bytes reach the driver. The documents are chosen from ids and
-    languages alone; only the chosen texts are read further.
+    (the first in the order of a hash of the id), fewer where there are many
+    languages: MAX_DOCS together, but at least one of each, so every label is
+    learnt. TRAIN_WINDOWS windows of WINDOW bytes of each document reach the
+    driver. The documents are chosen from ids and languages alone; only the
+    chosen texts are read further.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").cast("string").alias("l")) \
         .filter(F.col("l").isNotNull() & F.col("id").isNotNull() & ~held_out("id", 5, 0))
+    languages = ids.select("l").distinct().count()
+    docs_per_language = max(1, min(docs_per_language, MAX_DOCS // max(1, languages)))
     h = F.xxhash64("id", F.lit(seed))
     # first by salted parts, then by language: both limits are applied before the shuffle
     part = Window.partitionBy("l", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(64))).orderBy(h, "id")
     whole = Window.partitionBy("l").orderBy(h, "id")
     chosen = (ids.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= docs_per_language)
               .withColumn("k", F.row_number().over(whole)).filter(F.col("k") <= docs_per_language))
-    chosen = chosen.join(F.broadcast(chosen.groupBy("l").count().orderBy("l").limit(MAX_LANGUAGES)), "l", "left_semi") \
-        .select(F.col("id").alias("__id"))
+    chosen = chosen.select(F.col("id").alias("__id"))  # bounded by the sample
     texts = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("lang").cast("string").alias("lang"),
                         F.col("text").cast("string").alias("text")) \
         .join(F.broadcast(chosen), F.col("__doc") == F.col("__id"), "left_semi") \
@@ -227,7 +229,7 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, seed: int = SEED
     labels = sorted(set(rows["lang"]))
     net = ByteCNN(labels, seed)
     if len(rows):
-        x = np.frombuffer(b"".join(rows["window"]), np.uint8).reshape(-1, WINDOW).astype(np.int64)
+        x = np.frombuffer(b"".join(rows["window"]), np.uint8).reshape(-1, WINDOW)
         net.fit(x, rows["lang"].map({s: i for i, s in enumerate(labels)}).to_numpy(), seed=seed)
     return net.folded()
 
