@@ -17,15 +17,17 @@ pairs of cells whose centres are too far apart for their radii.
 Inside each component the links are then counted exactly: its vectors meet in
 pairs of blocks, whose matrix product gives, for each vector, the number of
 linked ones. So a clique of any size needs no pair rows, and no list bound
-limits n_links. An audit compares bounded samples of vectors, one of all and one
-of those outside the large components, with all others. Each sampled vector
-weighs the same, however many links or copies it has. While the recall of a
-sample is below AUDIT_RECALL the descent runs again from other and twice as many
-hyperplane codes and for more rounds; the job fails if that doesn't reach it.
+limits n_links. An audit compares vectors with all others, drawn until
+AUDIT_LINKED of them have links (or none is left): from those outside the large
+components and from all. Each weighs the same, however many links or copies it
+has. While the recall is below AUDIT_RECALL the descent runs again from other
+and twice as many hyperplane codes and for more rounds; if three don't reach it,
+all vectors are compared exactly.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -45,10 +47,14 @@ BLOCK = 256
 ROUNDS = 6            # at most, but for vectors that still gain links
 SETTLED = 0.002       # changed share of the entries at which unlinked vectors are settled
 CELLS = 1024          # cells whose centres are compared at once
-AUDIT, AUDIT_RECALL, AUDIT_TRIES = 256, 0.99, 3
-AUDIT_REST = 1024     # more sampled vectors, outside components of over BLOCK vectors
+AUDIT_RECALL, AUDIT_TRIES = 0.99, 3
+AUDIT_LINKED = 300    # linked vectors to audit, if there are so many
+AUDIT_ENOUGH = 20     # of them show that a recall is far too low
+AUDIT_BATCH = 4096    # vectors drawn at once
 SEED = 5
 
+LOG = logging.getLogger(__name__)
+
 _CAND = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float64())])
 
 
@@ -292,6 +298,66 @@ def _bridges(full: DataFrame, parts: DataFrame, vecs: DataFrame, threshold: floa
     return member.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bridge(threshold), "u bigint, w bigint")
 
 
+def _links_between(threshold: float):
+    """Links inside a cell or between two, for vectors of different components.
+    Columns: key, id, side (0, 1, or 2 where both cells are one), component,
+    vec. Links form small components of their own, of which each member but
+    the smallest gives one row."""
+
+    def run(batches):
+        for t in runs(batches):
+            ids, side, part, x = t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), _matrix(t.column(4))
+            near = (x @ x.T >= threshold) & (part[:, None] != part[None, :])
+            if side[0] != 2:
+                near &= side[:, None] != side[None, :]
+            label = np.arange(len(ids))
+            while True:  # smallest reachable row
+                new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(1))
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            rows = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[rows]]), pa.array(ids[rows])], names=["u", "w"])
+
+    return run
+
+
+def _exact_links(vecs: DataFrame, parts: DataFrame | None, threshold: float, planes: int) -> DataFrame:
+    """Links (u, w) that join the components of all vectors, without a descent:
+    all pairs of cells of vectors side by side in the order of a code are
+    compared but those too far apart for their radii. Its cost may grow with
+    the square of the vectors; it is the way out where descents fail."""
+    n = shuffle_partitions(vecs.sparkSession)
+    codes = vecs.mapInArrow(_codes(SEED, 1, planes), "id bigint, keys array<bigint>")
+    rows = codes.select("id", F.col("keys")[0].alias("code")).join(vecs, "id") \
+        .select(F.size("vec").cast("bigint").alias("key"), "code", "id", "vec")
+    cells = cut_lineage(_block_runs(rows, n, "key", "code", "id").select("key", "id", "vec").mapInArrow(
+        _cells, "cell bigint, component bigint, radius double, centre array<double>, ids array<bigint>")
+        .withColumnRenamed("component", "size"))
+    groups = max(1, math.ceil(cells.count() / CELLS))
+    placed = cells.withColumn("mine", F.pmod(F.xxhash64("cell"), F.lit(groups))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    near = placed.select(
+        F.xxhash64("size", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cell",
+        F.col("cell").alias("component"),
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+        "radius", "centre")
+    near = near.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_near_cells(threshold), "a bigint, b bigint")
+    pairs = cut_lineage(near.union(cells.select(F.col("cell").alias("a"), F.col("cell").alias("b"))))
+    none = vecs.select("id", F.col("id").alias("component")).limit(0)
+    named = vecs.join(none if parts is None else parts, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"), "vec")
+    sides = pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.when(
+        F.col("a") == F.col("b"), F.array(F.struct(F.lit(2).alias("side"), F.col("a").alias("cell")))).otherwise(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("a").alias("cell")),
+            F.struct(F.lit(1).alias("side"), F.col("b").alias("cell"))))).alias("s")).select("key", "s.side", "s.cell")
+    member = sides.join(cells.select("cell", F.explode("ids").alias("id")), "cell").join(named, "id") \
+        .select("key", "id", "side", "component", "vec")
+    return member.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
+        _links_between(threshold), "u bigint, w bigint").distinct()
+
+
 def _sample_counts(sample: list, threshold: float):
     """Linked vectors of the sampled ones among all (block by block)."""
     schema = pa.schema([("u", pa.int64()), ("links", pa.int64())])
@@ -317,19 +383,32 @@ def _sample_counts(sample: list, threshold: float):
     return run
 
 
-def _recall(pool: DataFrame, size: int, vecs: DataFrame, counts: DataFrame | None, threshold: float) -> float:
-    """Mean share of found links over the sampled vectors of the pool that
-    have links (1 if none has), each weighing the same."""
-    sample = [(r["id"], list(r["vec"])) for r in
-              pool.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(size).collect()]
-    if not sample:
-        return 1.0
-    truth = vecs.mapInArrow(_sample_counts(sample, threshold), "u bigint, links bigint") \
-        .groupBy("u").agg(F.sum("links").alias("all")).filter("all > 0")
-    got = truth.withColumn("vectors", F.lit(0)) if counts is None else \
-        truth.join(counts.select("u", "vectors"), "u", "left")
-    share = got.agg(F.avg(F.least(F.coalesce("vectors", F.lit(0)) / F.col("all"), F.lit(1.0)))).first()[0]
-    return 1.0 if share is None else share
+def _recall(pool: DataFrame, vecs: DataFrame, counts: DataFrame | None, threshold: float) -> tuple[float, int]:
+    """Mean share of found links over audited vectors of the pool that have
+    links, each weighing the same (1 if none has), and their number.
+
+    Vectors are drawn in the order of a hash, AUDIT_BATCH at a time (what the
+    driver holds), until AUDIT_LINKED of them have links or the recall is
+    plainly missed, or every vector has been audited."""
+    drawn = cut_lineage(pool.select("id", F.xxhash64("id", F.lit(SEED)).alias("h"), "vec"))
+    at, linked, found = None, 0, 0.0
+    while linked < AUDIT_LINKED:
+        rest = drawn if at is None else drawn.filter((F.col("h") > at[0]) | ((F.col("h") == at[0]) & (F.col("id") > at[1])))
+        batch = rest.orderBy("h", "id").limit(AUDIT_BATCH).collect()
+        if not batch:
+            break
+        at = (batch[-1]["h"], batch[-1]["id"])
+        truth = vecs.mapInArrow(_sample_counts([(r["id"], list(r["vec"])) for r in batch], threshold),
+                                "u bigint, links bigint") \
+            .groupBy("u").agg(F.sum("links").alias("all")).filter("all > 0")
+        got = truth.withColumn("vectors", F.lit(0)) if counts is None else \
+            truth.join(counts.select("u", "vectors"), "u", "left")
+        row = got.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.least(
+            F.coalesce("vectors", F.lit(0)) / F.col("all"), F.lit(1.0))), F.lit(0.0)).alias("s")).first()
+        linked, found = linked + row["n"], found + row["s"]
+        if linked >= AUDIT_ENOUGH and found < 0.9 * linked:
+            break
+    return (found / linked if linked else 1.0), linked
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -375,13 +454,21 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
             counts = _count(parts, vecs, threshold)
             large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK)
             rest = only.join(parts.join(large, "component").select("id"), "id", "left_anti")
-        recall = [_recall(pool, size, only, counts, threshold) for pool, size in ((only, AUDIT), (rest, AUDIT_REST))]
-        if min(recall) >= AUDIT_RECALL:
+        # outside large components is the harder pool; the other one needs no audit if nothing is left out of it
+        recall = [_recall(rest, only, counts, threshold)]
+        if recall[0][0] >= AUDIT_RECALL and rest is not only:
+            recall.append(_recall(only, only, counts, threshold))
+        LOG.info("descent %d: recall and audited linked vectors %s", attempt + 1, recall)
+        if min(recall)[0] >= AUDIT_RECALL:
             break
     else:
         if n > 1:
-            raise RuntimeError(f"links found of the mean audited vector: {recall[0]:.4f} of all, {recall[1]:.4f} outside "
-                               f"large components, after {AUDIT_TRIES} descents; {AUDIT_RECALL} are needed")
+            LOG.warning("recall %s after %d descents: all vectors are compared", recall, AUDIT_TRIES)
+            exact = cut_lineage(_exact_links(only, parts, threshold, planes))
+            links = exact if links is None else cut_lineage(links.union(exact))
+            if not links.isEmpty():
+                parts = components(links, "u", "w")
+                counts = _count(parts, vecs, threshold)
     named = vecs.select("id", "mult", "vec")
     if parts is not None:
         named = named.join(parts, "id", "left").join(counts.select(F.col("u").alias("id"), "links"), "id", "left")

@@ -515,15 +515,35 @@ def test_embedding_pairs_beside_a_clique(spark, monkeypatch):
     assert np.mean([got[i].component_id == comp[i] for i in np.flatnonzero(has)]) >= 0.99
 
 
-def test_embedding_job_fails_below_the_audited_recall(spark, monkeypatch):
+def test_embedding_links_are_whole_if_the_descent_finds_few(spark, monkeypatch):
+    """The audit notices, and all vectors are compared exactly."""
     lost = spark.createDataFrame([(0, i) for i in range(1, 40)], "u long, w long")
     none = spark.createDataFrame([], "id long, code long")
-    monkeypatch.setattr(vec_dedup, "_descend", lambda *a: (lost, none))
+    descents = []
+    monkeypatch.setattr(vec_dedup, "_descend", lambda *a: descents.append(a) or (lost, none))
+    monkeypatch.setattr(vec_dedup, "BLOCK", 16)
     rng = np.random.default_rng(2)
     x = np.concatenate([np.ones(16) + rng.normal(size=(40, 16)) * 0.02, *(
-        v + rng.normal(size=(2, 16)) * 0.02 for v in rng.normal(size=(3, 16)))])
-    with pytest.raises(RuntimeError, match="audited"):
-        vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()
+        v + rng.normal(size=(2, 16)) * 0.02 for v in rng.normal(size=(30, 16)))])
+    n_links, comp = linked(x)
+    got = {r.vec_id: r for r in vec_dedup.embedding_duplicates(vector_frame(spark, x)).collect()}
+    assert len(descents) == vec_dedup.AUDIT_TRIES
+    assert [got[i].n_links for i in range(len(x))] == n_links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == list(comp)
+
+
+def test_audit_measures_sparse_links(spark, monkeypatch):
+    """Twenty pairs among many vectors are still found missing, whatever the seed."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x[-20:] = x[:20] + rng.normal(size=(20, 32)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").cache()
+    for seed in (1, 2, 3):
+        monkeypatch.setattr(vec_dedup, "SEED", seed)
+        assert vec_dedup._recall(vecs, vecs, None, 0.95)[0] == 0.0
+    found = spark.createDataFrame([(i, 1) for i in [*range(20), *range(5980, 6000)]], "u long, vectors long")
+    assert vec_dedup._recall(vecs, vecs, found, 0.95) == (1.0, 40)
 
 
 def test_embedding_links_between_dense_groups(spark):
