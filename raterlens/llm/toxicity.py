@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     features the model is the prior alone.
     """
     fold = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")) \
-        .filter(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id", 3, 1))
+        .filter(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id", 3, 1)) \
+        .groupBy("id").agg(F.max("toxic").alias("toxic"))  # one label an id: toxic if any of its labels says so
     seen = fold.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     prior = DEFAULT_PRIOR if seen is None else min(0.9, max(0.001, seen))
     positive = _first(fold.filter("toxic = 1").select("id"), MAX_POSITIVE).withColumn("positive", F.lit(True))
