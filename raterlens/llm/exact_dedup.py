@@ -10,9 +10,11 @@
    chunk, and owners stay even.
 3. Owners send a bitmap back for each list: set where the fingerprint occurs
    in another chunk or more than once in the chunk.
-4. Only suspects are verified: their normalised texts themselves are the
-   grouping key, with partial sums before the shuffle, so a group of copies
-   of any size arrives as one row a task.
+4. Only suspects are verified. Their ids set bits of a filter of fixed size, and a second scan lets a text into the exchange only if its bit is
+   set (a wrong bit costs a row, never a result). The normalised texts
+   themselves are the grouping key, with partial sums before the shuffle, so a
+   group of copies of any size arrives as one row a task. Suspects of a hot
+   text meet its one group row by broadcast of the few hot groups.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.llm.common import LOWER, UPPER, shuffle_partitions
+from raterlens.llm.common import LOWER, UPPER, cells_of, in_cells, shuffle_partitions, split_join
 from raterlens.session import cut_lineage
 
 FINGERPRINT_BITS = 48
@@ -35,17 +37,19 @@ CHUNK_ROWS = 50_000
 
 def golomb_encode(values: np.ndarray) -> bytes:
     """Golomb code (power-of-two divisor) of sorted distinct integers: the
-    gaps' quotients in unary, then their remainders in k bits each."""
+    first as it is, the gaps' quotients in unary, then their remainders in k
+    bits each; k follows from the mean gap."""
     n = len(values)
     if n == 0:
         return b""
-    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    k = max(0, int(np.log2(max(1.0, 0.69 * float(values[-1]) / n))))
+    values = values.astype(np.uint64)
+    gaps = np.diff(values, prepend=values[0])
+    k = max(0, int(np.log2(max(1.0, 0.69 * float(values[-1] - values[0]) / n))))
     q = (gaps >> np.uint64(k)).astype(np.int64)
     unary = np.zeros(int(q.sum()) + n, np.uint8)
     unary[np.cumsum(q + 1) - 1] = 1
     rest = ((gaps[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    head = np.array([n, k, len(unary)], "<u4").tobytes()
+    head = np.array([n, k, len(unary)], "<u4").tobytes() + values[:1].astype("<u8").tobytes()
     return head + np.packbits(unary).tobytes() + np.packbits(rest.ravel()).tobytes()
 
 
@@ -53,14 +57,14 @@ def golomb_decode(code: bytes) -> np.ndarray:
     if not code:
         return np.zeros(0, np.uint64)
     n, k, bits = (int(x) for x in np.frombuffer(code[:12], "<u4"))
-    cut = 12 + (bits + 7) // 8
-    ends = np.flatnonzero(np.unpackbits(np.frombuffer(code[12:cut], np.uint8), count=bits))
+    cut = 20 + (bits + 7) // 8
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(code[20:cut], np.uint8), count=bits))
     q = np.diff(ends, prepend=-1) - 1
     gaps = q.astype(np.uint64) << np.uint64(k)
     if k:
         rest = np.unpackbits(np.frombuffer(code[cut:], np.uint8), count=n * k).reshape(n, k)
         gaps += (rest.astype(np.uint64) << np.arange(k, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return np.cumsum(gaps, dtype=np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64) + np.frombuffer(code[12:20], "<u8")[0]
 
 
 def _fingerprints(digests: np.ndarray, bits: int) -> np.ndarray:
@@ -167,10 +171,9 @@ def exact_duplicates(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS)
         blocks.select("chunk", "owner", "ids", "digests").join(bitmaps, ["chunk", "owner"])
         .select("ids", "digests", "bitmap")
         .mapInArrow(_mark(fingerprint_bits), "doc_id bigint, text_sha256 string, suspect boolean"))
-    suspects = marked.filter("suspect")
-    ids = suspects.select(F.col("doc_id").alias("__id")).distinct().hint("merge")  # grows with the input: no broadcast
+    suspects = marked.filter("suspect").drop("suspect")
     norm = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    verified = (rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    verified = (in_cells(rows, "doc_id", cells_of(suspects, "doc_id"))
                 .groupBy(norm.alias("norm"))
                 .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
                 .groupBy(F.sha2("norm", 256).alias("text_sha256"))
@@ -181,7 +184,7 @@ def exact_duplicates(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS)
     alone = marked.filter(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
-    grouped = suspects.join(verified, "text_sha256").select(
+    grouped = split_join(suspects, cut_lineage(verified), ["text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256")
     return alone.union(grouped)
