@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.llm.common import ascii_words, components, runs, shuffle_partitions
+from raterlens.llm.common import ascii_words, cells_of, components, in_cells, runs, shuffle_partitions, split_join
 from raterlens.session import cut_lineage
 
 SHINGLE = 5
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     words = signed.select("id", "words")
     reps = words.filter("words IS NOT NULL").groupBy("words").agg(F.min("id").alias("rep"))
     member = cut_lineage(
-        words.join(reps, "words").select("id", "rep")
+        split_join(words.filter("words IS NOT NULL"), cut_lineage(reps), ["words"]).select("id", "rep")
         .union(words.filter("words IS NULL").select("id", F.col("id").alias("rep"))))
     firsts = member.filter("id = rep").select("id")
     rows = cut_lineage(signed.filter("keys IS NOT NULL").select("id", "keys").join(firsts, "id", "left_semi")
@@ -301,9 +301,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = rows.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut_lineage(rows.join(buckets, "key").select("key", "a", F.col("id").alias("b")))
     pairs = cut_lineage(shared.filter("a <> b").select("a", "b").distinct())
-    # the texts that share a bucket, moved once; their ids grow with the input, so they are never broadcast
-    ids = shared.select(F.col("b").alias("id")).distinct().hint("merge")
-    texts = cut_lineage(raw.filter("text IS NOT NULL").join(ids, "id", "left_semi"))
+    # the texts that share a bucket, by a filter of fixed size (a wrong bit costs a row that joins nothing)
+    texts = cut_lineage(in_cells(raw.filter("text IS NOT NULL"), "id", cells_of(shared.select(F.col("b").alias("id")), "id")))
     found = cut_lineage(_links(pairs, texts, threshold).select("a", "b"))
     # buckets whose members are in different components hold pairs not yet compared
     none = member.select("id", F.col("id").alias("component")).limit(0)
@@ -321,7 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     whole = cut_lineage(member.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
                         .select("id", "rep", F.coalesce("component", "rep").alias("component")))
     sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return whole.join(sizes, "component").select(
+    return split_join(whole, cut_lineage(sizes), ["component"]).select(
         F.col("id").alias("doc_id"), F.col("rep").alias("rep_id"), F.col("component").alias("component_id"),
         F.col("size").alias("component_size"), (F.col("id") == F.col("component")).alias("kept"))
 
