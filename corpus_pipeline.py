@@ -20,7 +20,7 @@ from raterlens.llm.queries import TOKENIZER
 from raterlens.session import cut_lineage
 from raterlens.sources.tables import read_table
 
-MIN_LANGUAGE_SCORE = 0.35   # below, a text is of no learned language
+REJECT_MARGIN = 2 / 15      # a text's language must be so far from chance (0) to certainty (1)
 KEY = "__stage_doc_id"
 
 
@@ -31,10 +31,19 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].cast("bigint") == ids[KEY], "left_semi")
 
 
+def least_score(languages: int) -> float:
+    """Score below which a text is of none of so many languages: a fixed share
+    of the way from chance, which is 1 / languages. With one language nothing
+    can be told apart and nothing is rejected."""
+    return 0.0 if languages < 2 else 1 / languages + REJECT_MARGIN * (1 - 1 / languages)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (und) and those of no language known."""
-    found = langid.identify(docs).filter(
-        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE) & F.col("doc_id").isNotNull())
+    net = langid.train(docs)
+    found = langid.identify(docs, net).filter(
+        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least_score(len(net["labels"])))
+        & F.col("doc_id").isNotNull())
     return _keep(docs, cut_lineage(found.select(F.col("doc_id").alias(KEY))))
 
 
@@ -57,7 +66,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix has it."""
+    """Each document as often as the mix has it. Null and empty texts have the
+    copies of their place in the order; a null source is the source ''. Rows
+    that share a doc_id (none after the stages before) count as the largest."""
     mix = mixing.source_mix(docs).filter("copies > 0").select(F.col("doc_id").alias(KEY), F.col("copies").alias("__copies"))
     mix = cut_lineage(mix.groupBy(KEY).agg(F.max("__copies").alias("__copies"))).hint("merge")
     return docs.join(mix, docs["doc_id"].cast("bigint") == mix[KEY]) \
@@ -65,7 +76,8 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text of the mix and the digest of what they decode to."""
+    """Token ids of every text of the mix and the digest of what they decode
+    to, a row for every input row: repeated rows repeat, a null text has none."""
     out = bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -78,7 +90,9 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-ORACLE_SQL = None  # the language stage is a trained network; tested against a brute-force version
+# The language stage is a trained network, which SQL can't express. The tests hold the other stages against plain
+# computations over what it keeps, and its classifier against a plain evaluation of the network.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
