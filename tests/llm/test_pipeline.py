@@ -46,7 +46,8 @@ def test_stages(spark, docs, sf_small):
     out = cp.language(spark, docs, sf_small)
     assert out.columns == COLUMNS
     known = {r.doc_id: r for r in langid.identify(docs).collect()}
-    want = [r for r in have if known[r[0]].lang_pred != "und" and known[r[0]].score >= cp.MIN_LANGUAGE_SCORE]
+    least = cp.least_score(4)
+    want = [r for r in have if known[r[0]].lang_pred != "und" and known[r[0]].score >= least]
     assert rows_of(out) == sorted(want, key=repr)
     assert {9001, 9002, 9003}.isdisjoint(r[0] for r in want) and len(want) >= len(have) - 6
 
