@@ -28,8 +28,6 @@ MIN_TEST = 6
 TEST_FRACTION = 0.2
 # Number of random split trials in the best-split search.
 N_SPLIT_TRIALS = 100
-# Row budget for the annotator subsample.
-ROW_BUDGET = 150_000
 # Share of predictions above which an annotator counts as "overridden" (rule pct).
 OVERRIDE_SHARE = 0.05
 # Label maps of the external benchmark.

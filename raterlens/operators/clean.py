@@ -72,11 +72,28 @@ def dense_ids(values: DataFrame, key: str, id_col: str) -> DataFrame:
     return out.select(key, (F.col("__off") + F.col("__rn") - 1).cast("bigint").alias(id_col))
 
 
+def text_digest(text: str):
+    """128-bit digest of a text (null: null), the key that texts are joined by."""
+    return F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32))
+
+
+def text_ids(raw: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(__d, ``id_col``): dense ids of the distinct texts in ascending order of
+    the text, by the text's digest. Each distinct text goes through the
+    exchange once, for its order; rows only carry digests. Two texts with one
+    digest would fail the job."""
+    distinct = raw.select(text).filter(F.col(text).isNotNull()).distinct().withColumn("__d", text_digest(text))
+    ids = dense_ids(distinct, text, id_col).withColumn("__d", text_digest(text)).drop(text)
+    once = ids.groupBy("__d").agg(F.min(id_col).alias(id_col), F.max(id_col).alias("__other"))
+    one = F.assert_true(F.col(id_col) == F.col("__other"), F.lit("two texts share a digest"))
+    return once.filter(one.isNull()).select("__d", id_col)
+
+
 def assign_text_ids(raw: DataFrame, text: str = "comment", id_col: str = "text_id") -> DataFrame:
     """Attach a dense text id per distinct comment; NULL comments match NULL
     (pandas merge semantics) and get a NULL id."""
-    ids = dense_ids(raw, text, id_col)
-    return _null_safe_join(raw, ids, [text], "left")
+    return raw.withColumn("__d", text_digest(text)).join(text_ids(raw, text, id_col), "__d", "left").select(
+        *raw.columns, id_col)
 
 
 def with_annotation_id(df: DataFrame, text_id: str = "text_id", rater: str = "worker_id") -> DataFrame:
@@ -92,13 +109,14 @@ def clean_ratings(raw: DataFrame, text: str = "comment", rater: str = "worker_id
     are attached once, to the rows that are left."""
     raw = raw.drop("text_id")
     known = F.col(text).isNotNull() & F.col(rater).isNotNull()
-    d = raw.withColumns({"__c": F.when(known, F.col(text)), "__w": F.when(known, F.col(rater))})
+    d = raw.withColumn("__d", text_digest(text)).withColumns(
+        {"__c": F.when(known, F.col("__d")), "__w": F.when(known, F.col(rater))})
     again = repeated_keys(d, ["__c", "__w"]).select("__c", "__w")
-    ids = dense_ids(raw, text, "text_id")
+    ids = text_ids(raw, text, "text_id")
 
     def keyed(how):
         rows = _null_safe_join(d, again, ["__c", "__w"], how).drop("__c", "__w")
-        return with_annotation_id(_null_safe_join(rows, ids, [text], "left"), "text_id", rater)
+        return with_annotation_id(rows.join(ids, "__d", "left").select(*raw.columns, "text_id"), "text_id", rater)
 
     return keyed("left_anti"), keyed("left_semi")
 

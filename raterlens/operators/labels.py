@@ -16,23 +16,32 @@ def majority_labels(ratings: DataFrame, text_id: str = "text_id", label: str = "
     """D3: most frequent label per text; ties go to the lowest label
     (``tie_break="max"``: highest). Two partial aggregates, so a text holding
     a third of all rows never lands whole in one task."""
-    counts = ratings.groupBy(text_id, F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
-    order_l = -F.col("__l") if tie_break == "min" else F.col("__l")
-    return counts.groupBy(text_id).agg(
-        F.max_by("__l", F.struct(F.col("__n"), order_l)).alias("label"))
+    return _most_frequent(ratings, [text_id], label, tie_break)
+
+
+def _most_frequent(ratings: DataFrame, keys: Sequence[str], label: str, tie_break: str) -> DataFrame:
+    """``keys`` and the most frequent label (integers below 2^31 in size). Count
+    and label are one number, whose maximum is a hash aggregate; a missing
+    label ranks below all others of its count."""
+    counts = ratings.groupBy(*keys, F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    side = -1 if tie_break == "min" else 1
+    place = F.coalesce(F.col("__l").cast("bigint") * side + F.lit(1 << 31), F.lit(0))
+    best = counts.groupBy(*keys).agg(F.max(F.col("__n") * F.lit(1 << 32) + place).alias("__b"))
+    place = F.col("__b") % F.lit(1 << 32)
+    return best.select(*keys, F.when(place > 0, (place - F.lit(1 << 31)) * side).cast(
+        counts.schema["__l"].dataType).alias("label"))
 
 
 def majority_vote(ratings: DataFrame, text: str = "comment", text_id: str = "text_id",
                   label: str = "toxic_score", tie_break: str = "min", by: Sequence[str] = ()) -> DataFrame:
     """One row per text: (text_id, text, majority label), per ``by``
-    group if given. The text is constant within a text id; ``min`` picks it
-    deterministically. One scan and two aggregates: by label, then by text."""
+    group if given. Labels are counted by id, in hash aggregates over numbers;
+    the text, constant within an id, is attached to the one row of its id."""
     by = list(by)
-    counts = ratings.groupBy(*by, text_id, F.col(label).alias("__l")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(text).alias("__t"))
-    order_l = -F.col("__l") if tie_break == "min" else F.col("__l")
-    return counts.groupBy(*by, text_id).agg(
-        F.min("__t").alias("text"), F.max_by("__l", F.struct(F.col("__n"), order_l)).alias("label"))
+    votes = _most_frequent(ratings, [*by, text_id], label, tie_break)
+    texts = ratings.select(text_id, F.col(text).alias("text")).dropDuplicates([text_id])
+    same = votes[text_id].eqNullSafe(texts[text_id])
+    return votes.join(texts, same).select(*[votes[c] for c in by], votes[text_id], "text", "label")
 
 
 def first_n_per_group(df: DataFrame, group, order_key: str, tiebreak: str, n_col: str,

@@ -3,7 +3,8 @@
 A range-partitioned order is written once; totals run inside its partitions
 and are shifted by the totals of the partitions before (a table of at most
 partitions x groups rows). Quantiles are read off the running counts of the
-distinct values, so no task holds a group's values.
+distinct values, which run inside buckets of the values' order and are shifted
+by the buckets before, so no task holds a group's values and nothing is written.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from raterlens.session import cut_lineage
 
+# Buckets of doubles: PER_OCTAVE for each power of two from LEAST up.
+PER_OCTAVE, LOG_SHIFT, LEAST = 64, 1074, 2.0 ** -1074
+
 
 def running_totals(df: DataFrame, order: Sequence[tuple[str, bool]], totals: dict[str, Column],
                    group: Sequence[str] = ()) -> DataFrame:
@@ -47,9 +51,7 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str,
     group = list(group)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__x")).agg(
         F.count(F.lit(1)).alias("__c"))
-    run = running_totals(counts, [("__x", True)], {"__upto": F.col("__c")}, group)
-    sizes = counts.groupBy(*group).agg(F.sum("__c").alias("__n"))
-    run = join_groups(run, sizes, group)
+    run = _upto(counts, group)
     cols = []
     for name, p in probs.items():
         at = (F.col("__n") - 1) * F.lit(float(p))
@@ -66,6 +68,36 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str,
     return g.select(*group, *[value_of(name, p).alias(name) for name, p in probs.items()])
 
 
+def _order_bits(x: str) -> Column:
+    """The leading ORDER_BITS bits of a double's place in the order of doubles
+    (sign, exponent and first digits), as an integer with the same order."""
+    a = F.abs(F.col(x))
+    top = F.when(a < LEAST, F.lit(0)).otherwise(
+        F.floor((F.log2(F.greatest(a, F.lit(LEAST))) + LOG_SHIFT) * PER_OCTAVE) + 1)
+    return F.when(F.col(x) < 0, -top).otherwise(top).cast("bigint")
+
+
+def _upto(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``counts`` (group, __x, __c) with the rows of the group up to and
+    including each value (__upto) and in all (__n), in one lazy plan.
+
+    Values fall into buckets that keep their order. A group's bucket totals
+    are few (at most 2 * 2100 * PER_OCTAVE) and run in one window; inside a
+    bucket, distinct values run in one of its own."""
+    b = counts.withColumn("__b", _order_bits("__x"))
+    totals = b.groupBy(*group, "__b").agg(F.sum("__c").alias("__t"))
+    order = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*group, "__b", F.coalesce(F.sum("__t").over(order), F.lit(0)).alias("__before"),
+                           F.sum("__t").over(W.partitionBy(*group)).alias("__n"))
+    inside = W.partitionBy(*group, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = b.withColumn("__r", F.sum("__c").over(inside)).alias("v")
+    same = F.col("v.__b") == F.col("t.__b")
+    for g in group:
+        same = same & F.col(f"v.{g}").eqNullSafe(F.col(f"t.{g}"))
+    return run.join(totals.alias("t"), same).select(
+        *[F.col(f"v.{g}").alias(g) for g in group], "__x", "__c", "__n", (F.col("__r") + F.col("__before")).alias("__upto"))
+
+
 def join_groups(df: DataFrame, per_group: DataFrame, group: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach a table of one row per group (null groups match). The table is
     bounded by the number of groups and is broadcast."""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from raterlens.config import MIN_TRAIN, N_SPLIT_TRIALS, ORDER_DIGITS, ORDER_KEYS, ORDER_RANGE, TEST_FRACTION
 from raterlens.functions.columns import order_digest, order_key, seeded_order
 from raterlens.operators.clean import dense_ids
+from raterlens.operators.distinct import bitmap_distinct
 from raterlens.operators.labels import first_n_per_group
 from raterlens.operators.running import quantiles
 from raterlens.session import cut_lineage
@@ -92,10 +93,9 @@ def evaluate_splits(split_df: DataFrame, min_train: int = MIN_TRAIN, annotator:
     both splits (Jaccard of the two sets) and share of train annotators
     below ``min_train``."""
     s = F.col("split")
-    rows = split_df.agg(
-        F.avg((s == TEST).cast("double")).alias("test_frac_samples"),
-        (F.count_distinct(F.when(s == TEST, F.col(text_id)))
-         / F.count_distinct(F.col(text_id))).alias("test_frac_text_ids"))
+    rows = split_df.agg(F.avg((s == TEST).cast("double")).alias("test_frac_samples"))
+    texts = bitmap_distinct(split_df, {"test": F.when(s == TEST, F.col(text_id)), "every": text_id})
+    rows = _beside(rows, texts.select(F.try_divide("test", "every").alias("test_frac_text_ids")))
     per = annotator_split_counts(split_df, annotator)
     both = (F.col("n_train") > 0) & (F.col("n_test") > 0)
     ann = per.agg(

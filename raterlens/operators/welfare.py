@@ -19,7 +19,6 @@ from raterlens.functions.columns import pct
 from raterlens.operators.combine import group_names, sweep_counts
 from raterlens.operators.metrics import classification_report
 from raterlens.operators.running import join_groups, quantiles
-from raterlens.session import cut_lineage
 
 
 def annotator_welfare(fact: DataFrame, thresholds: Sequence[int] = THRESHOLDS, truth: str = "y",
@@ -53,16 +52,18 @@ def welfare_summary(welfare: DataFrame) -> DataFrame:
     delta = F.col("macro_f1") - F.col("macro_f1_baseline")
     n = F.count(F.lit(1))
     g = ["confidence_threshold"]
-    welfare = cut_lineage(welfare)  # read for the counts and for both medians
     out = welfare.groupBy("confidence_threshold").agg(
         pct(F.count_if(F.col("n_overridden_preds") >= 1), n).alias("perc_annotators_with_overrides"),
         pct(F.count_if(better), n).alias("perc_annotators_improving"),
         pct(F.count_if(worse), n).alias("perc_annotators_getting_worse"),
         n.cast("bigint").alias("n_annotators_total"),
     )
-    for side, name in ((better, "macro_f1_delta_increase_median"), (worse, "macro_f1_delta_decrease_median")):
-        m = quantiles(welfare.filter(side).select(*g, delta.alias("__d")), g, "__d", {name: 0.5})
-        out = join_groups(out, m.withColumn(name, F.bround(name, 2)), g, "left")
+    # both medians in one plan: the sign of the change is a group of its own
+    moved = welfare.filter(better | worse).select(*g, F.signum(delta).alias("__side"), delta.alias("__d"))
+    m = quantiles(moved, [*g, "__side"], "__d", {"__m": 0.5}).groupBy(*g).agg(
+        F.bround(F.max(F.when(F.col("__side") > 0, F.col("__m"))), 2).alias("macro_f1_delta_increase_median"),
+        F.bround(F.max(F.when(F.col("__side") < 0, F.col("__m"))), 2).alias("macro_f1_delta_decrease_median"))
+    out = join_groups(out, m, g, "left")
     return out.select("confidence_threshold", "perc_annotators_with_overrides", "perc_annotators_improving",
                       "perc_annotators_getting_worse", "macro_f1_delta_increase_median",
                       "macro_f1_delta_decrease_median", "n_annotators_total")
@@ -116,7 +117,7 @@ def override_share_median(welfare: DataFrame) -> DataFrame:
     predictions that was overridden, per (threshold, flag)."""
     w = welfare.filter(F.col("n_overridden_preds") >= 1)
     g = ["confidence_threshold", "extreme_annotator"]
-    w = cut_lineage(w.select(*g, (F.col("n_overridden_preds") / F.col("n_preds_total")).alias("__s")))
+    w = w.select(*g, (F.col("n_overridden_preds") / F.col("n_preds_total")).alias("__s"))
     n = w.groupBy(*g).agg(F.count(F.lit(1)).cast("bigint").alias("n_annotators"))
     m = quantiles(w, g, "__s", {"median_frac_overridden_preds": 0.5})
     return join_groups(n, m, g, "left").select(*g, "median_frac_overridden_preds", "n_annotators")

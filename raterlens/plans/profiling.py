@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from raterlens.config import EXTREME_CUT, EXTREME_GAP, MIN_TEST, MIN_TRAIN, ORDER_RANGE
 from raterlens.functions.columns import seeded_order
 from raterlens.operators import annotators as ann
+from raterlens.operators.distinct import distinct_counts
 from raterlens.operators.labels import first_n_per_group
 from raterlens.operators.running import join_groups, quantiles
 from raterlens.plans.base import query
@@ -139,9 +140,10 @@ def describe_annotations(spark, sf):
 def dataset_cardinalities(spark, sf):
     """Global distinct counts (exact)."""
     r = fx.ratings(spark, sf)
-    return r.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("text_id").alias("n_texts"),
-                 F.countDistinct("annotator_id").alias("n_annotators"),
-                 F.countDistinct("worker_id").alias("n_workers"))
+    n = r.agg(F.count(F.lit(1))).scalar()
+    counts = distinct_counts(r, ["text_id", "annotator_id", "worker_id"])
+    return counts.select(n.alias("n_rows"), F.col("text_id").alias("n_texts"), F.col("annotator_id").alias("n_annotators"),
+                         F.col("worker_id").alias("n_workers"))
 
 
 @query("filter_min_annotations", with_views("ratings") + f"""select text_id::bigint text_id,
