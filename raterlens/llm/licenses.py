@@ -10,6 +10,10 @@ the template that the text covers.
 Matches of two words or more only exist where a pair of words occurs in a
 template. So the words of a text are looked up as arrays, and the automaton
 steps only through the runs of such pairs; elsewhere the statistics are 0 or 1.
+
+A text is read in steps of STEP bytes that end where a word ends; state and
+match length go on from step to step. So a very long text costs its bytes (as
+read and folded), the words of one step and its matches, not a list of its words.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlens.llm.common import ascii_words
+from raterlens.llm.common import WORD_TABLE, ascii_words
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -28,19 +32,56 @@ PHRASES = {
     "general public license": "gpl",
 }
 
-# Short public notices of common licences, by label.
+# Public notices and main clauses of common licences, by label.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
             "and associated documentation files, to deal in the Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the Software."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License "
                "is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+               "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+               "Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such "
+               "Derivative Works in Source or Object form."),
+    ("apache", "You must cause any modified files to carry prominent notices stating that You changed the files"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the "
             "GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided "
+            "that you conspicuously and appropriately publish on each copy an appropriate copyright notice"),
+    ("gpl", "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, "
+            "provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice "
+            "and disclaimer of warranty"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the "
+             "GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 "
+             "of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("agpl", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+             "specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("agpl", "if you modify the Program, your modified version must prominently offer all users interacting with it "
+             "remotely through a computer network an opportunity to receive the Corresponding Source of your version"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl", "All distribution of Covered Software in Source Code Form, including any Modifications that You create or "
+            "to which You contribute, must be under the terms of this License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
             "provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+              "software and accompanying documentation covered by this license to use, reproduce, display, distribute, "
+              "execute, and transmit the Software"),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+             "original software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("epl", "The accompanying program is provided under the terms of this Eclipse Public License. Any use, reproduction "
+            "or distribution of the program constitutes recipient's acceptance of this agreement."),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all "
+            "of his or her rights to the work worldwide under copyright law"),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
@@ -48,6 +89,19 @@ TEMPLATES = [
 
 MIN_MATCH = 3     # words of a match that counts as long
 MIN_COVER = 0.6   # covered share of a template that gives its label
+STEP = 1 << 20    # bytes of a text that are split into words at once
+
+
+def word_steps(text: str | None, step: int = STEP):
+    """Words of a text as :func:`ascii_words` gives them, in lists of about
+    ``step`` bytes; a longer word stays whole."""
+    data = text.encode("utf-8", "surrogatepass").translate(WORD_TABLE) if text else b""
+    lo = 0
+    while lo < len(data):
+        hi = data.find(b" ", lo + step)
+        hi = len(data) if hi < 0 else hi
+        yield data[lo:hi].split()
+        lo = hi
 
 
 class Automaton:
@@ -61,7 +115,7 @@ class Automaton:
         self.link, self.length = [-1], [0]
         self.vocab: dict[bytes, int] = {}
         runs = [*self.words, *(list(p) for p, _ in self.phrases)]
-        self.ends: dict[int, list[tuple[int, int]]] = {}  # state of a prefix: (template, last word)
+        ends: dict[int, set[tuple[int, int]]] = {}  # state of a prefix: (template, last word)
         pairs = set()
         for t, run in enumerate(runs):
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in run]
@@ -70,16 +124,14 @@ class Automaton:
             for i, c in enumerate(ids):
                 last = self._extend(last, c)
                 if t < len(templates):
-                    self.ends.setdefault(last, []).append((t, i))
-        n = len(self.vocab)
-        self.pair = np.zeros((n + 1, n + 1), bool)  # the last index: a word of no template
-        for a, b in pairs:
-            self.pair[a, b] = True
-        # occurrences of a state's runs: of the prefixes below it in the link tree
+                    ends.setdefault(last, set()).add((t, i))
+        # pairs of words that occur, as numbers; the index after the last one is a word of no template
+        self.pairs = np.array(sorted(a * (len(self.vocab) + 1) + b for a, b in pairs), np.int64)
+        # occurrences of a state's runs: of the prefixes below it in the link tree. Runs of one word match nothing.
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            if self.link[s] > 0:
-                up = self.ends.setdefault(self.link[s], [])
-                up += [e for e in self.ends.get(s, []) if e not in up]
+            if self.length[self.link[s]] > 1:
+                ends.setdefault(self.link[s], set()).update(ends.get(s, ()))
+        self.ends = {s: sorted(e) for s, e in ends.items()}
         at = {self._walk(p): k for k, (p, _) in enumerate(self.phrases)}
         self.spoken: list[list[int]] = []  # phrases on the path of suffix links
         for s in range(len(self.link)):
@@ -125,57 +177,83 @@ class Automaton:
             link[cur] = q if length[q] == length[p] + 1 else clone(p, q)
         return cur
 
-    def statistics(self, words: list[bytes]):
-        """(position, state, match length) of the words where a match of two
-        words or more ends, in order."""
+    def _pairs_at(self, ids: np.ndarray) -> np.ndarray:
+        """Positions of the words that form a pair with the next one."""
         none = len(self.vocab)
-        if len(words) < 2:
-            return
-        get = self.vocab.get
-        ids = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        hits = np.flatnonzero(self.pair[ids[:-1], ids[1:]])
+        at = np.flatnonzero((ids[:-1] < none) & (ids[1:] < none))
+        code = ids[at] * (none + 1) + ids[at + 1]
+        place = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return at[self.pairs[place] == code] if len(self.pairs) else at[:0]
+
+    def statistics(self, steps):
+        """(position, state, match length) of the words where a match of two
+        words or more ends, in order; ``steps`` are lists of words."""
+        none, get = len(self.vocab), self.vocab.get
         nxt, link, length = self.next, self.link, self.length
         state, n, prev = 0, 0, -2
-        for i in hits.tolist():
-            if i != prev + 1:  # a new run: its first word alone
-                state, n = nxt[0][int(ids[i])], 1
-            prev, c = i, int(ids[i + 1])
-            while state and c not in nxt[state]:
-                state = link[state]
-                n = length[state]
-            state = nxt[state][c]
-            n += 1
-            yield i + 1, state, n
-
-    def scan(self, words: list[bytes], min_match: int = MIN_MATCH):
+        base, before = 0, []  # position of the first of ids; the last word of the step before
+        for words in steps:
+            ids = np.fromiter((*before, *(get(w, none) for w in words)), np.int64)
+            for j in self._pairs_at(ids).tolist():
+                i = base + j
+                if i != prev + 1:  # a new run: its first word alone
+                    state, n = nxt[0][int(ids[j])], 1
+                prev, c = i, int(ids[j + 1])
+                while state and c not in nxt[state]:
+                    state = link[state]
+                    n = length[state]
+                state = nxt[state][c]
+                n += 1
+                yield i + 1, state, n
+            if len(ids):
+                base += len(ids) - 1
+                before = [int(ids[-1])]
+
+    def scan(self, steps, min_match: int = MIN_MATCH):
         """Phrase places [(first word, phrase)] and covered spans by template
         {template: [(first, last template word, first word of the text)]}."""
-        places, longest = [], []
-        for i, s, n in self.statistics(words):
+        places, spans = [], {}
+
+        def ended(i, s, n):
+            for t, last in self.ends.get(s, ()) if n >= min_match else ():
+                if last + 1 >= n:
+                    spans.setdefault(t, []).append((last - n + 1, last, i - n + 1))
+
+        open_match = None
+        for i, s, n in self.statistics(steps):
             for k in self.spoken[s]:
                 size = len(self.phrases[k][0])
                 if size <= n:
                     places.append((i - size + 1, k))
-            if longest and longest[-1][0] == i - 1 and longest[-1][2] + 1 == n:
-                longest[-1] = (i, s, n)  # the match goes on
-            else:
-                longest.append((i, s, n))
-        spans: dict[int, list[tuple[int, int, int]]] = {}
-        for i, s, n in longest:
-            if n >= min_match:
-                for t, last in self.ends.get(s, ()):
-                    if last + 1 >= n:
-                        spans.setdefault(t, []).append((last - n + 1, last, i - n + 1))
-        return places, {t: self._chain(x) for t, x in spans.items()}
+            if open_match and not (open_match[0] == i - 1 and open_match[2] + 1 == n):
+                ended(*open_match)
+            open_match = (i, s, n)  # the longest of a match that goes on
+        if open_match:
+            ended(*open_match)
+        return places, {t: self._cover(x, len(self.words[t])) for t, x in spans.items()}
+
+    def _cover(self, spans, gap: int):
+        """The best chain of a template's matches. Matches further apart in the
+        text than the template is long belong to different copies of it, so
+        that words strewn over a long text cover nothing together."""
+        spans.sort(key=lambda x: (x[2], x[0]))
+        groups, reach = [], None
+        for lo, hi, at in spans:
+            if reach is None or at - reach > gap:
+                groups.append([])
+            groups[-1].append((lo, hi, at))
+            reach = max(reach or 0, at + hi - lo)
+        chains = [self._chain(g) for g in groups]
+        return max(chains, key=lambda c: sum(hi - lo + 1 for lo, hi, _ in c))
 
     @staticmethod
     def _chain(spans):
         """The chain of matches, ascending in text and template, that covers
-        most of the template; overlaps are trimmed. Matches come in text
+        most of the template; overlaps are trimmed. Matches are given in text
         order, and the best chain is kept for each last template word, so the
         work is matches times template words."""
         best: dict[int, tuple[int, tuple | None]] = {}
-        for lo, hi, at in sorted(spans, key=lambda x: (x[2], x[0])):
+        for lo, hi, at in spans:
             size, chain = hi - lo + 1, ((lo, hi, at), None)
             for end, (n, before) in best.items():
                 if end < hi and before[0][2] < at:
@@ -205,8 +283,15 @@ def _scan(templates, phrases, min_match, min_cover):
         for batch in batches:
             out = {f.name: [] for f in _SCHEMA}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = ascii_words(text.as_py())
-                places, spans = sam.scan(words, min_match)
+                n_words = 0
+
+                def counted(steps):
+                    nonlocal n_words
+                    for words in steps:
+                        n_words += len(words)
+                        yield words
+
+                places, spans = sam.scan(counted(word_steps(text.as_py())), min_match)
                 found = []
                 for t, chain in sorted(spans.items()):
                     size = sum(hi - lo + 1 for lo, hi, _ in chain)
@@ -215,7 +300,7 @@ def _scan(templates, phrases, min_match, min_cover):
                 base = {sam.phrases[k][1] for _, k in places}
                 more = {x["label"] for x in found if x["covered"] >= min_cover}
                 starts = [i for i, _ in places]
-                row = (doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None),
+                row = (doc_id, n_words, len(places), min(starts, default=None), max(starts, default=None),
                        ",".join(sorted(base)), ",".join(sorted(base | more)),
                        1.0 if base else max((x["covered"] for x in found), default=0.0), found)
                 for f, v in zip(_SCHEMA, row):
@@ -236,7 +321,8 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, min_match: int =
     comma-joined; '' if none; labels adds the templates covered by at least
     ``min_cover``), score (1 with a base phrase, else the largest covered share
     of a template) and spans (label, first word in the text, covered words and
-    share of each template matched in part).
+    share of each template matched in part: of its best chain, whose matches are
+    no further apart than the template is long).
 
     Null text counts as empty: 0 words. Overlapping and repeated phrases all
     count. Null ids and repeated rows pass through; an empty table gives no rows.
