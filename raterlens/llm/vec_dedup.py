@@ -14,10 +14,11 @@ links from one dense component to another, so the vectors still saturated are
 compared exactly across components: in cells of at most BLOCK, leaving out the
 pairs of cells whose centres are too far apart for their radii.
 
-Inside each component the links are then counted exactly: its vectors meet in
-pairs of blocks, whose matrix product gives, for each vector, the number of
-linked ones. So a clique of any size needs no pair rows, and no list bound
-limits n_links. An audit compares vectors with all others, drawn until
+Inside each component the links are then counted exactly: its vectors form cells
+of at most BLOCK. Two cells so close that every pair of theirs is linked count by
+their sizes, two too far apart not at all; only the others meet as vectors, and
+their matrix product gives, for each vector, the number of linked ones. So a
+clique of any size needs no pair rows, and no list bound limits n_links. An audit compares vectors with all others, drawn until
 AUDIT_LINKED of them have links (or none is left): from those outside the large
 components and from all. Each weighs the same, however many links or copies it
 has. While the recall is below AUDIT_RECALL the descent runs again from other
@@ -140,13 +141,13 @@ def _codes(seed: int, trees: int, n_planes: int):
 
 
 def _count_blocks(threshold: float):
-    """Counts of linked copies and of linked vectors for pairs of blocks of a
-    component. Columns: key, id, side (0, 1 or 2 where both blocks are one),
+    """Counts of linked copies and of linked vectors for pairs of cells of a
+    component. Columns: key, id, side (0, 1 or 2 where both cells are one),
     mult, vec."""
     schema = pa.schema([("u", pa.int64()), ("links", pa.int64()), ("vectors", pa.int64())])
 
     def run(batches):
-        for t in runs(batches):  # a run holds two blocks at most
+        for t in runs(batches):  # a run holds two cells at most
             side = t.column(2).to_numpy()
             ids, mult, x = t.column(1).to_numpy(), t.column(3).to_numpy(), _matrix(t.column(4))
             near = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
@@ -484,21 +485,88 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
         F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def _cell_pairs(threshold: float):
+    """How pairs of cells of a component stand, by the triangle inequality of
+    angles. Columns: key, cell, side, radius, weight (copies), size, centre.
+    Gives a row (a, b, 0, 0) for two cells whose vectors have to be compared,
+    and for a cell the copies and vectors of all cells that lie wholly within
+    the threshold of it (a, a, links, vectors)."""
+    reach, slack = float(np.arccos(np.clip(threshold, -1, 1))), 1e-6
+
+    def run(batches):
+        for t in runs(batches):
+            cell, side, radius, weight, size = (t.column(i).to_numpy() for i in range(1, 6))
+            x = _matrix(t.column(6))
+            for lo in range(0, len(cell), 256):
+                at = slice(lo, lo + 256)
+                apart = np.arccos(np.clip(x[at] @ x.T, -1, 1))
+                span = radius[at, None] + radius[None, :]
+                other = cell[at, None] != cell[None, :]
+                if side[0] != 2:
+                    other &= side[at, None] != side[None, :]
+                inside = other & (apart + span <= reach - slack)
+                meet = other & ~inside & (apart - span <= reach + slack) & (cell[at, None] < cell[None, :])
+                i, j = np.nonzero(meet)
+                near = np.flatnonzero(inside.any(1))
+                none = np.zeros(len(i), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in (
+                        (cell[at][i], cell[at][near]), (cell[j], cell[at][near]),
+                        (none, (inside @ weight)[near]), (none, (inside @ size)[near]))],
+                    names=["a", "b", "links", "vectors"])
+
+    return run
+
+
 def _count(parts: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """Exact numbers of linked copies and linked vectors inside the components
-    (u, links, vectors)."""
+    (u, links, vectors).
+
+    A component of at most BLOCK vectors is one matrix. A larger one is cut into
+    cells in the order of a code; a vector is written once for its own cell and
+    once for each cell that may hold both linked and unlinked ones."""
     n = shuffle_partitions(parts.sparkSession)
-    blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("bigint").alias("blocks"))
-    placed = parts.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    pairs = placed.select("id", "component", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")) \
-        .select("id", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-                F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    rows = pairs.join(vecs, "id").select("key", "id", "side", "mult", "vec")
-    sorted_rows = rows.repartition(n, "key").sortWithinPartitions("key")
-    return cut_lineage(sorted_rows.mapInArrow(_count_blocks(threshold), "u bigint, links bigint, vectors bigint")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = parts.join(sizes.filter(F.col("n") <= BLOCK), "component").join(vecs, "id").select(
+        F.col("component").alias("key"), "id", F.lit(2).alias("side"), "mult", "vec")
+    counted = _multiplied(small, n, threshold)
+    large = cut_lineage(parts.join(sizes.filter(F.col("n") > BLOCK), "component").join(vecs, "id")
+                        .select("component", "id", "mult", "vec"))
+    if large.isEmpty():
+        return cut_lineage(counted)
+    codes = large.select("id", "vec").mapInArrow(_codes(SEED, 1, PLANES), "id bigint, keys array<bigint>")
+    rows = large.join(codes.select("id", F.col("keys")[0].alias("code")), "id")
+    cells = cut_lineage(_block_runs(rows, n, "component", "code", "id").select("component", "id", "vec").mapInArrow(
+        _cells, "cell bigint, component bigint, radius double, centre array<double>, ids array<bigint>"))
+    member = cells.select("cell", F.explode("ids").alias("id"))
+    weights = member.join(vecs.select("id", "mult"), "id").groupBy("cell").agg(F.sum("mult").alias("weight"))
+    groups = cells.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELLS)).cast("bigint").alias("groups"))
+    placed = cells.join(groups, "component").join(weights, "cell") \
+        .withColumn("mine", F.pmod(F.xxhash64("cell"), F.col("groups"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+    stands = placed.select(
+        F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cell",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+        "radius", "weight", F.size("ids").cast("bigint").alias("size"), "centre")
+    stands = cut_lineage(stands.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
+        _cell_pairs(threshold), "a bigint, b bigint, links bigint, vectors bigint"))
+    whole = stands.filter("vectors > 0").groupBy(F.col("a").alias("cell")).agg(
+        F.sum("links").alias("links"), F.sum("vectors").alias("vectors"))
+    whole = member.join(whole, "cell").select(F.col("id").alias("u"), "links", "vectors")
+    sides = stands.filter("vectors = 0").select(F.xxhash64("a", "b").alias("key"), F.posexplode(F.array("a", "b")).alias("side", "cell")) \
+        .union(cells.select(F.xxhash64("cell", "cell").alias("key"), F.lit(2).alias("side"), "cell"))
+    meet = sides.join(member, "cell").join(vecs, "id").select("key", "id", "side", "mult", "vec")
+    return cut_lineage(counted.union(whole).union(_multiplied(meet, n, threshold))
                        .groupBy("u").agg(F.sum("links").alias("links"), F.sum("vectors").alias("vectors")))
 
 
+def _multiplied(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Counts by vector of rows that meet by key."""
+    return rows.repartition(n, "key").sortWithinPartitions("key") \
+        .mapInArrow(_count_blocks(threshold), "u bigint, links bigint, vectors bigint") \
+        .groupBy("u").agg(F.sum("links").alias("links"), F.sum("vectors").alias("vectors"))
+
+
 ORACLE_SQL = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
