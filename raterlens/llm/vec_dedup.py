@@ -4,7 +4,9 @@ Equal vectors are one representative before anything is compared. The
 representatives' neighbour graph starts from blocks of vectors that lie side by
 side in the order of random hyperplane codes, and is refined by joins of
 neighbours of neighbours: every vector's neighbours, forward and reverse, meet
-at it and are compared with each other. Both steps are one kernel: rows sorted
+at it and are compared with each other. Both steps ship vectors of 16-bit
+numbers, a quarter of the bytes; similarities so near the threshold that the
+rounding could decide are computed again in double precision. Both are one kernel: rows sorted
 by a key stream through a task, and runs of a key, cut into blocks of at most
 BLOCK rows, are multiplied as matrices. A vector all of whose list lies above
 the threshold is saturated; its list is enlarged, up to MAX_LIST, and the
@@ -53,9 +55,11 @@ AUDIT_LINKED = 300    # linked vectors to audit, if there are so many
 AUDIT_ENOUGH = 20     # of them show that a recall is far too low
 AUDIT_BATCH = 4096    # vectors drawn at once
 SEED = 5
+SHORT = 32_767        # a component of 1 in a vector of 16-bit numbers
 
 LOG = logging.getLogger(__name__)
 
+CODES = "id bigint, keys array<bigint>, short binary"
 _CAND = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float64())])
 
 
@@ -65,9 +69,22 @@ def _matrix(column) -> np.ndarray:
                       dtype=np.float64).reshape(len(column), -1)
 
 
+def _short_matrix(column) -> np.ndarray:
+    """Column of vectors of 16-bit numbers, of one length, as float32 rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(len(column), -1).astype(np.float32) / np.float32(SHORT)
+
+
+def rounding(size: int) -> float:
+    """Most by which the cosine of two unit vectors of ``size`` components may
+    change when they become 16-bit numbers and are multiplied as float32: each
+    component moves by half a unit, and a sum of ``size`` products rounds."""
+    moved = math.sqrt(size) * 0.5 / SHORT
+    return 2 * moved + moved * moved + (size + 4) * 2.0 ** -23
+
+
 def _compare(block: int):
     """Kernel of the first graph and of the joins. Columns: key, id, k (list
-    length), floor (similarity of the last entry), fresh, vec. Gives each
+    length), floor (similarity of the last entry), fresh, short. Gives each
     member its best k others of the block that beat its floor; where no row of
     the run is fresh there is nothing new to compare."""
 
@@ -79,8 +96,8 @@ def _compare(block: int):
             if n < 2 or not fresh.any():
                 continue
             ids = t.column(1).to_numpy()
-            x = _matrix(t.column(5))
-            sim = x @ x.T
+            x = _short_matrix(t.column(5))
+            sim = (x @ x.T).astype(np.float64)
             sim[ids[:, None] == ids[None, :]] = -2
             sim[~(fresh[:, None] | fresh[None, :])] = -2
             ks, floors = t.column(2).to_numpy(), t.column(3).to_numpy()
@@ -120,22 +137,25 @@ def _first_graph(n: int, threshold: float) -> tuple[int, int]:
 
 
 def _codes(seed: int, trees: int, n_planes: int):
-    """Hyperplane codes of each vector; planes depend on the seed, the tree
-    and the vector's length."""
-    schema = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """Hyperplane codes of each vector and the vector as 16-bit numbers; planes
+    depend on the seed, the tree and the vector's length."""
+    schema = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("short", pa.binary())])
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, codes = batch.column(0).to_numpy(), np.empty((batch.num_rows, trees), np.int64)
+            codes, short = np.empty((batch.num_rows, trees), np.int64), np.empty(batch.num_rows, object)
             sizes = batch.column(1).value_lengths().to_numpy()
             for d in np.unique(sizes):
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).normal(size=(int(d), trees * n_planes))
                 at = np.flatnonzero(sizes == d)
-                bits = (_matrix(batch.column(1).take(pa.array(at))) @ planes[d] > 0).reshape(len(at), trees, n_planes)
+                x = _matrix(batch.column(1).take(pa.array(at)))
+                bits = (x @ planes[d] > 0).reshape(len(at), trees, n_planes)
                 codes[at] = bits @ (1 << np.arange(n_planes, dtype=np.int64)[::-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(codes), pa.list_(pa.int64()))], schema=schema)
+                short[at] = [v.tobytes() for v in np.rint(x * SHORT).astype("<i2")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(codes), pa.list_(pa.int64())), pa.array(short, pa.binary())], schema=schema)
 
     return run
 
@@ -174,15 +194,19 @@ def _lists(entries: DataFrame, size: DataFrame) -> DataFrame:
 def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: int,
              rounds: int) -> tuple[DataFrame, DataFrame]:
     """Entries (u, w) at the threshold of the refined lists, and the vectors
-    (id, code) whose lists are saturated in the end."""
+    (id, code) whose lists are saturated in the end. Inside, an entry counts as
+    linked from the threshold less the rounding of short vectors."""
     spark = vecs.sparkSession
+    slack = rounding(vecs.agg(F.max(F.size("vec"))).first()[0] or 1)
+    exact, threshold = threshold, threshold - slack
     n = shuffle_partitions(spark)
     size = vecs.select("id", F.lit(NEIGHBOURS).alias("k"))
-    codes = cut_lineage(vecs.mapInArrow(_codes(seed, trees, planes), "id bigint, keys array<bigint>"))
-    start = codes.select("id", F.posexplode("keys").alias("tree", "code")).join(vecs, "id").select(
-        (F.col("tree").cast("bigint") * (1 << 32) + F.size("vec")).alias("key"), "id", F.lit(NEIGHBOURS).alias("k"),
-        F.lit(-2.0).alias("floor"), F.lit(True).alias("fresh"), "vec", "code")
-    first = _block_runs(start, n, "key", "code", "id").select("key", "id", "k", "floor", "fresh", "vec") \
+    codes = cut_lineage(vecs.mapInArrow(_codes(seed, trees, planes), CODES))
+    short = codes.select("id", "short")
+    start = codes.select("id", "short", F.posexplode("keys").alias("tree", "code")).select(
+        (F.col("tree").cast("bigint") * (1 << 32) + F.length("short")).alias("key"), "id", "short", "code")
+    first = _block_runs(start, n, "key", "code", "id").select(
+        "key", "id", F.lit(NEIGHBOURS).alias("k"), F.lit(-2.0).alias("floor"), F.lit(True).alias("fresh"), "short") \
         .mapInArrow(_compare(BLOCK), "u bigint, w bigint, sim double")
     lists = cut_lineage(_lists(first.withColumn("fresh", F.lit(True)), size))
     turn = 0
@@ -204,10 +228,10 @@ def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: i
         # members of a hub larger than a block meet in other blocks each round
         active = meet.groupBy("key").agg(F.max("fresh").alias("any"), (F.count(F.lit(1)) > BLOCK).alias("hub")) \
             .filter("any").select("key", "hub")
-        rows = meet.join(active, "key").join(state, "id").join(vecs, "id").select(
-            "key", "id", "k", "floor", (F.col("fresh") | F.col("hub")).alias("fresh"), "vec",
+        rows = meet.join(active, "key").join(state, "id").join(short, "id").select(
+            "key", "id", "k", "floor", (F.col("fresh") | F.col("hub")).alias("fresh"), "short",
             F.when(F.col("hub"), F.xxhash64("id", F.lit(turn))).otherwise(F.col("id")).alias("place"))
-        found = _block_runs(rows, n, "key", "place", "id").select("key", "id", "k", "floor", "fresh", "vec") \
+        found = _block_runs(rows, n, "key", "place", "id").select("key", "id", "k", "floor", "fresh", "short") \
             .mapInArrow(_compare(BLOCK), "u bigint, w bigint, sim double")
         entries = lists.select("u", "w", "sim", F.lit(False).alias("fresh")) \
             .union(found.select("u", "w", "sim", F.lit(True).alias("fresh")))
@@ -223,7 +247,13 @@ def _descend(vecs: DataFrame, threshold: float, seed: int, trees: int, planes: i
             break
     full = codes.join(ends.filter("saturated").select(F.col("u").alias("id")), "id", "left_semi") \
         .select("id", F.col("keys")[0].alias("code"))
-    return lists.filter(F.col("sim") >= threshold).select("u", "w"), cut_lineage(full)
+    sure = lists.filter(F.col("sim") >= exact + slack).select("u", "w")
+    unsure = lists.filter((F.col("sim") >= exact - slack) & (F.col("sim") < exact + slack)) \
+        .select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct() \
+        .join(vecs.select(F.col("id").alias("u"), F.col("vec").alias("x")), "u") \
+        .join(vecs.select(F.col("id").alias("w"), F.col("vec").alias("y")), "w") \
+        .filter(F.expr("aggregate(zip_with(x, y, (a, b) -> a * b), 0D, (s, p) -> s + p)") >= exact).select("u", "w")
+    return sure.union(unsure), cut_lineage(full)
 
 
 def _cells(batches):
@@ -282,7 +312,8 @@ def _bridge(threshold: float):
 def _bridges(full: DataFrame, parts: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """Links (u, w) that join the components of saturated vectors, exactly."""
     n = shuffle_partitions(vecs.sparkSession)
-    rows = full.join(parts, "id").join(vecs, "id").select("component", "id", "vec", "code")
+    rows = full.join(parts, "id", "left").join(vecs, "id").select(
+        F.coalesce("component", "id").alias("component"), "id", "vec", "code")
     cells = cut_lineage(_block_runs(rows, n, "component", "code", "id").select("component", "id", "vec").mapInArrow(
         _cells, "cell bigint, component bigint, radius double, centre array<double>, ids array<bigint>"))
     groups = max(1, math.ceil(cells.count() / CELLS))
@@ -330,7 +361,7 @@ def _exact_links(vecs: DataFrame, parts: DataFrame | None, threshold: float, pla
     compared but those too far apart for their radii. Its cost may grow with
     the square of the vectors; it is the way out where descents fail."""
     n = shuffle_partitions(vecs.sparkSession)
-    codes = vecs.mapInArrow(_codes(SEED, 1, planes), "id bigint, keys array<bigint>")
+    codes = vecs.mapInArrow(_codes(SEED, 1, planes), CODES)
     rows = codes.select("id", F.col("keys")[0].alias("code")).join(vecs, "id") \
         .select(F.size("vec").cast("bigint").alias("key"), "code", "id", "vec")
     cells = cut_lineage(_block_runs(rows, n, "key", "code", "id").select("key", "id", "vec").mapInArrow(
@@ -534,7 +565,7 @@ def _count(parts: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
                         .select("component", "id", "mult", "vec"))
     if large.isEmpty():
         return cut_lineage(counted)
-    codes = large.select("id", "vec").mapInArrow(_codes(SEED, 1, PLANES), "id bigint, keys array<bigint>")
+    codes = large.select("id", "vec").mapInArrow(_codes(SEED, 1, PLANES), CODES)
     rows = large.join(codes.select("id", F.col("keys")[0].alias("code")), "id")
     cells = cut_lineage(_block_runs(rows, n, "component", "code", "id").select("component", "id", "vec").mapInArrow(
         _cells, "cell bigint, component bigint, radius double, centre array<double>, ids array<bigint>"))

@@ -1,6 +1,7 @@
-"""Exact link counts inside components, by cells, against brute force."""
+"""Exact link counts inside components, by cells, and links beside the threshold, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from raterlens.llm import vec_dedup
@@ -59,3 +60,36 @@ def test_only_cells_that_straddle_the_threshold_meet(spark, case, monkeypatch):
     rows.clear()
     vec_dedup._count(parts.filter(f"component = {1600 * 3 - 2000}"), vecs, 0.95)
     assert rows[0] == 0 and rows[1] < 800 * 3
+
+
+def test_rounding_bounds_the_error_of_short_vectors():
+    rng = np.random.default_rng(9)
+    for size in (1, 2, 8, 64, 700, 4096):
+        x = rng.normal(size=(60, size))
+        x[:20] = x[20:40] + rng.normal(size=(20, size)) * 0.01
+        x[40:] = 1.0  # all components alike: the largest error of one sign
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        column = pa.array([np.rint(v * vec_dedup.SHORT).astype("<i2").tobytes() for v in x])
+        short = vec_dedup._short_matrix(column)
+        assert short.shape == x.shape
+        assert np.abs(short @ short.T - x @ x.T).max() <= vec_dedup.rounding(size)
+
+
+def test_links_closer_to_the_threshold_than_the_rounding(spark):
+    """Pairs a little above and a little below 0.95, which 16-bit vectors can't
+    tell apart, are decided in double precision."""
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for k in range(240):
+        a = unit(rng, 24)
+        away = 10.0 ** -(4 + k % 8) * (1 if k % 2 else -1)
+        side = rng.normal(size=24)
+        side -= (side @ a) * a
+        side /= np.linalg.norm(side)
+        b = (0.95 + away) * a + np.sqrt(1 - (0.95 + away) ** 2) * side
+        rows += [(2 * k, a.tolist()), (2 * k + 1, b.tolist())]
+        want += [int(away > 0)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vec_dedup.embedding_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(480)] == want
+    assert [got[i].component_id for i in range(480)] == [i - i % 2 if want[i] else i for i in range(480)]
