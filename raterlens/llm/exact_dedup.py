@@ -157,7 +157,9 @@ def exact_duplicates(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS)
     never wins against a number; a group of nulls alone has a null keep_id and
     all its rows kept. Repeated rows count in group_size and share their fate
     (equal ids cannot be told apart). An empty table gives no rows. Two
-    different texts with one SHA-256 would raise an error, not merge.
+    different texts with one SHA-256 would raise an error, not merge. A very
+    long text costs its task a few times its size; it is shuffled only if
+    its fingerprint isn't alone, or the filter of suspects errs.
     """
     spark = docs.sparkSession
     owners = shuffle_partitions(spark)

@@ -259,7 +259,8 @@ def identify(docs: DataFrame, net: dict | None = None) -> DataFrame:
     A text that is null or has no letter is 'und' with score 0, and so is
     every text if there is nothing to learn from. Ties go to the first label
     in order. Null ids are not held out and are not learnt from; repeated rows
-    get equal answers; an empty table gives no rows.
+    get equal answers; an empty table gives no rows. All windows of a very long
+    text are scored, STEP_BYTES at a time, so memory doesn't grow with them.
     """
     net = train(docs) if net is None else net
     shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed-size tables

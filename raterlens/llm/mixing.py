@@ -62,7 +62,8 @@ def source_mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repe
     without any word has weight 0 and copies 0. Ties of the order are broken
     by doc_id and n_words, so equal rows may differ only from each other. If
     no exponent meets the repetition limit (budget > max_repeat) the natural
-    shares are used. An empty table gives no rows.
+    shares are used. An empty table gives no rows. Of a very long text only the
+    number of its words leaves the task that reads it.
     """
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
     rows = cut_lineage(docs.select(

@@ -211,6 +211,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: dict
     Null and empty texts get the score of a text without features. Null ids
     are not held out and not learnt from; repeated rows and repeated labels
     count once by id; null labels are no labels; an empty table gives no rows.
+    All words of a very long text count; their list costs its task about ten
+    times the text.
     """
     model = train(docs, labels) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES features

@@ -4,11 +4,13 @@ import random
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from raterlens.llm import common, exact_dedup, html_extract, langid, pii, toxicity
+from raterlens.llm import bpe, common, exact_dedup, html_extract, langid, minhash, mixing, pii, toxicity
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -186,3 +188,46 @@ def test_cached_scores_equal_a_plain_sum(spark):
         have = set(toxicity.text_features(t))
         z = model["bias"] + sum(w for f, w in zip(model["features"], model["weights"]) if f in have)
         assert got[i].score == pytest.approx(1 / (1 + np.exp(-z))) and got[i].predicted == (got[i].score >= 0.7)
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """Two copies of a text of two million characters, one whose last 200 words
+    are others, and a short text."""
+    rng = np.random.default_rng(21)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(4000)])
+    many = rng.choice(words, 340_000)
+    near = many.copy()
+    near[-200:] = "zebra"  # only the end tells them apart
+    texts = [" ".join(many), " ".join(many), " ".join(near), "a short text of few words"]
+    assert min(map(len, texts[:3])) > 1_800_000
+    return texts, spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)],
+                                        "doc_id long, text string, lang string, source string").cache()
+
+
+def test_exact_copies_of_very_long_texts(long_texts):
+    _, df = long_texts
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()}
+    assert got == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True), 3: (3, 1, True)}
+
+
+def test_near_copies_of_very_long_texts(long_texts):
+    _, df = long_texts
+    got = {r.doc_id: (r.rep_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {0: (0, 0, True), 1: (0, 0, False), 2: (2, 0, False), 3: (3, 3, True)}
+
+
+def test_tokens_words_and_scores_of_very_long_texts(long_texts):
+    """Nothing is a prefix: the last words count in ids, word counts and scores."""
+    texts, df = long_texts
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(path)
+    got = {r.doc_id: r for r in bpe.encode_decode(df, path).collect()}
+    for i in (0, 2, 3):
+        ids = reference.encode(texts[i], add_special_tokens=False).ids
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids and got[i].decoded == texts[i]
+    mix = {r.doc_id: r.n_words for r in mixing.source_mix(df).collect()}
+    assert mix == {0: 340_000, 1: 340_000, 2: 340_000, 3: 6}
+    model = {"features": [(f, 100) for f in toxicity.word_features(b"zebra")][:1], "weights": np.array([5.0]), "bias": -2.0}
+    scores = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, model=model).collect()}
+    assert scores == {0: 0, 1: 0, 2: 1, 3: 0}
