@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5       # lines
-UNCLOSED_COMMENTS = 100  # more comment starts than this behind the last comment end open one comment to the page's end
 REGION = 0.7      # share of the content that articles or main elements must hold
 WRAPPER, HOLDER = 0.5, 0.25  # share of the text above which a word excludes no element; with an article or h1 inside
 
@@ -96,6 +95,14 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
         self.item = self.title = False
+        self.endless = False  # no comment ends behind the place read
+
+    def parse_comment(self, i, report=1):
+        """The end of an unclosed comment is looked for once, not again for
+        each comment start behind it."""
+        end = -1 if self.endless else super().parse_comment(i, report)
+        self.endless = end < 0
+        return end
 
     def parse_html_declaration(self, i):
         if self.rawdata.startswith("<![", i):  # CDATA and conditional sections: no text
@@ -280,11 +287,10 @@ def main_text(html: str | None) -> str:
     """Blocks of the main text, joined by an empty line ('' if there are none)."""
     if not html:
         return ""
-    at = html.find("<!--", html.rfind("-->") + 1)
-    if html.count("<!--", max(at, 0)) > UNCLOSED_COMMENTS:  # each would be searched to the end of the page
-        html = html[:at]
+    html = _UNFINISHED.sub(r"\g<0>>", html)  # else the parser looks for the end of each from its start
+    at = html.rfind(">") + 1  # comment starts behind it are text, as the parser takes them
     p = _Lines()
-    p.feed(_UNFINISHED.sub(r"\g<0>>", html))  # else the parser looks for the end of each from its start
+    p.feed(html[:at] + html[at:].replace("<!--", "&lt;!--"))
     p.close()
     p.flush()
     lines = _without_marked(p)

@@ -616,3 +616,9 @@ def test_region_holds_the_whole_story():
         assert html_extract.main_text(PAGE % body) == want, body
     for body in (f"<main>{story(*STORY)}</main>{teaser}", f"<div>{story(*STORY)}</div>{teaser}"):
         assert html_extract.main_text(PAGE % body).startswith(want), body
+
+
+def test_main_text_reads_behind_many_comment_starts():
+    """More than a hundred comments, ended by '-- >', once cut the page at the first."""
+    body = f"<article><p>{'The first paragraph. ' * 10}</p>{'<!-- note -- >' * 101}<p>{'The last one. ' * 10}</p></article>"
+    assert html_extract.main_text(PAGE % body).endswith("The last one.")
