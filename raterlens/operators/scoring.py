@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,20 @@ from raterlens.session import cut_lineage
 
 
 def score_with_heads(features: DataFrame, heads: DataFrame, annotator: str = "annotator_id",
-                     features_col: str = "embedding", out: str = "logits") -> DataFrame:
+                     features_col: str = "embedding", out: str = "logits", vectors: DataFrame | None = None,
+                     key: str = "vec_id") -> DataFrame:
     """K1: ``logits[label] = W[annotator][label] . x + b[annotator][label]``.
 
     Equi-join on the annotator: the head table grows with the number of
-    annotators (labels x dim doubles each), so it is not forced into a
-    broadcast; AQE broadcasts it when small and splits a hot annotator's
-    partition otherwise. The dot products are built-in array lambdas."""
+    annotators (labels x dim doubles each), which the planner's estimate of an
+    array column doesn't show, so it is joined by merge, never broadcast; AQE
+    splits a hot annotator's partition. With ``vectors`` (key, features) the
+    rows hold the key alone: they are shuffled without features, which are
+    looked up beside the heads. The dot products are built-in array lambdas."""
     x = F.col(features_col)
-    j = features.join(heads, annotator)
+    j = features.join(heads.hint("merge"), annotator)
+    if vectors is not None:
+        j = j.join(vectors, key)
     logits = F.transform(F.col("weights"), lambda w, i: dot(w, x) + F.col("bias")[i])
     return j.withColumn(out, logits).drop("weights", "bias")
 
@@ -142,14 +149,18 @@ def classifier_optimality(model, train: DataFrame, features_col: str = "embeddin
 
 
 def head_optimality(rows: DataFrame, heads: DataFrame, dim: int, annotator: str = "annotator_id",
-                    features_col: str = "embedding", label: str = "y", l2: float = 1.0) -> DataFrame:
+                    features_col: str = "embedding", label: str = "y", l2: float = 1.0,
+                    vectors: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
     """K5: a certificate of each head: n_rows and the largest component of the
     gradient of its penalised likelihood, recomputed from the rows (0 at the
-    optimum, which is unique)."""
+    optimum, which is unique). ``vectors`` as in :func:`score_with_heads`."""
     w = heads.select(annotator, F.transform("weights", lambda v: v)[1].alias("__w"), F.col("bias")[1].alias("__b"))
     half = [2 * F.col("__w")[i] for i in range(dim)]  # label 1 holds half of the binary head
     sums = _gradient(rows, half, 2 * F.col("__b"), features_col, label)
-    each = rows.join(w, annotator).groupBy(annotator).agg(
+    j = rows.join(w.hint("merge"), annotator)
+    if vectors is not None:
+        j = j.join(vectors, key)
+    each = j.groupBy(annotator).agg(
         F.count(F.lit(1)).alias("n_rows"), F.first("__w").alias("__w"), F.first("__b").alias("__b"),
         *[s.alias(f"__g{i}") for i, s in enumerate(sums)])
     parts = [F.abs(F.col(f"__g{i}") - 2 * l2 * (F.col("__w")[i] if i < dim else F.col("__b"))) for i in range(dim + 1)]
@@ -160,15 +171,19 @@ def head_optimality(rows: DataFrame, heads: DataFrame, dim: int, annotator: str
 
 # Rows of one annotator handled in one group; more are split into parts of this size.
 HEAD_GROUP_ROWS = 4096
+HEAD_TASK_ROWS = 64 * HEAD_GROUP_ROWS  # rows a task sorts by group, in its memory
+HEADS_AT_ONCE = 256     # fits stepped together, one Hessian each
 HEAD_TOLERANCE = 1e-8   # largest change of a weight at which a fit has converged
 HEAD_MAX_STEPS = 100    # a fit that has not converged by then says so
 
 _STATS_SCHEMA = "annotator_id bigint, grad array<double>, hess array<double>, w array<double>, n bigint"
 _HEAD_SCHEMA = "annotator_id bigint, w array<double>, n_rows bigint, steps int, converged boolean"
+_HEADS = pa.schema([("annotator_id", pa.int64()), ("w", pa.list_(pa.float64())), ("n_rows", pa.int64()),
+                    ("steps", pa.int32()), ("converged", pa.bool_())])
 
 
 def _design(pdf: pd.DataFrame) -> np.ndarray:
-    x = np.stack(pdf["x"].to_numpy())
+    x = np.stack(pdf["x"].to_numpy()).astype(float)
     return np.hstack([x, np.ones((len(x), 1))])
 
 
@@ -182,17 +197,51 @@ def _step(g, h, w, l2):
     return np.linalg.solve(h + l2 * np.eye(len(w)), g - l2 * w)
 
 
-def _fit_group(l2: float):
-    """All Newton steps of one annotator whose rows fit a group."""
+def _newton(x: np.ndarray, y: np.ndarray, real: np.ndarray, l2: float):
+    """Fits of several annotators at once: weights, steps, converged. ``x`` is
+    (annotator, row, weight); ``real`` is 0 for rows that only fill up."""
+    count, _, size = x.shape
+    w, steps, moved = np.zeros((count, size)), np.zeros(count, int), np.full(count, np.inf)
+    ridge = l2 * np.eye(size)
+    moving = np.arange(count)
+    while len(moving):
+        a, v = x[moving], w[moving]
+        p = 1.0 / (1.0 + np.exp(-(a @ v[:, :, None])[:, :, 0]))
+        at = a.transpose(0, 2, 1)
+        g = (at @ ((y[moving] - p) * real[moving])[:, :, None])[:, :, 0]
+        h = at @ (a * (p * (1.0 - p) * real[moving])[:, :, None])
+        d = np.linalg.solve(h + ridge, (g - l2 * v)[:, :, None])[:, :, 0]
+        w[moving], moved[moving] = v + d, np.abs(d).max(axis=1)
+        steps[moving] += 1
+        moving = moving[(moved[moving] > HEAD_TOLERANCE) & (steps[moving] < HEAD_MAX_STEPS)]
+    return w, steps, moved <= HEAD_TOLERANCE
+
 
-    def fit(key, pdf):
-        x, y = _design(pdf), pdf["y"].to_numpy(dtype=float)
-        w, steps, moved = np.zeros(x.shape[1]), 0, np.inf
-        while moved > HEAD_TOLERANCE and steps < HEAD_MAX_STEPS:
-            d = _step(*_statistics(x, y, w), w, l2)
-            w, steps, moved = w + d, steps + 1, float(np.abs(d).max())
-        return pd.DataFrame({"annotator_id": [int(key[0])], "w": [w.tolist()], "n_rows": [len(x)],
-                             "steps": [steps], "converged": [moved <= HEAD_TOLERANCE]})
+def _fit_group(l2: float):
+    """All Newton steps of the annotators of a group, those of like row
+    numbers together."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        vectors = table["x"].combine_chunks()
+        sizes = set(pc.unique(pc.list_value_length(vectors)).to_pylist())
+        if len(sizes) != 1 or None in sizes:
+            raise ValueError(f"fit_annotator_heads: features of lengths {sizes}")
+        ids, y = table["annotator_id"].to_numpy(), table["y"].to_numpy()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+        x = np.hstack([x, np.ones((len(x), 1))])
+        order = np.argsort(ids, kind="stable")
+        found, starts, counts = np.unique(ids[order], return_index=True, return_counts=True)
+        out = []
+        like = np.ceil(np.log2(counts)).astype(int)  # filled up to at most twice the rows
+        for kind in np.unique(like):
+            same = np.flatnonzero(like == kind)
+            for some in np.array_split(same, -(-len(same) // HEADS_AT_ONCE)):
+                place = np.arange(counts[some].max())
+                real = place < counts[some][:, None]
+                rows = order[starts[some][:, None] + np.where(real, place, 0)]
+                w, steps, converged = _newton(x[rows], y[rows], real.astype(float), l2)
+                out += zip(found[some].tolist(), w.tolist(), counts[some].tolist(), steps.tolist(), converged.tolist())
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _HEADS)], schema=_HEADS)
 
     return fit
 
@@ -217,16 +266,19 @@ def _combine_parts(l2: float, steps: int):
 
 
 def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_id", features_col: str = "embedding",
-                        label: str = "y", l2: float = 1.0, group_rows: int = HEAD_GROUP_ROWS) -> DataFrame:
+                        label: str = "y", l2: float = 1.0, group_rows: int = HEAD_GROUP_ROWS,
+                        vectors: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
     """K5: one binary logistic head per annotator on frozen features, fitted
     by Newton steps (L2-regularised) until the weights stand still.
 
-    An annotator of at most ``group_rows`` rows is one group and is fitted
-    whole: one shuffle of the rows, no passes. A more prolific one is split
+    An annotator of at most ``group_rows`` rows is fitted whole, in a group
+    with others that hold about as many rows together: one shuffle of the
+    rows, no passes. A more prolific one is split
     into parts of about that size; each pass reduces a part to one (gradient,
     Hessian) record, combines an annotator's records and takes a step, and only
     heads that still move enter the next pass. The heads of a pass are written
-    to the shared checkpoint folder.
+    to the shared checkpoint folder. With ``vectors`` (key, features) the rows
+    hold the key alone, and features are looked up behind the shuffle.
 
     Output: (annotator_id, weights array<array<double>>, bias array<double>,
     n_rows, steps, converged) in the two-label softmax form of
@@ -234,18 +286,31 @@ def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_i
     label 1 the positive half).
     """
     d1 = dim + 1
-    data = cut_lineage(rows.select(F.col(annotator).cast("bigint").alias("annotator_id"),
-                                   F.col(features_col).cast("array<double>").alias("x"),
+    spark = rows.sparkSession
+    held = features_col if vectors is None else key
+    data = cut_lineage(rows.select(F.col(annotator).cast("bigint").alias("annotator_id"), F.col(held).alias("x"),
                                    F.col(label).cast("double").alias("y"),
                                    F.monotonically_increasing_id().alias("__row")))
+    found = None if vectors is None else vectors.select(F.col(key).alias("__key"), F.col(features_col).alias("__x"))
+
+    def with_features(part):
+        if found is None:
+            return part
+        return part.join(found, F.col("x") == F.col("__key")).drop("x", "__key").withColumnRenamed("__x", "x")
+
+    if found is not None:  # rows without a vector are no rows of a head
+        data = data.join(found.select("__key"), F.col("x") == F.col("__key"), "left_semi")
+    n = data.count()
     counts = cut_lineage(data.groupBy("annotator_id").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("bigint").alias("__parts")))
     one = counts.filter("__parts = 1").select("annotator_id")
-    heads = data.join(one, "annotator_id", "left_semi").drop("__row").groupBy("annotator_id").applyInPandas(
-        _fit_group(l2), _HEAD_SCHEMA)
+    tasks = max(spark.sparkContext.defaultParallelism, n // HEAD_TASK_ROWS)
+    grouped = data.join(one, "annotator_id", "left_semi").select(
+        "annotator_id", "x", "y", F.pmod(F.xxhash64("annotator_id"), F.lit(n // group_rows + 1)).alias("group"))
+    heads = with_features(grouped.repartition(tasks, "group")).groupBy("group").applyInArrow(_fit_group(l2), _HEAD_SCHEMA)
     several = counts.filter("__parts > 1")
     if not several.isEmpty():
-        split = cut_lineage(data.join(several, "annotator_id").select(
+        split = cut_lineage(with_features(data.join(several, "annotator_id")).select(
             "annotator_id", "x", "y", F.pmod(F.xxhash64("__row"), F.col("__parts")).alias("part")))
         moving = several.select("annotator_id", F.array_repeat(F.lit(0.0), d1).alias("w"))
         for step in range(1, HEAD_MAX_STEPS + 1):

@@ -20,8 +20,8 @@ DIM = 64
 
 
 def _scored(spark, sf, test_only=False):
-    feats = fx.embedded_ratings(spark, sf, test_only)
-    return sc.score_with_heads(feats, fx.head_weights(spark, sf, DIM))
+    rows, vectors = fx.vector_keys(spark, sf, fx.test_ratings(spark, sf) if test_only else fx.ratings(spark, sf))
+    return sc.score_with_heads(rows, fx.head_weights(spark, sf, DIM), vectors=vectors)
 
 
 def _score_ctes(rows: str) -> str:
@@ -128,10 +128,7 @@ def majority_classifier_optimality(spark, sf):
 
 
 def _head_rows(spark, sf):
-    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
-    n = e.agg(F.count(F.lit(1))).scalar()
-    r = fx.train_ratings(spark, sf).select("text_id", "annotator_id", "y")
-    return r.withColumn("vec_id", F.col("text_id") % n).join(e, "vec_id")
+    return fx.vector_keys(spark, sf, fx.train_ratings(spark, sf))
 
 
 @query("annotator_heads_optimality", with_views("train_ratings") + """select annotator_id::bigint annotator_id,
@@ -139,8 +136,9 @@ def _head_rows(spark, sf):
 def annotator_heads_optimality(spark, sf):
     """K5: each head's certificate: the gradient of its penalised likelihood
     over the annotator's rows, recomputed, vanishes."""
-    rows = _head_rows(spark, sf)
-    c = sc.head_optimality(rows, sc.fit_annotator_heads(rows, DIM), DIM)
+    rows, vectors = _head_rows(spark, sf)
+    heads = sc.fit_annotator_heads(rows, DIM, vectors=vectors)
+    c = sc.head_optimality(rows, heads, DIM, vectors=vectors)
     return c.select("annotator_id", "n_rows", (F.col("gradient") <= OPTIMAL_HEAD).alias("optimal"))
 
 
@@ -157,6 +155,7 @@ def majority_classifier(spark, sf):
 def fit_annotator_heads(spark, sf):
     """K5: one logistic head per annotator fitted on the train ratings'
     frozen features; output in the head-table form scored by K1."""
-    heads = sc.fit_annotator_heads(_head_rows(spark, sf), DIM)
+    rows, vectors = _head_rows(spark, sf)
+    heads = sc.fit_annotator_heads(rows, DIM, vectors=vectors)
     return heads.select("annotator_id", F.col("weights")[1].alias("w_positive"),
                         F.col("bias")[1].alias("b_positive"), "n_rows", "steps", "converged")

@@ -1,6 +1,7 @@
 """Positional join, key guards, head scoring and head fitting."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,48 @@ def test_repeated_keys_on_a_right_side_fail(spark):
     preds = spark.createDataFrame([(1, 1, 80.0), (1, 0, 70.0)], "text_id long, prediction int, confidence_score double")
     with pytest.raises(Exception, match="repeated key"):
         combine.assemble_eval_fact(rows, preds, twice.limit(1)).collect()
+
+
+def _rated_vectors(spark, n_annotators=3):
+    rows = [(a, t, t % 4, (a * t) % 2) for a in range(n_annotators) for t in range(8 + a)]
+    vectors = [(v, [float(v), 1.0 - v]) for v in range(4)]
+    return (spark.createDataFrame(rows, "annotator_id long, text_id long, vec_id long, y int"),
+            spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+
+
+def test_heads_are_not_broadcast(spark):
+    """However small the planner thinks the array columns: a broadcast of a
+    large head table ends the job."""
+    rows, vectors = _rated_vectors(spark)
+    heads = spark.range(3).select(F.col("id").alias("annotator_id"), F.expr(
+        "array(array(1D, 0D), array(0D, cast(id as double)))").alias("weights"), F.expr("array(0D, 1D)").alias("bias"))
+    scored = sc.score_with_heads(rows, heads, vectors=vectors)
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [annotator_id" in plan
+    for r in scored.collect():
+        x = r["vec_id"], 1.0 - r["vec_id"]
+        assert r["logits"] == [x[0], 1.0 + r["annotator_id"] * x[1]]
+
+
+def test_heads_fitted_by_key_equal_those_of_joined_rows(spark):
+    rows, vectors = _rated_vectors(spark, 5)
+    wide = {r["annotator_id"]: r for r in sc.fit_annotator_heads(rows.join(vectors, "vec_id"), dim=2).collect()}
+    keyed = {r["annotator_id"]: r for r in sc.fit_annotator_heads(rows, dim=2, vectors=vectors).collect()}
+    assert wide.keys() == keyed.keys() and len(keyed) == 5
+    for a, r in keyed.items():
+        assert r["converged"] and r["n_rows"] == 8 + a
+        assert np.allclose(r["weights"], wide[a]["weights"], atol=1e-9)
+        assert np.allclose(r["bias"], wide[a]["bias"], atol=1e-9)
+
+
+def test_annotators_share_a_group(spark, monkeypatch):
+    """A call of the fit for every annotator made the time; groups hold many."""
+    rows, vectors = _rated_vectors(spark, 40)
+    grouped = []
+    real = sc._fit_group
+    monkeypatch.setattr(sc, "_fit_group", lambda l2: grouped.append(l2) or real(l2))
+    heads = sc.fit_annotator_heads(rows, dim=2, vectors=vectors).collect()
+    assert grouped == [1.0] and len(heads) == 40
+    table = pa.table({"annotator_id": [1, 2, 1], "x": [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]], "y": [1.0, 0.0, 0.0]})
+    out = real(1.0)(table).to_pylist()
+    assert sorted((r["annotator_id"], r["n_rows"], r["converged"]) for r in out) == [(1, 2, True), (2, 1, True)]
