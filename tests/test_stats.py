@@ -61,3 +61,32 @@ def test_bootstrap_of_cells_has_the_spread_of_the_mean(spark):
     assert Counter(r.g for r in st.mean_with_ci(d, ["g"], "v", 400, 5).collect()) == Counter(got.keys())
     (whole,) = st.mean_with_ci(d, [], "v", replicates=40).collect()
     assert whole.n == 2 * n + 1
+
+
+def test_bootstrap_of_rows_draws_by_key(spark):
+    """Every row's weight comes from its key, also where values are equal
+    (cells drew once for all of them); against a plain computation, with
+    repeated keys and a null group."""
+    import hashlib
+
+    import numpy as np
+
+    reps, seed = 30, 3
+    rows = [(g, k % 40, [0.25, 0.5, 1.0][k % 3]) for g in ("a", None) for k in range(60)] + [("a", 7, None)]
+    d = spark.createDataFrame(rows, "g string, k long, v double").repartition(3)
+    got = {r.g: r for r in st.mean_with_ci(d, ["g"], "v", replicates=reps, seed=seed, key="k").collect()}
+
+    def weight(k, s):
+        order = int(hashlib.sha256(f"{k}_{s // 4}".encode()).hexdigest()[16 * (s % 4):][:13], 16)
+        return sum(order / 16 ** 13 >= c for c in st.POISSON1_CDF)
+
+    for g in ("a", None):
+        mine = [(k, v) for h, k, v in rows if h == g and v is not None]
+        means = []
+        for s in range(seed * reps, seed * reps + reps):
+            w = [weight(k, s) for k, _ in mine]
+            means.append(sum(a * v for a, (_, v) in zip(w, mine)) / sum(w))
+        assert (got[g].n, got[g].mean) == (60, pytest.approx(sum(v for _, v in mine) / 60))
+        assert (got[g].ci_low, got[g].ci_high) == tuple(pytest.approx(q) for q in np.quantile(means, [0.025, 0.975]))
+    (whole,) = st.mean_with_ci(d, [], "v", replicates=10, key="k").collect()
+    assert whole.n == 120
