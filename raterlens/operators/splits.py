@@ -30,7 +30,7 @@ from raterlens.operators.clean import dense_ids
 from raterlens.operators.distinct import bitmap_distinct
 from raterlens.operators.labels import first_n_per_group
 from raterlens.operators.running import quantiles
-from raterlens.session import cut_lineage
+from raterlens.session import ROWS_A_TASK, cut_lineage
 
 TRAIN, TEST = "train", "test"
 
@@ -271,10 +271,10 @@ def split_trials(ratings: DataFrame, n_trials: int = N_SPLIT_TRIALS, fraction: f
     Plan: the trials' cut-offs come from one pass over the distinct texts
     (:func:`_trial_cutoffs`); each text becomes one row with 64-bit masks of
     the trials in which it is test, so no (text x trial) row is shuffled. The
-    masks are joined to the (text, annotator) pairs and a single aggregation
-    per annotator sums the bits - one SUM per trial - so the map side combines
-    each annotator's rows before the shuffle (a prolific annotator is spread
-    over many tasks) and no (rating x trial) row is ever materialised.
+    masks are joined to the (text, annotator) pairs, these are dealt by
+    annotator and a single aggregation sums the bits - one SUM per trial - as
+    they stream by: no (rating x trial) row is ever materialised and no sums
+    are shuffled (those of an annotator are larger than its masks).
     Train counts are the annotator's total minus its test count.
 
     ``objective="total"`` maximises kept train + test rows (the stated
@@ -291,7 +291,9 @@ def _score_trials(ratings: DataFrame, texts: DataFrame, cutoffs: dict, n_trials:
                   min_train: int, objective: str, annotator: str, text_id: str) -> DataFrame:
     pairs = ratings.select(annotator, text_id)
     masks = _trial_masks(texts, text_id, cutoffs, n_trials, seed)
-    r = pairs.join(masks, text_id, "left")
+    # one row an annotator and 100 sums are larger than its ratings: dealt by annotator before they are summed
+    r = pairs.join(masks, text_id, "left").drop(text_id)
+    r = r.repartition(max(ratings.sparkSession.sparkContext.defaultParallelism, -(-ratings.count() // ROWS_A_TASK)), annotator)
 
     def bit(i):
         m = F.coalesce(F.col(f"__m{i // 64}"), F.lit(0).cast("bigint"))
