@@ -7,6 +7,7 @@ from raterlens.operators import annotators as ann
 from raterlens.operators import clean
 from raterlens.operators import splits as sp
 from raterlens.operators import welfare as wf
+from raterlens.sources import fixtures as fx
 
 
 def _plan(df):
@@ -63,3 +64,22 @@ def test_trial_sums_are_not_shuffled(spark):
         sp.cut_lineage = real
     (plan,) = seen
     assert plan.count("Exchange hashpartitioning(annotator_id") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_stored_inputs_are_joined_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Where the right side is too large to be broadcast, tasks grow with the rows all the same."""
+    sf, n = str(tmp_path), F.col("id")
+    spark.range(400).select((n % 100).alias("l_orderkey"), (n % 150).alias("l_partkey"), (n % 50 + 1.0).alias("l_quantity"),
+                            F.lit("A").alias("l_returnflag")).write.parquet(f"{sf}/lineitem.parquet")
+    spark.range(100).select(n.alias("o_orderkey"), (n % 30).alias("o_custkey")).write.parquet(f"{sf}/orders.parquet")
+    spark.range(150).select(n.alias("p_partkey"), F.lit("p").alias("p_name")).write.parquet(f"{sf}/part.parquet")
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "-1")
+    try:
+        raw, kept = fx.ratings_raw(spark, sf), fx.ratings(spark, sf)
+    finally:
+        spark.conf.unset(key)
+    assert raw.count() == 400 and len(raw.inputFiles()) > 30 and len(kept.inputFiles()) > 30
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
