@@ -150,28 +150,126 @@ def classifier_optimality(model, train: DataFrame, features_col: str = "embeddin
 
 def head_optimality(rows: DataFrame, heads: DataFrame, dim: int, annotator: str = "annotator_id",
                     features_col: str = "embedding", label: str = "y", l2: float = 1.0,
-                    vectors: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
+                    vectors: DataFrame | None = None, key: str = "vec_id", group_rows: int | None = None) -> DataFrame:
     """K5: a certificate of each head: n_rows and the largest component of the
     gradient of its penalised likelihood, recomputed from the rows (0 at the
-    optimum, which is unique). ``vectors`` as in :func:`score_with_heads`."""
+    optimum, which is unique).
+
+    With ``vectors`` (key, features) the rows hold the key alone. They are dealt
+    by annotator (of more than ``group_rows`` rows: by parts of one), and a task
+    gets each head and each vector of its rows once, so neither travels with the
+    rows. A task sums its annotators' gradients; only those of parts are summed
+    again behind it."""
+    if vectors is not None:
+        return _dealt_optimality(rows, heads, dim, annotator, features_col, label, l2, vectors, key,
+                                 group_rows or HEAD_GROUP_ROWS)
     w = heads.select(annotator, F.transform("weights", lambda v: v)[1].alias("__w"), F.col("bias")[1].alias("__b"))
     half = [2 * F.col("__w")[i] for i in range(dim)]  # label 1 holds half of the binary head
     sums = _gradient(rows, half, 2 * F.col("__b"), features_col, label)
-    j = rows.join(w.hint("merge"), annotator)
-    if vectors is not None:
-        j = j.join(vectors, key)
-    each = j.groupBy(annotator).agg(
+    each = rows.join(w.hint("merge"), annotator).groupBy(annotator).agg(
         F.count(F.lit(1)).alias("n_rows"), F.first("__w").alias("__w"), F.first("__b").alias("__b"),
         *[s.alias(f"__g{i}") for i, s in enumerate(sums)])
     parts = [F.abs(F.col(f"__g{i}") - 2 * l2 * (F.col("__w")[i] if i < dim else F.col("__b"))) for i in range(dim + 1)]
     return each.select(annotator, "n_rows", F.greatest(*parts).alias("gradient"))
 
 
+_GRADIENT_SCHEMA = "annotator_id bigint, n_rows bigint, gradient double, sums array<double>, w array<double>"
+_GRADIENTS = pa.schema([("annotator_id", pa.int64()), ("n_rows", pa.int64()), ("gradient", pa.float64()),
+                        ("sums", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+
+
+def _dealt_optimality(rows, heads, dim, annotator, features_col, label, l2, vectors, key, group_rows) -> DataFrame:
+    data = rows.select(F.col(annotator).cast("bigint").alias("annotator_id"), F.col(key).alias("x"),
+                       F.col(label).cast("double").alias("y")).dropna(subset=["annotator_id", "x"])
+    twice = F.transform(F.concat(F.col("weights")[1], F.array(F.col("bias")[1])), lambda v: 2 * v)
+    held = heads.select(F.col(annotator).cast("bigint").alias("annotator_id"), twice.alias("w"))
+    sizes = (heads.select(F.col(annotator).cast("bigint").alias("annotator_id"), "n_rows") if "n_rows" in heads.columns
+             else data.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n_rows")))
+    several = cut_lineage(sizes.filter(F.col("n_rows") > group_rows).groupBy("annotator_id").agg(
+        F.ceil(F.max("n_rows") / F.lit(group_rows)).cast("bigint").alias("parts")))
+    tasks = _head_tasks(data, vectors, dim)
+    split = not several.isEmpty()
+
+    def deal(part):
+        return F.pmod(F.xxhash64("annotator_id", part), F.lit(tasks))
+
+    first = F.lit(0).cast("bigint")
+    if split:  # a row's part is drawn once
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+        data = cut_lineage(data.join(several, "annotator_id", "left").withColumn("part", part).select(
+            "annotator_id", "x", "y", deal(F.col("part")).alias("deal")))
+        every = F.sequence(first, F.coalesce("parts", F.lit(1)) - 1)
+        held = held.join(several, "annotator_id", "left").select(
+            "annotator_id", "w", F.coalesce(F.col("parts") > 1, F.lit(False)).alias("split"),
+            F.explode(F.array_distinct(F.transform(every, deal))).alias("deal"))
+    else:
+        data = data.withColumn("deal", deal(first))
+        held = held.select("annotator_id", "w", F.lit(False).alias("split"), deal(first).alias("deal"))
+
+    def whole(array):  # one that holds a null gives no gradient
+        return F.when(~F.exists(array, lambda v: v.isNull()), F.col(array)).alias(array)
+
+    side = _vectors_of(data, vectors, key, features_col).select("deal", "key", whole("vector")).unionByName(
+        held.select("deal", F.col("annotator_id").alias("head"), whole("w"), "split"), allowMissingColumns=True)
+    found = _cogroup(data, side, tasks).applyInArrow(_sum_gradients(dim, l2), _GRADIENT_SCHEMA)
+    if split:
+        found = cut_lineage(found)
+        parts = [F.abs(F.sum(F.col("sums")[i]) - l2 * F.first("w")[i]) for i in range(dim + 1)]
+        summed = found.filter("w IS NOT NULL").groupBy("annotator_id").agg(
+            F.sum("n_rows").alias("n_rows"), F.greatest(*parts).alias("gradient"))
+        found = found.filter("w IS NULL").select("annotator_id", "n_rows", "gradient").unionByName(summed)
+    return found.select(F.col("annotator_id").alias(annotator), "n_rows", "gradient")
+
+
+def _sum_gradients(dim: int, l2: float):
+    """Gradients of a task's annotators: of a whole one the largest component,
+    of one in parts the sums and the head."""
+
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        heads = side.filter(pc.is_valid(side["head"]))
+        vectors = side.filter(pc.is_valid(side["key"]))
+        row, at = _matches(vectors["key"], rows["x"])
+        mine, head = _matches(heads["head"], rows["annotator_id"].take(pa.array(row)))
+        row, at = row[mine], at[mine]
+        v, has_v = _matrix(vectors["vector"], dim)
+        w, has_w = _matrix(heads["w"], dim + 1)
+        ids, y = rows["annotator_id"].to_numpy()[row], rows["y"].to_numpy()[row]
+        real = has_v[at] & has_w[head] & rows["y"].is_valid().to_numpy()[row]
+        order = np.argsort(ids, kind="stable")
+        found, starts, counts = np.unique(ids[order], return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(found)), counts)
+        sums, used = np.zeros((len(found), dim + 1)), np.zeros(len(found), np.int64)
+        for lo in range(0, len(order), HEAD_CHUNK_ROWS):
+            some = order[lo:lo + HEAD_CHUNK_ROWS]
+            to = place[lo:lo + HEAD_CHUNK_ROWS][real[some]]
+            some = some[real[some]]
+            if not len(some):
+                continue
+            x, theta = v[at[some]].astype(float), w[head[some]]
+            x = np.hstack([x, np.ones((len(x), 1))])
+            with np.errstate(over="ignore"):
+                residual = y[some] - 1.0 / (1.0 + np.exp(-np.einsum("ij,ij->i", x, theta)))
+            whose, border = np.unique(to, return_index=True)
+            sums[whose] += np.add.reduceat(x * residual[:, None], border, axis=0)
+            used[whose] += np.diff([*border, len(to)])
+        own, none = head[order[starts]], used == 0
+        theta, parts = w[own], np.array(heads["split"].to_pylist(), bool)[own]
+        gradient = np.abs(sums - l2 * theta).max(axis=1)
+        return pa.table([pa.array(found, pa.int64()), pa.array(counts, pa.int64()),
+                         pa.array(gradient, pa.float64(), mask=none | parts),
+                         pa.array([s if p and not n else None for s, p, n in zip(sums, parts, none)], _GRADIENTS[3].type),
+                         pa.array([t if p else None for t, p in zip(theta, parts)], _GRADIENTS[4].type)], schema=_GRADIENTS)
+
+    return run
+
+
 # --- per-annotator heads (K5) -----------------------------------------------
 
 # Rows of one annotator handled in one group; more are split into parts of this size.
 HEAD_GROUP_ROWS = 4096
-HEAD_TASK_ROWS = 64 * HEAD_GROUP_ROWS  # rows a task sorts by group, in its memory
+HEAD_TASK_ROWS = 64 * HEAD_GROUP_ROWS  # rows a task holds with their vectors
+HEAD_TASK_NUMBERS = 1 << 24  # where all vectors are of so few numbers, a task holds more rows
+HEAD_CHUNK_ROWS = 4 * HEAD_GROUP_ROWS  # rows whose vectors are taken in double precision at once
 HEADS_AT_ONCE = 256     # fits stepped together, one Hessian each
 HEAD_TOLERANCE = 1e-8   # largest change of a weight at which a fit has converged
 HEAD_MAX_STEPS = 100    # a fit that has not converged by then says so
@@ -182,6 +280,50 @@ _HEADS = pa.schema([("annotator_id", pa.int64()), ("w", pa.list_(pa.float64())),
                     ("steps", pa.int32()), ("converged", pa.bool_())])
 
 
+def _head_tasks(rows: DataFrame, vectors: DataFrame, dim: int) -> int:
+    """Tasks over which annotators are dealt: the larger they are, the fewer
+    copies of a vector are moved."""
+    size = HEAD_TASK_ROWS * (4 if vectors.count() * dim <= HEAD_TASK_NUMBERS else 1)
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // size))
+
+
+def _vectors_of(dealt: DataFrame, vectors: DataFrame, key: str, features_col: str) -> DataFrame:
+    """(deal, key, vector): the vectors of each deal's rows, each once a deal
+    (a repeated key has all of its vectors)."""
+    found = vectors.select(F.col(key).alias("key"), F.col(features_col).alias("vector"))
+    needed = dealt.select(F.col("deal").alias("deal"), F.col("x").alias("key")).distinct()
+    return needed.join(found, "key")
+
+
+def _cogroup(rows: DataFrame, side: DataFrame, tasks: int):
+    rows, side = (d.repartition(2 * tasks, "deal").groupBy("deal") for d in (rows, side))  # few deals share a task
+    return rows.cogroup(side)
+
+
+def _matches(keys, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an inner join, in the order of ``wanted``: positions in
+    ``wanted`` and in ``keys``."""
+    keys, wanted = keys.to_numpy(), wanted.to_numpy()
+    order = np.argsort(keys, kind="stable")
+    lo, hi = (np.searchsorted(keys[order], wanted, side) for side in ("left", "right"))
+    row = np.repeat(np.arange(len(wanted)), hi - lo)
+    return row, order[np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)]
+
+
+def _matrix(lists, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``width`` numbers of every list, and whether there is one."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    has = lists.is_valid().to_numpy(zero_copy_only=False)
+    sizes = set(pc.unique(pc.list_value_length(lists.drop_null())).to_pylist())
+    if len(sizes) > 1 or sizes and min(sizes) < width:
+        raise ValueError(f"head_optimality: features of lengths {sizes}, {width} expected")
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(has), width), flat.dtype if len(flat) else float)
+    if len(flat):
+        out[has] = flat.reshape(-1, *sizes)[:, :width]
+    return out, has
+
+
 def _design(pdf: pd.DataFrame) -> np.ndarray:
     x = np.stack(pdf["x"].to_numpy()).astype(float)
     return np.hstack([x, np.ones((len(x), 1))])
@@ -246,6 +388,26 @@ def _fit_group(l2: float):
     return fit
 
 
+def _fit_looked_up(fit):
+    """``fit`` for a task's rows that hold the keys of their vectors: whole
+    annotators at once, about HEAD_CHUNK_ROWS rows."""
+
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        row, at = _matches(side["key"], rows["x"])
+        ids, vectors = rows["annotator_id"].to_numpy()[row], side["vector"].combine_chunks()
+        order = np.argsort(ids, kind="stable")
+        starts = np.unique(ids[order], return_index=True)[1]
+        cuts = np.flatnonzero(np.diff(starts // HEAD_CHUNK_ROWS, prepend=-1))
+        out = [_HEADS.empty_table()]
+        for some in np.split(order, starts[cuts[1:]]) if len(order) else []:
+            part = rows.take(pa.array(row[some]))
+            out.append(fit(pa.table({"annotator_id": part["annotator_id"], "x": vectors.take(pa.array(at[some])),
+                                     "y": part["y"]})))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def _part_statistics(key, pdf):
     w = np.asarray(pdf["w"].iloc[0], dtype=float)
     g, h = _statistics(_design(pdf), pdf["y"].to_numpy(dtype=float), w)
@@ -272,13 +434,12 @@ def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_i
     by Newton steps (L2-regularised) until the weights stand still.
 
     An annotator of at most ``group_rows`` rows is fitted whole, in a group
-    with others that hold about as many rows together: one shuffle of the
-    rows, no passes. A more prolific one is split
+    with others: one shuffle of the rows, no passes. A more prolific one is split
     into parts of about that size; each pass reduces a part to one (gradient,
     Hessian) record, combines an annotator's records and takes a step, and only
     heads that still move enter the next pass. The heads of a pass are written
     to the shared checkpoint folder. With ``vectors`` (key, features) the rows
-    hold the key alone, and features are looked up behind the shuffle.
+    hold the key alone; a task gets each vector of its rows once.
 
     Output: (annotator_id, weights array<array<double>>, bias array<double>,
     n_rows, steps, converged) in the two-label softmax form of
@@ -289,29 +450,31 @@ def fit_annotator_heads(rows: DataFrame, dim: int, annotator: str = "annotator_i
     spark = rows.sparkSession
     held = features_col if vectors is None else key
     data = cut_lineage(rows.select(F.col(annotator).cast("bigint").alias("annotator_id"), F.col(held).alias("x"),
-                                   F.col(label).cast("double").alias("y"),
-                                   F.monotonically_increasing_id().alias("__row")))
-    found = None if vectors is None else vectors.select(F.col(key).alias("__key"), F.col(features_col).alias("__x"))
-
-    def with_features(part):
-        if found is None:
-            return part
-        return part.join(found, F.col("x") == F.col("__key")).drop("x", "__key").withColumnRenamed("__x", "x")
-
-    if found is not None:  # rows without a vector are no rows of a head
-        data = data.join(found.select("__key"), F.col("x") == F.col("__key"), "left_semi")
-    n = data.count()
-    counts = cut_lineage(data.groupBy("annotator_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("bigint").alias("__parts")))
-    one = counts.filter("__parts = 1").select("annotator_id")
-    tasks = max(spark.sparkContext.defaultParallelism, n // HEAD_TASK_ROWS)
-    grouped = data.join(one, "annotator_id", "left_semi").select(
-        "annotator_id", "x", "y", F.pmod(F.xxhash64("annotator_id"), F.lit(n // group_rows + 1)).alias("group"))
-    heads = with_features(grouped.repartition(tasks, "group")).groupBy("group").applyInArrow(_fit_group(l2), _HEAD_SCHEMA)
-    several = counts.filter("__parts > 1")
-    if not several.isEmpty():
-        split = cut_lineage(with_features(data.join(several, "annotator_id")).select(
-            "annotator_id", "x", "y", F.pmod(F.xxhash64("__row"), F.col("__parts")).alias("part")))
+                                   F.col(label).cast("double").alias("y")).dropna(subset=["annotator_id"]))
+    if vectors is not None:  # rows without a vector are no rows of a head
+        data = data.dropna(subset=["x"])
+    several = cut_lineage(data.groupBy("annotator_id").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("bigint").alias("__parts")).filter("__parts > 1"))
+    split_any = not several.isEmpty()
+    one = data.join(several, "annotator_id", "left_anti") if split_any else data
+    fit = _fit_group(l2)
+    if vectors is None:
+        n = data.count()
+        tasks = max(spark.sparkContext.defaultParallelism, n // HEAD_TASK_ROWS)
+        grouped = one.withColumn("group", F.pmod(F.xxhash64("annotator_id"), F.lit(n // group_rows + 1)))
+        heads = grouped.repartition(tasks, "group").groupBy("group").applyInArrow(fit, _HEAD_SCHEMA)
+    else:
+        tasks = _head_tasks(data, vectors, dim)
+        dealt = one.withColumn("deal", F.pmod(F.xxhash64("annotator_id"), F.lit(tasks)))
+        heads = _cogroup(dealt, _vectors_of(dealt, vectors, key, features_col), tasks).applyInArrow(
+            _fit_looked_up(fit), _HEAD_SCHEMA)
+    if split_any:
+        split = data.join(several, "annotator_id").withColumn(
+            "part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")))
+        if vectors is not None:
+            found = vectors.select(F.col(key).alias("x"), F.col(features_col).alias("__x"))
+            split = split.join(found, "x").drop("x").withColumnRenamed("__x", "x")
+        split = cut_lineage(split.select("annotator_id", "x", "y", "part"))
         moving = several.select("annotator_id", F.array_repeat(F.lit(0.0), d1).alias("w"))
         for step in range(1, HEAD_MAX_STEPS + 1):
             stats = split.join(moving, "annotator_id").groupBy("annotator_id", "part").applyInPandas(

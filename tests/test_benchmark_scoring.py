@@ -143,3 +143,51 @@ def test_annotators_share_a_group(spark, monkeypatch):
     table = pa.table({"annotator_id": [1, 2, 1], "x": [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]], "y": [1.0, 0.0, 0.0]})
     out = real(1.0)(table).to_pylist()
     assert sorted((r["annotator_id"], r["n_rows"], r["converged"]) for r in out) == [(1, 2, True), (2, 1, True)]
+
+
+def _optimality_rows(spark):
+    """Rows and vectors with repeated vector keys, keys without a vector, null
+    keys, annotators and labels, and an annotator of many rows."""
+    rows = [(a, t % 6, (a * t) % 2) for a in range(4) for t in range(9 + a)] + [(9, t % 4, t % 2) for t in range(60)]
+    rows += [(2, None, 1), (None, 1, 0), (5, 5, 1), (3, 2, None), (6, 1, None), (7, 0, 1)]
+    vectors = [(v, [float(v), 1.0 - v, 0.5]) for v in range(5)] + [(1, [0.25, 2.0, -1.0]), (None, [1.0, 1.0, 1.0])]
+    heads = [(a, [[0.0] * 3, [0.1 * a, -0.2, 0.3]], [0.0, 0.05 * a], 60 if a == 9 else 9) for a in (0, 1, 2, 3, 5, 6, 8, 9)]
+    return (spark.createDataFrame(rows, "annotator_id long, vec_id long, y int").repartition(3),
+            spark.createDataFrame(vectors, "vec_id long, embedding array<float>"),
+            spark.createDataFrame(heads, "annotator_id long, weights array<array<double>>, bias array<double>, n_rows long"))
+
+
+@pytest.mark.parametrize("group_rows", [4096, 7])
+def test_certificate_by_key_equals_that_of_joined_rows(spark, group_rows):
+    rows, vectors, heads = _optimality_rows(spark)
+    wide = {r["annotator_id"]: r for r in sc.head_optimality(rows.join(vectors, "vec_id"), heads, 3).collect()}
+    keyed = sc.head_optimality(rows, heads, 3, vectors=vectors, group_rows=group_rows).collect()
+    assert sorted(r["annotator_id"] for r in keyed) == sorted(wide) == [0, 1, 2, 3, 6, 9]
+    for r in keyed:
+        other = wide[r["annotator_id"]]
+        assert r["n_rows"] == other["n_rows"]
+        assert r["gradient"] == (None if other["gradient"] is None else pytest.approx(other["gradient"], rel=1e-9))
+    assert wide[6]["gradient"] is None and wide[9]["n_rows"] == 75
+    counted = sc.head_optimality(rows, heads.drop("n_rows"), 3, vectors=vectors, group_rows=group_rows).collect()
+    assert sorted((r["annotator_id"], r["n_rows"]) for r in counted) == sorted((a, r["n_rows"]) for a, r in wide.items())
+
+
+
+
+def test_heads_and_vectors_do_not_travel_with_the_rows(spark):
+    """Every row carried its head (64 doubles) through the shuffle by vector,
+    and every partial sum its head again: 24 GB of disk at 1 GB of input."""
+    rows, vectors, heads = _optimality_rows(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = sc.head_optimality(rows.withColumn("vec_id", F.col("vec_id") + 0), heads, 3, vectors=vectors)
+        plan = c._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "key" in joins[0]  # only the distinct keys of a deal meet the vectors
+    assert "Aggregate [deal" in plan
+    # a vector is moved once a deal, however many rows have it
+    dealt = rows.dropna().select(F.lit(0).alias("deal"), F.col("vec_id").alias("x"))
+    assert sc._vectors_of(dealt, vectors, "vec_id", "embedding").count() == 6
