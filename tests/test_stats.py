@@ -90,3 +90,35 @@ def test_bootstrap_of_rows_draws_by_key(spark):
         assert (got[g].ci_low, got[g].ci_high) == tuple(pytest.approx(q) for q in np.quantile(means, [0.025, 0.975]))
     (whole,) = st.mean_with_ci(d, [], "v", replicates=10, key="k").collect()
     assert whole.n == 120
+
+
+def test_bootstrap_of_rows_takes_a_digest_for_every_weight(spark):
+    """The query draws each of its 200 weights from a digest of its own (four
+    shared one); against a plain computation, with a null key, repeated keys
+    and groups cut over tasks."""
+    import hashlib
+
+    import numpy as np
+
+    from raterlens.plans import all_oracles
+
+    reps, seed = 30, 3
+    rows = [(g, k % 40, [0.25, 0.5, 1.0][k % 3]) for g in ("a", None) for k in range(60)]
+    rows += [("a", None, 0.75), ("a", 7, None)]
+    d = spark.createDataFrame(rows, "g string, k long, v double").repartition(3)
+    got = {r.g: r for r in st.mean_with_ci(d, ["g"], "v", replicates=reps, seed=seed, key="k", own_digests=True).collect()}
+
+    def weight(k, s):
+        order = 16 ** 13 if k is None else int(hashlib.md5(f"{k}_{s}".encode()).hexdigest()[:13], 16)
+        return sum(order / 16 ** 13 >= c for c in st.POISSON1_CDF)
+
+    for g, n in (("a", 61), (None, 60)):
+        mine = [(k, v) for h, k, v in rows if h == g and v is not None]
+        means = []
+        for s in range(seed * reps, seed * reps + reps):
+            w = [weight(k, s) for k, _ in mine]
+            means.append(sum(a * v for a, (_, v) in zip(w, mine)) / sum(w))
+        assert (got[g].n, got[g].mean) == (n, pytest.approx(sum(v for _, v in mine) / n))
+        assert (got[g].ci_low, got[g].ci_high) == tuple(pytest.approx(q) for q in np.quantile(means, [0.025, 0.975]))
+    sql = all_oracles()["mean_with_ci"]
+    assert "cast((600 + rep) as varchar)" in sql and "(600 + rep)) // 4" not in sql and "range(200)" in sql
